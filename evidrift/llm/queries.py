@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
-from .common import table
+from . import decontaminate, mixing, toxicity
+from .common import crc_fold, shared_dir, table
+from .sharding import ShardStore
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the documents as small shards, compacts them, and reads back every row with its shard."""
+    store = ShardStore(spark, f"{shared_dir(spark)}/evidrift/store-{uuid.uuid4().hex}", target=64 << 20)
+    store.append(table(spark, sf_dir, "documents"), rows=4096)
+    store.compact()
+    store.vacuum()
+    return store.read(place=True).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard", "shard_bytes")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +62,27 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
+_SIZE = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+lv AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS lev
+       FROM r WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, coalesce((SELECT min(lev) FROM lv WHERE lev <= most / weight) * weight, most)) AS target FROM lv),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+g AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
+c AS (SELECT source, place, sum(words) OVER (PARTITION BY source ORDER BY place) - words / 2.0 AS mid FROM g)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       CAST((p.passes + CASE WHEN p.target - p.passes * p.source_size > 0 AND c.mid <= p.target - p.passes * p.source_size THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9_SQL}
+    return {"op8_mixing": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}

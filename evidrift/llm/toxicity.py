@@ -1,9 +1,11 @@
 """Toxicity scores from two class-conditional Kneser-Ney models, one of toxic and one of ordinary documents.
 
-An expression is a word: a run of letters, digits and non-ASCII bytes, A-Z lower-cased. Each class has an
-interpolated, absolutely discounted model of words whose lower order is the word's beginning (its first
-STEM bytes), counted as Kneser-Ney counts lower orders: by the distinct words of the class that continue it.
-Below that stand counts shared by both classes, so an expression that neither class has seen says nothing.
+An expression is a word: a run of letters, digits and non-ASCII bytes, A-Z lower-cased, counted by the documents that have it,
+so that no long document outweighs the rest. The class is the context: each has an absolutely discounted model that
+interpolates a lower order which both share, with Kneser-Ney counts: in how many classes the expression occurs. The
+shared part of a rare word is weighted by what its beginning (its first STEMS bytes, each order modelled the same way over the
+distinct continuations in each class) says about the class. An expression whose toxic count is within TELLING standard
+deviations of what its total count leads one to expect is left to the lower orders alone; one that neither class has seen says nothing.
 The evidence of a text is the difference of its toxic and ordinary log-likelihoods over its number of words.
 A logistic curve turns evidence and length into the score; it is fitted on the training rows with each row's
 own counts taken out of the model first, so that it holds for rows outside the training set.
@@ -30,8 +32,9 @@ from .common import forget, hash_words, slices, stored, text_bytes
 MAX_LABELS = 200_000
 MAX_WORDS = 1 << 19
 MAX_STEMS = 1 << 18
-STEM = 6
+STEMS = (6, 4)
 DISCOUNT = 0.75
+TELLING = 2.5
 
 #: Bytes other than digits, letters and non-ASCII separate words.
 BREAKS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -62,25 +65,33 @@ class Table:
         return np.where(self.keys[a] == keys, a, np.where(self.keys[b] == keys, b, -1))
 
 
+def _in_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys that differ from row to row."""
+    return keys ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _count_rows(batches):
-    """word, stem, toxic and ordinary counts, summed over as much of a partition as bounded memory allows."""
-    names, kept, held = ["word", "stem", "n1", "n0"], [], 0
+    """word, its beginnings, toxic and ordinary counts, summed over as much of a partition as bounded memory allows."""
+    names, kept, held = ["word", *(f"stem{i}" for i in range(len(STEMS))), "n1", "n0"], [], 0
 
     def summed(parts):
-        word, stem, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        word, stems, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], 1), np.concatenate([p[2] for p in parts])
         keys, first, group = np.unique(word, return_index=True, return_inverse=True)
-        return keys, stem[first], np.stack([np.bincount(group, n[:, i], len(keys)) for i in (0, 1)], 1)
+        return keys, stems[:, first], np.stack([np.bincount(group, n[:, i], len(keys)) for i in (0, 1)], 1)
 
     def rows(part):
-        word, stem, n = part
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(stem.view(np.int64)), *(pa.array(n[:, i].astype(np.int64)) for i in (0, 1))], names=names)
+        word, stems, n = part
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(s.view(np.int64)) for s in np.ascontiguousarray(stems)), *(pa.array(n[:, i].astype(np.int64)) for i in (0, 1))], names=names)
 
     for batch in batches:
         for part in slices(batch, "text"):
-            words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEM)
-            toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), np.diff(begins))
+            words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEMS)
+            row = np.repeat(np.arange(part.num_rows), np.diff(begins))
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False)[row]
+            once = np.zeros(len(words))
+            once[np.unique(_in_row(words, row), return_index=True)[1]] = 1
             keys, first, group = np.unique(words, return_index=True, return_inverse=True)
-            kept.append((keys, stems[first], np.stack([np.bincount(group, toxic == y, len(keys)) for y in (1, 0)], 1)))
+            kept.append((keys, stems[:, first], np.stack([np.bincount(group, once * (toxic == y), len(keys)) for y in (1, 0)], 1)))
             held += len(keys)
             if held > 2_000_000:
                 kept = [summed(kept)]
@@ -93,30 +104,41 @@ def _count_rows(batches):
 
 
 class Model:
-    """Counts of words and beginnings, and the calibration of their evidence."""
+    """Counts of words and of their beginnings, longest first, and the calibration of their evidence.
+
+    levels: (keys, values); values hold toxic and ordinary counts.
+    totals: per level the sums of both counts and how many keys have them."""
 
-    def __init__(self, words: np.ndarray, word_n: np.ndarray, stems: np.ndarray, stem_k: np.ndarray, totals: np.ndarray):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray):
         self.totals, self.curve = totals, np.array([-2.0, 0.0, 0.0])
-        self.stems = Table(stems, stem_k, MAX_STEMS.bit_length())
-        self.words = Table(words, word_n, MAX_WORDS.bit_length())
-
-    def evidence(self, words: np.ndarray, stems: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
-        """Toxic less ordinary log-probability of each word; less: counts to leave out, toxic and ordinary."""
-        (n1, n0), (t1, t0), (k1, k0), (s1, s0) = self.totals
-        at, below = self.words.find(words), self.stems.find(stems)
-        k = np.where(below[:, None] >= 0, self.stems.values[below], 0).astype(np.float64)
-        n = np.where(at[:, None] >= 0, self.words.values[at], 0).astype(np.float64)
+        self.tables = [Table(keys, values, most.bit_length()) for (keys, values), most in zip(levels, (MAX_WORDS, *(MAX_STEMS for _ in STEMS)))]
+
+    def evidence(self, words: np.ndarray, stems: np.ndarray, less: tuple | None = None) -> np.ndarray:
+        """Toxic less ordinary log-probability of each word. less: the row and the class of each word, whose own counts are left out."""
+        counts = []
+        for keys, own in zip([words, *stems], self.tables):
+            at = own.find(keys)
+            counts.append(np.where(at[:, None] >= 0, own.values[at], 0).astype(np.float64))
         if less is not None:
-            gone = (n > 0) & (n <= less)
-            n = np.maximum(n - less, 0)
-            k = np.maximum(k - gone, 0)
-        shared = (k.sum(1) + 0.5) / (k1 + k0 + 1)
-        begins = [np.maximum(k[:, i] - DISCOUNT, 0) / (kk + 1) + (DISCOUNT * s + 1) / (kk + 1) * shared for i, kk, s in ((0, k1, s1), (1, k0, s0))]
-        within = (n.sum(1) + 0.5) / (n.sum(1) + k.sum(1) + 1)  # of the beginning's words, by counts that both classes share
-        p = [np.maximum(n[:, i] - DISCOUNT, 0) / (nn + 1) + (DISCOUNT * t + 1) / (nn + 1) * b * within for i, nn, t, b in ((0, n1, t1, begins[0]), (1, n0, t0, begins[1]))]
-        out = np.log(p[0]) - np.log(p[1])
-        out[(k.sum(1) == 0) & (n.sum(1) == 0)] = 0
-        return out
+            row, toxic = less
+            gone = None
+            for level, keys in enumerate([words, *stems]):
+                _, first, group = np.unique(_in_row(keys, row), return_index=True, return_inverse=True)
+                mine = np.ones(len(first)) if level == 0 else np.bincount(group, gone, len(first))
+                side = np.where(toxic == 1, 0, 1)
+                left = np.maximum(counts[level][np.arange(len(keys)), side] - mine[group], 0)
+                counts[level][np.arange(len(keys)), side] = left
+                once = np.zeros(len(keys))
+                once[first] = 1
+                gone = once * (left <= 0)
+        ratio = np.ones((2, len(words)))  # of the class's probability to the mean of both, so far down the orders
+        for n, (sum1, sum0, kinds1, kinds0) in zip(counts[::-1], self.totals[::-1]):
+            classes = (n > 0).sum(1)
+            p = np.stack([np.maximum(n[:, i] - DISCOUNT, 0) / (total + 1) + (DISCOUNT * kinds + 1) / (total + 1) * classes / (kinds1 + kinds0 + 1) * ratio[i] for i, total, kinds in ((0, sum1, kinds1), (1, sum0, kinds0))])
+            expected = n.sum(1) * sum1 / max(sum1 + sum0, 1)
+            telling = np.abs(n[:, 0] - expected) >= TELLING * np.sqrt(expected + 1)
+            ratio = np.where(telling, p / np.maximum(p.mean(0), 1e-300), ratio)
+        return np.log(ratio[0]) - np.log(ratio[1])
 
     def features(self, evidence: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate([[0.0], np.cumsum(evidence)])
@@ -145,32 +167,31 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    counted = rows.mapInArrow(_count_rows, "word bigint, stem bigint, n1 bigint, n0 bigint").groupBy("word").agg(F.min("stem").alias("stem"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    counted = stored(counted)
-    begun = counted.groupBy("stem").agg(F.count_if(F.col("n1") > 0).alias("k1"), F.count_if(F.col("n0") > 0).alias("k0"))
-    begun = stored(begun)
-    n = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n0")), F.count_if(F.col("n1") > 0), F.count_if(F.col("n0") > 0)).first()
-    k = begun.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("k1", "k0")), F.count_if(F.col("k1") > 0), F.count_if(F.col("k0") > 0)).first()
-    words = counted.where("n1 + n0 > 1").orderBy(F.desc(F.expr("n1 + n0")), "word").limit(MAX_WORDS).toArrow()
-    stems = begun.where("k1 + k0 > 1").orderBy(F.desc(F.expr("k1 + k0")), "stem").limit(MAX_STEMS).toArrow()
-    forget(counted)
-    forget(begun)
-    column = lambda t, c: t.column(c).to_numpy().astype(np.int64)
-    both = lambda t, a, b: np.stack([column(t, a), column(t, b)], 1).astype(np.float32).reshape(-1, 2)
-    model = Model(column(words, "word").view(np.uint64), both(words, "n1", "n0"), column(stems, "stem").view(np.uint64), both(stems, "k1", "k0"), np.array([n[:2], n[2:], k[:2], k[2:]], float))
+    stems = [f"stem{i}" for i in range(len(STEMS))]
+    schema = ", ".join(f"{c} bigint" for c in ("word", *stems, "n1", "n0"))
+    counted = rows.mapInArrow(_count_rows, schema).groupBy("word").agg(*(F.min(s).alias(s) for s in stems), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    frames = [stored(counted)]
+    for i, s in enumerate(stems):
+        longer = frames[-1]
+        frames.append(stored(longer.groupBy(s).agg(*(F.min(x).alias(x) for x in stems[i + 1 :]), F.count_if(F.col("n1") > 0).alias("n1"), F.count_if(F.col("n0") > 0).alias("n0"))))
+    levels, totals = [], []
+    for key, most, frame in zip(("word", *stems), (MAX_WORDS, *(MAX_STEMS for _ in stems)), frames):
+        totals.append(list(frame.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n0")), F.count_if(F.col("n1") > 0), F.count_if(F.col("n0") > 0)).first()))
+        best = frame.where("n1 + n0 > 1").select(key, "n1", "n0").orderBy(F.desc(F.expr("n1 + n0")), key).limit(most).toArrow()
+        columns = [best.column(c).to_numpy().astype(np.int64) for c in (key, "n1", "n0")]
+        levels.append((columns[0].view(np.uint64), np.stack(columns[1:], 1).astype(np.float32)))
+        forget(frame)
+    model = Model(levels, np.array(totals, float))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def left_out(batches):
         own = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEM)
+                words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEMS)
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(toxic)), np.diff(begins)).astype(np.uint64)
-                _, group, times = np.unique(words ^ (row * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-                times = times[group]
-                mine = toxic[row.astype(np.int64)]
-                mean, length = own.features(own.evidence(words, stems, np.stack([times * (mine == 1), times * (mine == 0)], 1)), begins)
+                row = np.repeat(np.arange(len(toxic)), np.diff(begins))
+                mean, length = own.features(own.evidence(words, stems, (row, toxic[row])), begins)
                 yield pa.RecordBatch.from_arrays([pa.array(mean), pa.array(length), pa.array(toxic.astype(np.int32))], names=["mean", "length", "toxic"])
 
     sample = rows.mapInArrow(left_out, "mean double, length double, toxic int").toArrow()
@@ -184,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
 def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:
     out = []
     for part in slices(batch, "text"):
-        words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEM)
+        words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEMS)
         out.append(model.score(*model.features(model.evidence(words, stems), begins)))
     return np.concatenate(out) if out else np.zeros(0)
 
