@@ -91,13 +91,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = BLANK, stems: tuple[int, ...] = ()):
+def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = BLANK, stems: tuple[int, ...] = (), lengths: bool = False):
     """Lower-cased (A-Z) words of all rows: 64-bit hashes, first bytes, and where each row's words begin. breaks: the bytes
-    that separate words. stems: also hashes of each word's first so many bytes (falling lengths), a row of the last result each."""
+    that separate words. stems: also hashes of each word's first so many bytes (falling lengths), a row of a
+    fourth result each. lengths: adds the words' lengths in bytes."""
     blank = breaks[data]
     row_start = np.zeros(len(data) + 1, bool)
     row_start[bounds] = True
-    hashes, firsts, begun, at = [], [], [[] for _ in stems], 0
+    hashes, firsts, begun, sizes, at = [], [], [[] for _ in stems], [], 0
     while at < len(data):
         end = min(len(data), at + _PIECE)
         while end < len(data) and not blank[end] and not row_start[end]:  # a word stays whole
@@ -112,9 +113,9 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = BLANK,
         if len(where):
             letters = np.flatnonzero(solid)
             begins = np.searchsorted(letters, where)
-            lengths = np.diff(begins, append=len(letters))
-            within = np.arange(len(letters)) - np.repeat(begins, lengths)
-            values = _BYTE_LOWER[data[at:end][letters]] * _powers(int(lengths.max()))[within]
+            sizes.append(np.diff(begins, append=len(letters)))
+            within = np.arange(len(letters)) - np.repeat(begins, sizes[-1])
+            values = _BYTE_LOWER[data[at:end][letters]] * _powers(int(sizes[-1].max()))[within]
             hashes.append(np.add.reduceat(values, begins))
             for size, found in zip(stems, begun):
                 values[within >= size] = 0
@@ -124,7 +125,9 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = BLANK,
     none = np.zeros(0, np.uint64)
     first = np.concatenate([np.zeros(0, np.int64), *firsts])
     out = mix64(np.concatenate([none, *hashes])), first, np.searchsorted(first, bounds)
-    return (*out, np.stack([mix64(np.concatenate([none, *x])) for x in begun])) if stems else out
+    if stems:
+        out = (*out, np.stack([mix64(np.concatenate([none, *x])) for x in begun]))
+    return (*out, np.concatenate([np.zeros(0, np.int64), *sizes])) if lengths else out
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -45,7 +45,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int):
         self.bits = np.uint64(bits)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, values.shape[1]), np.float32)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, values.shape[1]), values.dtype)
         left = np.arange(len(keys))
         for place in (0, 1):
             at = self._place(keys[left], place)
