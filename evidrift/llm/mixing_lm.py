@@ -1,19 +1,19 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its blank-separated words, A-Z lower-cased, and one end. Each token is written as bits: the HEAD most frequent words, the end and an
-escape have Huffman codes by their training counts; the escape is followed by the word's bytes and a blank, eight bits each. Every bit is predicted in several
-contexts: word bits in the code node alone, with the previous word, and with the previous two; spelling bits with one, two
-and three bytes before. A context's training counts of ones and zeros stand in a table of fixed size at a hash of context and
-node, and give a predictor's stretched probability. A gated linear mix of the predictors (the gate is the kind of bit and how much is known in the
-longer contexts) gives the probability; its weights learn from every bit they have coded, and a second, adaptive map refines the
-probability by what came of like ones. Weights and map begin anew every LANE words, so that a score depends on its text
-and the corpus alone; they begin with the mean of what the training texts' lanes have ended with, where each bit is predicted by counts without its own. The score is the sum of log10 probabilities of all bits; bits per byte follow from it.
+escape have Huffman codes by their training counts. Every bit is predicted in several contexts: its code node alone, with the previous word, and with the
+previous two. A context's training counts of ones and zeros stand in a table of fixed size at a hash of context and node, and give a predictor's stretched
+probability. A gated linear mix of the predictors (the gate is how much is known in the longer contexts) gives the probability; its weights learn from every bit they
+have coded, and a second, adaptive map refines the probability by what came of like ones. Weights and map begin anew about every SPAN
+bits, so that a score depends on its text and the corpus alone; the weights begin with what gradient steps over all training bits have led to, each bit
+predicted by counts without its own. After an escape the word follows by its share of the training occurrences of such words, plus one, an unseen word
+counting as one more. The score is the sum of the log10 probabilities; bits per byte follow from it.
 
 The base score is the add-one unigram model over exact token counts of the training texts.
 
 Defined results: a null text counts as empty: one end; held-out rows teach nothing; rows that repeat a doc_id are scored each;
 null ids belong to the training rows; with no training rows every token is unknown and every bit even; other columns are ignored; an
-empty table gives no rows.
+empty table gives no rows. Very long texts are worked through in runs of about RANGE bits.
 
 Plan: four narrow passes over whole texts (words, contexts, weights, scores). Word counts and context counts are summed map-side,
 then grouped. The model broadcast has a fixed size whatever the corpus: HEAD codes, KNOWN exact word counts and the context tables.
@@ -30,19 +30,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, forget, hash_words, mix64, slices, stored, text_bytes
+from .common import hash_words, mix64, slices, stored, text_bytes
 from .toxicity import Table
 
-HEAD = 1 << 16
+HEAD = 1 << 17
 KNOWN = 1 << 19
-LANE = 512
-RANGE = 200 * LANE
+SPAN = 2048
+RANGE = 3_000_000
 _END, _ESCAPE = 0, 1
 _END_KEY = np.uint64(0x5DEECE66D1234567)
-#: Sizes of the context tables, in order: node; previous word; previous two; one, two and three bytes.
-_SIZES = [HEAD + 2, 1 << 19, 1 << 19, 1 << 16, 1 << 18, 1 << 18]
+_HASHED = 20
+#: Sizes of the context tables: code node; previous word; previous two.
+_SIZES = [HEAD + 2, 1 << _HASHED, 1 << _HASHED]
 _BASES = np.concatenate([[0], np.cumsum(_SIZES)])
 SLOTS = int(_BASES[-1])
+_C = np.uint64(0x9E3779B97F4A7C15)
+_D = np.uint64(0xD6E8FEB86659FD93)
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,148 +75,135 @@ class Coder:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, rest: int):
         """keys, counts: the HEAD words by falling count. ends: training texts. rest: training occurrences of other words."""
-        self.head = Table(keys, np.arange(2, len(keys) + 2, dtype=np.float32)[:, None], 18)
-        self.starts, self.path, self.bits = huffman(np.concatenate([[ends, rest], counts]))
-
-    def tokens(self, part: pa.RecordBatch):
-        """Codes, word hashes, first bytes and lengths of all tokens with an end (length 0) after each row, where rows begin, and the bytes."""
-        data, bounds = text_bytes(part.column("text"))
-        words, first, begins, lengths = hash_words(data, bounds, lengths=True)
-        rows = len(bounds) - 1
-        place = np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(begins))
-        total = len(words) + rows
-        code, key, at, size = np.full(total, _END), np.full(total, _END_KEY), np.zeros(total, np.int64), np.zeros(total, np.int64)
-        found = self.head.find(words)
-        code[place] = np.where(found >= 0, self.head.values[found, 0].astype(np.int64), _ESCAPE)
-        key[place], at[place], size[place] = words, first, lengths
-        return code, key, at, size, begins + np.arange(rows + 1), _LOWER[data]
-
-    def events(self, code, key, at, size, before1, before2, data):
-        """bits, slots (three a bit), spelled (whether a bit spells) and where each token's bits begin."""
-        word_n = self.starts[code + 1] - self.starts[code]
-        spell_n = np.where(code == _ESCAPE, 8 * (size + 1), 0)
-        begin = np.concatenate([[0], np.cumsum(word_n + spell_n)])
-        bits, slots, spelled = np.empty(begin[-1], np.uint8), np.empty((begin[-1], 3), np.int32), np.zeros(begin[-1], bool)
-        token = np.repeat(np.arange(len(code)), word_n)
-        within = np.arange(len(token)) - np.repeat(np.cumsum(word_n) - word_n, word_n)
-        source, place = self.starts[code][token] + within, begin[:-1][token] + within
-        node = self.path[source]
-        bits[place] = self.bits[source]
-        mixed = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        slots[place, 0] = node
+        self.head = Table(keys, np.arange(2, len(keys) + 2, dtype=np.float32)[:, None], (2 * HEAD).bit_length())
+        starts, path, self.bits = huffman(np.concatenate([[ends, rest], counts]))
+        self.starts, self.length, self.path = starts[:-1].astype(np.int32), np.diff(starts).astype(np.int32), path.astype(np.int32)
+        self.mixed = np.arange(HEAD + 2, dtype=np.uint64) * _C
+
+    def events(self, code: np.ndarray, before1: np.ndarray, before2: np.ndarray):
+        """bits, slots (three rows) and where each token's bits begin."""
+        n = self.length[code]
+        ends = np.cumsum(n, dtype=np.int64)
+        which = np.repeat(np.arange(len(code), dtype=np.int32), n)
+        source = np.arange(len(which), dtype=np.int32) + (self.starts[code] - (ends - n)).astype(np.int32)[which]
+        node, mixed = self.path[source], None
+        slots, mixed = np.empty((3, len(which)), np.int32), self.mixed[node]
+        slots[0] = node
         for k, context in ((1, before1), (2, before2)):
-            h = (context[token] ^ mixed) * np.uint64(0xD6E8FEB86659FD93)
-            slots[place, k] = (h >> np.uint64(64 - 19)).astype(np.int32) + np.int32(_BASES[k])
-        rare = np.flatnonzero(code == _ESCAPE)
-        if len(rare):
-            n = size[rare] + 1
-            which = np.repeat(np.arange(len(rare)), n)
-            j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            last = j == size[rare][which]
-            where = at[rare][which] + j
-            letter = np.where(last, 32, data[np.minimum(where, len(data) - 1)]).astype(np.int64)
-            back = [np.where(j >= b, data[np.maximum(where - b, 0)], 0).astype(np.int64) for b in (1, 2, 3)]
-            shift = np.arange(8)
-            bit = (letter[:, None] >> (7 - shift)) & 1
-            node = (1 << shift) + (letter[:, None] >> (8 - shift))
-            one = back[0][:, None] * 256 + node
-            two = ((back[0] * 256 + back[1])[:, None] * 256 + node).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            three = (((back[0] * 256 + back[1]) * 256 + back[2])[:, None] * 256 + node).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            place = ((begin[:-1] + word_n)[rare][which] + 8 * j)[:, None] + shift
-            bits[place] = bit
-            spelled[place] = True
-            slots[place, 0] = one + _BASES[3]
-            slots[place, 1] = (two >> np.uint64(64 - 18)).astype(np.int64) + _BASES[4]
-            slots[place, 2] = (three >> np.uint64(64 - 18)).astype(np.int64) + _BASES[5]
-        return bits, slots, spelled, begin
+            slots[k] = (((context[which] ^ mixed) * _D) >> np.uint64(64 - _HASHED)).astype(np.int32) + np.int32(_BASES[k])
+        return self.bits[source], slots, np.concatenate([[0], ends])
 
     def ranges(self, part: pa.RecordBatch):
-        """(row of each token's lane, tokens of the lane's start, events) of bounded runs of tokens; long texts are cut at multiples of RANGE tokens."""
-        code, key, at, size, begins, data = self.tokens(part)
+        """(row of each token, whether a lane starts with it, events) of bounded runs of tokens. A lane ends with the token that
+        completes SPAN bits, counted from the text's start, so that lanes do not depend on what else is in the part."""
+        words, _, begins = hash_words(*text_bytes(part.column("text")))
+        rows = len(begins) - 1
+        place = np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(begins))
+        code, key = np.full(len(words) + rows, _END), np.full(len(words) + rows, _END_KEY)
+        found = self.head.find(words)
+        code[place], key[place] = np.where(found >= 0, self.head.values[found, 0].astype(np.int64), _ESCAPE), words
+        begins = begins + np.arange(rows + 1)
         first = np.zeros(len(code), bool)
         first[begins[:-1]] = True
-        row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        row = np.repeat(np.arange(rows), np.diff(begins))
         before1 = np.where(first, _END_KEY, np.concatenate([[_END_KEY], key[:-1]]))
         second = np.concatenate([[_END_KEY], before1[:-1]])
-        before2 = mix64(before1 + np.where(first, _END_KEY, second) * np.uint64(0x9E3779B97F4A7C15))
+        before2 = mix64(before1 + np.where(first, _END_KEY, second) * _C)
         before1 = mix64(before1 ^ np.uint64(0xA5A5A5A5))
-        inside = np.arange(len(code)) - begins[:-1][row]
-        weight = np.cumsum(self.starts[code + 1] - self.starts[code] + np.where(code == _ESCAPE, 8 * (size + 1), 0))
-        a = 0
+        bits = np.concatenate([[0], np.cumsum(self.length[code], dtype=np.int64)])
+        lane = (bits[:-1] - bits[begins[:-1]][row]) // SPAN
+        start = first.copy()
+        start[1:] |= lane[1:] != lane[:-1]
+        heads, a = np.append(np.flatnonzero(start), len(code)), 0
         while a < len(code):
-            b = int(np.searchsorted(weight, (weight[a - 1] if a else 0) + 3_000_000, "right"))
-            if b < len(code):  # back to the start of a lane
-                starts = np.flatnonzero(inside[a + 1 : b + 1] % LANE == 0) + a + 1
-                b = int(starts[-1]) if len(starts) else int(np.flatnonzero(np.append(inside[b + 1 :] % LANE == 0, True))[0]) + b + 1
+            later = heads[np.searchsorted(heads, a, "right") :]
+            b = int(later[max(0, int(np.searchsorted(bits[later], bits[a] + RANGE, "right")) - 1)])
             s = slice(a, b)
-            yield row[s], inside[s], self.events(code[s], key[s], at[s], size[s], before1[s], before2[s], data)
+            yield row[s], start[s], self.events(code[s], before1[s], before2[s])
             a = b
 
 
 def _first_weights() -> tuple[np.ndarray, np.ndarray]:
-    """Weights by gate (kind of bit, how much is known in the second and third context) and the map that changes nothing."""
+    """Weights by gate (how much is known in the second and third context) and the map that changes nothing."""
     few, many = np.array([0.0, 0.3, 0.6]), np.array([0.0, 0.2, 0.5])
     own = np.array([[max(0.2, 1 - few[a] - many[b]), few[a], many[b]] for a in range(3) for b in range(3)], np.float32)
-    even = 1 / (1 + np.exp(-(np.arange(33, dtype=np.float32) - 16) / 2))
-    return np.concatenate([own, own]), np.stack([even, even]).astype(np.float32)
+    return own, (1 / (1 + np.exp(-(np.arange(33, dtype=np.float32) - 16) / 2))).astype(np.float32)
 
 
-def run_lanes(bits, gate, stretched, starts, lengths, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 probability of each lane's bits, and the lanes' last weights and maps; all lanes go on one bit at a time, side by side."""
+def run_lanes(bits, gate, stretched, starts, lengths, first) -> np.ndarray:
+    """log10 probability of each lane's bits; all lanes go on one bit at a time, side by side. stretched: a row a predictor."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
-    n, lane = len(lengths), np.arange(len(lengths))
-    weights, refined = np.tile(first[0], (n, 1, 1)), np.tile(first[1], (n, 1, 1))
-    out = np.zeros(n)
-    for t, m in enumerate(active):
-        at = starts[:m] + t
-        own, x, g, y = lane[:m], stretched[at], gate[at], bits[at].astype(np.float32)
-        w = weights[own, g]
-        dot = np.clip((w * x).sum(1), -12, 12)
-        p = 1 / (1 + np.exp(-dot))
-        weights[own, g] = w + x * ((y - p) * np.float32(0.01))[:, None]
-        kind, bucket = g // 9, np.rint(np.clip(dot, -8, 8) * 2).astype(np.int64) + 16
-        r = refined[own, kind, bucket]
-        refined[own, kind, bucket] = r + (y - r) * np.float32(0.02)
-        q = np.clip((p + r) / 2, 1e-6, 1 - 1e-6)
-        out[:m] += np.log10(np.where(y > 0, q, 1 - q))
+    n, total = len(lengths), np.zeros(len(lengths))
+    weights = [np.tile(np.ascontiguousarray(first[0][:, k]), n) for k in range(3)]
+    refined = np.tile(first[1], n)
+    lane_w, lane_r, out = np.arange(n) * 9, np.arange(n) * 33, np.zeros(n, np.float32)
+    rate, half, one = np.float32(0.01), np.float32(0.5), np.float32(1)
+    for block in range(0, len(active), 256):  # the bits of a block, one row a step
+        steps = active[block : block + 256]
+        at = starts[None, : steps[0]] + np.arange(block, block + len(steps))[:, None]
+        np.minimum(at, len(bits) - 1, out=at)
+        xs, gs, ys = [x.take(at) for x in stretched], gate.take(at), bits.take(at).astype(np.float32)
+        for t, m in enumerate(steps):
+            own, y, x = lane_w[:m] + gs[t, :m], ys[t, :m], [v[t, :m] for v in xs]
+            w = [v.take(own) for v in weights]
+            dot = w[0] * x[0]
+            dot += w[1] * x[1]
+            dot += w[2] * x[2]
+            np.minimum(dot, 8, out=dot)
+            np.maximum(dot, -8, out=dot)
+            p = one / (one + np.exp(-dot))
+            step = (y - p) * rate
+            for k in range(3):
+                weights[k][own] = w[k] + step * x[k]
+            place = lane_r[:m] + (dot * 2 + np.float32(16.5)).astype(np.int64)
+            r = refined.take(place)
+            refined[place] = r + (y - r) * np.float32(0.02)
+            q = (p * 3 + r) * (half * half)
+            out[:m] += np.log(one - q + y * (q + q - one))
+        total += out
+        out[:] = 0
     back = np.empty(n)
-    back[order] = out
-    return back, weights, refined
+    back[order] = total / np.log(10)
+    return back
 
 
 class Model:
-    def __init__(self, coder: Coder, ones: np.ndarray, zeros: np.ndarray, known: Table, tokens: int, distinct: int, ends: int):
-        self.coder, self.known, self.tokens, self.distinct, self.ends = coder, known, tokens, distinct, ends
-        self.ones, self.zeros, self.first = ones, zeros, _first_weights()
-
-    def freeze(self) -> None:
-        """Keeps what scoring needs in place of counts."""
-        self.stretch = (np.log(self.ones + 0.3) - np.log(self.zeros + 0.3)).astype(np.float32)
-        self.sure = np.digitize(self.ones + self.zeros, [1, 8]).astype(np.uint8)
-        self.ones = self.zeros = None
-
-    def learn(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-        """Sums of the last weights and maps of a part's lanes, each bit's own count left out of what predicts it."""
-        weights, maps, n = np.zeros((18, 3)), np.zeros((2, 33)), 0
-        for _, inside, (bits, slots, spelled, begin) in self.coder.ranges(part):
-            ones = self.ones[slots] - bits[:, None]
-            zeros = self.zeros[slots] - (bits[:, None] == 0)
-            sure = np.digitize(ones + zeros, [1, 8])
-            stretched = (np.log(ones + np.float32(0.3)) - np.log(zeros + np.float32(0.3))).astype(np.float32)
-            starts = begin[np.flatnonzero(inside % LANE == 0)]
-            _, w, m = run_lanes(bits, spelled * np.int64(9) + sure[:, 1] * 3 + sure[:, 2], stretched, starts, np.diff(np.append(starts, begin[-1])), self.first)
-            weights, maps, n = weights + w.sum(0), maps + m.sum(0), n + len(w)
-        return weights, maps, n
+    def __init__(self, coder: Coder, ones: np.ndarray, zeros: np.ndarray, known: Table, tokens: int, distinct: int, ends: int, rest: tuple[int, int]):
+        """rest: training occurrences of words outside the code, and how many words these are."""
+        self.coder, self.known, self.tokens, self.distinct, self.ends, self.rest = coder, known, tokens, distinct, ends, rest
+        self.first = _first_weights()
+        self.stretch = (np.log(ones + 0.3) - np.log(zeros + 0.3)).astype(np.float32)
+        self.sure = ((ones + zeros >= 1) * 1 + (ones + zeros >= 8)).astype(np.uint8)
+        without = [(np.maximum(ones - y, 0), np.maximum(zeros - (1 - y), 0)) for y in (0, 1)]
+        self.left_out = np.stack([np.log((a + 0.3) / (b + 0.3)) for a, b in without], 1).astype(np.float32).ravel()
+        self.left_sure = ((ones + zeros >= 2) * 1 + (ones + zeros >= 9)).astype(np.uint8)
+
+    def learn(self, part: pa.RecordBatch, weights: np.ndarray) -> int:
+        """Moves the weights by what the part's bits say, each bit's own count left out of what predicts it; returns how many there were."""
+        n = 0
+        for _, _, (bits, slots, _) in self.coder.ranges(part):
+            for a in range(0, len(bits), 1 << 15):
+                own, y = slots[:, a : a + (1 << 15)], bits[a : a + (1 << 15)]
+                x = self.left_out.take(own * 2 + y)
+                gate = self.left_sure.take(own[1]) * np.int64(3) + self.left_sure.take(own[2])
+                dot = sum(weights[:, k].take(gate) * x[k] for k in range(3))
+                error = y - 1 / (1 + np.exp(-np.clip(dot, -8, 8)))
+                times = np.bincount(gate, minlength=9)
+                step = np.stack([np.bincount(gate, error * x[k], 9) for k in range(3)], 1)
+                weights += 0.05 * step / np.maximum(times, 64)[:, None]
+                n += len(y)
+        return n
 
     def score(self, part: pa.RecordBatch) -> np.ndarray:
+        """log10 probability of all code bits of each row."""
         out = np.zeros(part.num_rows)
-        for row, inside, (bits, slots, spelled, begin) in self.coder.ranges(part):
-            gate = spelled * np.int64(9) + self.sure[slots[:, 1]] * np.int64(3) + self.sure[slots[:, 2]]
-            lanes = np.flatnonzero(inside % LANE == 0)
+        for row, start, (bits, slots, begin) in self.coder.ranges(part):
+            gate = self.sure.take(slots[1]) * np.int64(3) + self.sure.take(slots[2])
+            lanes = np.flatnonzero(start)
             starts = begin[lanes]
-            np.add.at(out, row[lanes], run_lanes(bits, gate, self.stretch[slots], starts, np.diff(np.append(starts, begin[-1])), self.first)[0])
+            np.add.at(out, row[lanes], run_lanes(bits, gate, [self.stretch.take(x) for x in slots], starts, np.diff(np.append(starts, begin[-1])), self.first))
         return out
 
 
@@ -221,6 +211,7 @@ _ready: dict[str, Model] = {}
 
 
 def _count_words(batches):
+    """word, n: summed over as much of a partition as bounded memory allows."""
     kept, held = [], 0
 
     def summed(parts):
@@ -244,13 +235,12 @@ def _count_words(batches):
 
 def _count_contexts(shared):
     def run(batches):
-        coder, ones, total = shared.value, np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        coder, both = shared.value, np.zeros(2 * SLOTS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                for _, _, (bits, slots, _, _) in coder.ranges(part):
-                    for k in range(3):
-                        total += np.bincount(slots[:, k], minlength=SLOTS)
-                        ones += np.bincount(slots[bits > 0, k], minlength=SLOTS)
+            for part in slices(batch, "text", 5 << 19):
+                for _, _, (bits, slots, _) in coder.ranges(part):
+                    both += np.bincount((slots * 2 + bits).ravel(), minlength=2 * SLOTS)
+        ones, total = both[1::2], both[::2] + both[1::2]
         some = np.flatnonzero(total)
         for a in range(0, len(some), 1 << 17):
             at = some[a : a + (1 << 17)]
@@ -280,25 +270,24 @@ def train(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     zeros[at] = sums.column("n").to_numpy() - ones[at]
     shared.unpersist()
     known = Table(keys, n.astype(np.float64)[:, None], 20)
-    model = Model(coder, ones, zeros, known, int(total + ends), int(distinct + (ends > 0)), ends)
+    model = Model(coder, ones, zeros, known, int(total + ends), int(distinct + (ends > 0)), ends, (int(total - n[:HEAD].sum()), int(distinct - len(keys[:HEAD]))))
     shared = spark.sparkContext.broadcast(model)
 
     def learnt(batches):
-        own, kept = shared.value, []
+        own, n = shared.value, 0
+        weights = own.first[0].astype(np.float64)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                kept.append(own.learn(part))
-        if kept:
-            weights, maps, n = (sum(x) for x in zip(*kept))
-            flat = np.concatenate([[n], weights.ravel(), maps.ravel()])
+            for part in slices(batch, "text", 5 << 19):
+                n += own.learn(part, weights)
+        if n:
+            flat = np.concatenate([[n], n * weights.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)).astype(np.int32)), pa.array(flat)], names=["place", "value"])
 
     sums = {r.place: r.value for r in rows.mapInArrow(learnt, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()}
     if sums.get(0):
-        flat = np.array([sums[i] for i in range(1, len(sums))], np.float32) / np.float32(sums[0])
-        model.first = flat[:54].reshape(18, 3), flat[54:].reshape(2, 33)
+        model.first = (np.array([sums[i] for i in range(1, 28)]) / sums[0]).reshape(9, 3).astype(np.float32), model.first[1]
     shared.unpersist()
-    model.freeze()
+    model.left_out = model.left_sure = None
     return model, counts
 
 
@@ -308,7 +297,7 @@ _SCORED = "row_no bigint, doc_id bigint, n_bytes bigint, n_tokens bigint, n_head
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    floor = -np.log10(max(model.tokens + model.distinct + 1, 1))
+    floor, low = -np.log10(model.tokens + model.distinct + 1), -np.log10(sum(model.rest) + 1)
 
     def run(batches):
         own = _ready.get(name)
@@ -316,14 +305,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             _ready.clear()
             own = _ready[name] = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 5 << 19):
                 words, _, begins = hash_words(*text_bytes(part.column("text")))
                 n_words, rows = np.diff(begins), part.num_rows
                 row = np.repeat(np.arange(rows), n_words)
                 found = own.known.find(words)
                 hit = found >= 0
-                log = np.log10(np.where(hit, own.known.values[found, 0], 0) + 1) + floor
-                base = np.bincount(row[hit], log[hit], rows) + np.log10(own.ends + 1) + floor
+                plain = np.log10(np.where(hit, own.known.values[found, 0], 0) + 1)
+                base = np.bincount(row[hit], plain[hit] + floor, rows) + np.log10(own.ends + 1) + floor
+                escaped = hit & (own.coder.head.find(words) < 0)
+                score = own.score(part) + np.bincount(row[escaped], plain[escaped] + low, rows)
                 n_head = np.bincount(row[hit], minlength=rows) + (own.ends > 0)
                 left = np.flatnonzero(~hit)
                 order = left[np.lexsort((words[left], row[left]))]
@@ -334,12 +325,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 rest = pa.StructArray.from_arrays([pa.array(words[order][heads].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "times"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[order][heads], minlength=rows))]).astype(np.int32)
                 n_bytes = np.diff(text_bytes(part.column("text"))[1])
-                columns = [part.column("row_no"), part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (n_bytes, n_words + 1, n_head)), pa.array(base), pa.array(own.score(part)), pa.ListArray.from_arrays(pa.array(ends), rest)]
+                columns = [part.column("row_no"), part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (n_bytes, n_words + 1, n_head)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rest)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "n_bytes", "n_tokens", "n_head", "base", "score", "rest"])
 
     scored = stored(_rows(docs).withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(run, _SCORED))
     rest = scored.select("row_no", F.explode("rest").alias("r")).select("row_no", "r.*").join(counts, "word", "left")
     rest = rest.groupBy("row_no").agg(F.sum("times").alias("n_rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rest"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("log_rest"))
     out = scored.drop("rest").join(rest, "row_no", "left")
-    base = F.col("base") + F.coalesce(F.col("log_rest") + F.col("n_rest") * F.lit(float(floor)), F.lit(0.0))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_head") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    with_rest = lambda name, each: F.col(name) + F.coalesce(F.col("log_rest") + F.col("n_rest") * F.lit(float(each)), F.lit(0.0))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_head") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), with_rest("base", floor).alias("base_score"), with_rest("score", low).alias("score"))
