@@ -1,12 +1,63 @@
-"""Corpus cleaning pipeline: each stage works on what its predecessor kept."""
+"""Corpus cleaning pipeline: each stage works on what its predecessor kept, and writes it for the next.
+
+Toxic documents go, one document of each near-duplicate class stays, contaminated documents go, the sources are mixed to
+their target weights (documents are repeated or left out as the mix takes them), and the mix is written as compacted shards.
+All stages but the last return the columns of documents; the last adds each row's shard.
+"""
+
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from evidrift.llm import decontaminate, jaccard, mixing, toxicity
+from evidrift.llm.common import crc_fold, shared_dir, stored, table
+from evidrift.llm.sharding import ShardStore
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learns from the labelled rows outside the held-out fold; rows that score 0.3 or more go."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(crc_fold("doc_id", 4) != 2))
+    return toxicity.keep(docs, model, 0.3)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.materialise(docs)
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    store = ShardStore(spark, f"{shared_dir(spark)}/evidrift/store-{uuid.uuid4().hex}", target=64 << 20)
+    store.append(docs)
+    store.compact()
+    store.vacuum()
+    return store.read(place=True)
+
+
+STAGES = [
+    ("toxicity", keep_civil),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("benchmark_decontamination", keep_uncontaminated),
+    ("mixing_sources", mix_sources),
+    ("sharding", write_shards),
+]
 
+#: Toxicity is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; what a stage returns is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
