@@ -45,7 +45,7 @@ def place_of(doc_id: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = 3) -> DataFrame:
     """sizes: source, source_size, a row a source. Adds weight and target. The capped shares are min(repeats * size, level * weight);
-    the level follows from running sums over the sources in order of the level at which each is capped."""
+    the level follows from running sums over the sources in order of the level at which each is capped: the first, and highest, that caps no later source."""
     ranked = sizes.withColumn("n", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("n") - 1) % len(weights) + 1)).withColumn("most", F.col("source_size") * float(repeats))
@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = 3) -> Dat
     before = F.coalesce(F.sum("most").over(by_cap), F.lit(0.0))
     left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_cap), F.lit(0.0))
     ranked = ranked.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(everything) - before) / left)
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(everything))
+    ranked = ranked.withColumn("level", F.max(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))).over(everything))
     return ranked.select("source", "source_size", "weight", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 

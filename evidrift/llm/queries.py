@@ -100,7 +100,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS most FROM s),
 lv AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS lev
        FROM r WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(most, coalesce((SELECT min(lev) FROM lv WHERE lev <= most / weight) * weight, most)) AS target FROM lv),
+t AS (SELECT source, source_size, least(most, coalesce((SELECT max(lev) FROM lv WHERE lev <= most / weight) * weight, most)) AS target FROM lv),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
 g AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
 c AS (SELECT source, place, sum(words) OVER (PARTITION BY source ORDER BY place) - words / 2.0 AS mid FROM g)
