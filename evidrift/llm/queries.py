@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, mixing, mixing_lm, topk, toxicity
+from . import decontaminate, jaccard, licences, linededup, mixing, mixing_lm, topk, toxicity
 from .common import crc_fold, shared_dir, table
 from .sharding import ShardStore
 
@@ -63,6 +63,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "n_dropped")
+
+
 _WORDS = "regexp_extract_all(regexp_replace(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+')"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
