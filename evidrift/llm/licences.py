@@ -2,19 +2,22 @@
 
 A paragraph is a line of a text; lines of over WINDOW words are read in windows of WINDOW words, half of them shared with the next. Features are
 hashed word n-grams (one and two words of letters and digits, lower-cased). A multinomial logistic regression with an elastic net, so that its weights are sparse, tells the licence
-families of TEMPLATES, whole and in fragments, from an unknown class, learnt from at most UNKNOWN paragraphs of the corpus (lowest hashes) that hardly
-overlap any template. The family's probability must exceed a bar set on held-out unknown paragraphs, so that at most one in a thousand of them would pass.
+families of TEMPLATES, whole and in fragments, from an unknown class, learnt from at most UNKNOWN paragraphs of the corpus (lowest hashes, half of them
+with a word in common with the templates) that hardly overlap any template. The family's probability must exceed a bar set on held-out unknown paragraphs, so that at most one in a thousand of them would pass.
 A prediction counts only if the paragraph holds at least CONFIRM of the word pairs of a template of that family.
 
 Defined results: null, empty and blank texts have no paragraph and no notice; rows that repeat a doc_id are scanned each;
 null ids are kept; other columns are ignored; an empty table gives no rows. Texts may be of any length, as windows bound a row.
 
-Plan: DataFrame operators and Spark's own ML stages, all in the JVM. One narrow pass over paragraphs; what is shuffled is the few confirmed notices,
+Plan: DataFrame operators and Spark's own ML stages, all in the JVM. A confirmed paragraph has one of the templates' anchor words, as fewer pairs than a
+confirmation takes are without any; texts and lines without one are passed over first, which changes no result. One narrow pass; what is shuffled is the few confirmed notices,
 summed by row. The model's size is fixed.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -53,6 +56,10 @@ TEMPLATES = [
 ]
 
 
+# Words too common to anchor a notice.
+_COMMON = {"a", "all", "and", "any", "are", "as", "be", "by", "for", "in", "into", "is", "it", "no", "of", "on", "or", "the", "this", "to", "under", "use", "with", "without", "you", "your", "work", "free"}
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -66,13 +73,36 @@ def _windows(words: Column, size: int, step: int) -> Column:
     return F.when(F.size(words) <= size, F.array(words)).otherwise(F.transform(starts, lambda s: F.slice(words, s, F.lit(size))))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row_no, doc_id and words of every window of every line that has a word."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.col("text").cast("string").alias("text"))
+def anchors() -> list[str]:
+    """Words of which every confirmed paragraph has one: for each template the words that cover the most of its pairs, until
+    fewer pairs are left than a confirmation takes."""
+    out: set[str] = set()
+    for _, notice in TEMPLATES:
+        words = [w for w in re.split(r"[\W_]+", notice.lower()) if w]
+        left = total = set(zip(words, words[1:]))
+        while len(left) >= CONFIRM * len(total):
+            word = max({w for p in left for w in p}, key=lambda w: (w not in _COMMON, w in out, sum(w in p for p in left) * (len(w) > 2), len(w), w))
+            out.add(word)
+            left = {p for p in left if word not in p}
+    return sorted(out)
+
+
+def _anchored(text: Column) -> Column:
+    return F.lower(text).rlike(f"(?:{'|'.join(anchors())})(?![\\p{{L}}\\p{{N}}])")
+
+
+def paragraphs(rows: DataFrame, anchored: bool = True) -> DataFrame:
+    """row_no and words of every window of every line that has a word; with anchored, only of lines that a template could confirm."""
+    rows = rows.where(_anchored(F.col("text"))) if anchored else rows
     lines = rows.select("row_no", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(_anchored(F.col("line"))) if anchored else lines
     return lines.select("row_no", _words(F.col("line")).alias("w")).where(F.size("w") > 0).select("row_no", F.explode(_windows(F.col("w"), WINDOW, WINDOW // 2)).alias("words"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.col("text").cast("string").alias("text"))
+
+
 def templates(spark) -> DataFrame:
     out = spark.createDataFrame(TEMPLATES, "family string, notice string").withColumn("words", _words(F.col("notice")))
     return out.select("family", "words", _pairs(F.col("words")).alias("pairs"))
@@ -98,7 +128,9 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
     known = templates(spark)
     families = [_UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     held = known.select("pairs").collect()
-    some = paragraphs(docs).select("words").orderBy(F.xxhash64("words")).limit(unknown)
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("text")).select(F.lit(0).alias("row_no"), F.substring("text", 1, 16 * WINDOW).alias("text"))
+    near = lines.where(_anchored(F.col("text"))).orderBy(F.xxhash64("text"), "text").limit(unknown // 2)
+    some = paragraphs(near.unionAll(lines.orderBy(F.xxhash64("text"), "text").limit(unknown // 2)), False).select("words")
     overlap = F.greatest(*[F.size(F.array_intersect(_pairs(F.col("words")), F.array(*map(F.lit, r.pairs)))) / F.lit(float(len(r.pairs))) for r in held])
     some = stored(some.where(overlap < 0.3).select("words", F.lit(_UNKNOWN).alias("family"), (F.pmod(F.xxhash64("words", F.lit(1)), F.lit(5)) == 0).alias("held")))
     pieces = F.array_union(F.array("words"), F.array_union(_windows(F.col("words"), 8, 4), _windows(F.col("words"), 16, 8)))
@@ -118,11 +150,11 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
 def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """row_no, doc_id, n_paragraphs, families (sorted, comma-joined) and n_notices of every row of docs."""
     classifier = classifier or train(docs)
-    found = classifier.predict(paragraphs(docs))
+    found = classifier.predict(paragraphs(_numbered(docs)))
     against = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("known"))
     own = _pairs(F.col("words"))
     confirmed = F.exists("known", lambda t: F.size(F.array_intersect(t, own)) >= F.size(F.array_distinct(t)) * F.lit(CONFIRM))
     found = found.join(F.broadcast(against), "family").where(confirmed)
     found = found.groupBy("row_no").agg(F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.count(F.lit(1)).alias("n_notices"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.coalesce(F.size(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))), F.lit(0)).alias("n_paragraphs"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.coalesce(F.size(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x) != "")), F.lit(0)).alias("n_paragraphs"))
     return rows.join(found, "row_no", "left").select("row_no", "doc_id", "n_paragraphs", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
