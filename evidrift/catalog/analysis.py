@@ -1 +1,248 @@
-from . import query
+"""Queries of evidence, memory, evaluation, calculations, diffs, reviews and telemetry."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analysis as A
+from ..operators import evidence as E
+from . import query, table
+
+_SENT = "list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '')"
+_TYPE = "CASE WHEN regexp_matches({0}, '\\b\\d+(?:[.,]\\d+)?%?\\b') OR regexp_matches(lower({0}), 'percent') THEN 'numeric' WHEN regexp_matches(lower({0}), 'january|february|march|april|june|july|august|september|october|november|december') THEN 'temporal' WHEN regexp_matches(lower({0}), 'compared|versus|greater|less than') THEN 'comparative' WHEN regexp_matches(lower({0}), 'must|shall|required') THEN 'obligation' ELSE 'factual' END"
+_NEG = "regexp_matches(lower({0}), '\\b(no|not|never|without|cannot|can''t|won''t|isn''t|aren''t|doesn''t|didn''t)\\b')"
+_TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+_NUM = "list_distinct(regexp_extract_all({0}, '\\b\\d+(?:[.,]\\d+)?%?\\b'))"
+_CLAIMS = f"SELECT conv_id * 1000 + turn AS answer_id, conv_id, CAST(generate_subscripts(s, 1) AS INTEGER) AS claim_no, unnest(s) AS claim FROM (SELECT conv_id, turn, {_SENT} AS s FROM conversations WHERE role = 'assistant')"
+_CONTEXTS = "SELECT a.conv_id * 1000 + a.turn AS answer_id, c.turn AS context_id, c.text, c.turn = a.turn - 1 AS cited FROM conversations a JOIN conversations c ON a.conv_id = c.conv_id AND c.turn < a.turn WHERE a.role = 'assistant'"
+_SELECTED = f"""WITH cl AS ({_CLAIMS}), cx AS ({_CONTEXTS}), p AS (SELECT cl.*, cx.context_id, cx.text, cx.cited, coalesce(len(list_intersect({_TOK.format('claim')}, {_TOK.format('cx.text')})) / nullif(len({_TOK.format('claim')}), 0), 0) AS overlap FROM cl JOIN cx USING (answer_id)),
+w AS (SELECT *, overlap + CASE WHEN cited THEN 0.5 ELSE 0 END + 0.1 / context_id AS weight FROM p WHERE context_id > 0 UNION ALL SELECT *, overlap + CASE WHEN cited THEN 0.5 ELSE 0 END + 0.1 AS weight FROM p WHERE context_id = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY round(weight, 9) DESC, context_id) AS rank FROM w WHERE weight > 0)"""
+
+
+def _answers(spark, d):
+    return table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "text")
+
+
+def _contexts(spark, d):
+    a = _answers(spark, d).select("answer_id", "conv_id", F.col("turn").alias("own"))
+    c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("context_id"), "text")
+    score = F.when(F.col("context_id") > 0, F.try_divide(F.lit(1.0), F.col("context_id"))).otherwise(1.0)
+    return a.join(c, "conv_id").where("context_id < own").select("answer_id", "context_id", "text", score.alias("score"), (F.col("context_id") == F.col("own") - 1).alias("cited"))
+
+
+def _selected(spark, d):
+    return E.select_evidence(E.claims(_answers(spark, d)), _contexts(spark, d))
+
+
+@query("e08_claims", f"SELECT answer_id, claim_no, claim, {_TYPE.format('claim')} AS claim_type, {_TYPE.format('claim')} <> 'factual' OR {_NEG.format('claim')} AS material FROM ({_CLAIMS})")
+def e08(spark, d):
+    return E.claims(_answers(spark, d))
+
+
+@query("e09_evidence_selection", f"{_SELECTED} SELECT answer_id, claim_no, context_id, round(weight, 9) AS weight FROM r WHERE rank <= 8")
+def e09(spark, d):
+    return _selected(spark, d).select("answer_id", "claim_no", "context_id", F.round("weight", 9).alias("weight"))
+
+
+@query("e11_verdicts", f"""{_SELECTED}, g AS (SELECT answer_id, claim_no, max(overlap) AS o, bool_or(len(list_filter({_NUM.format('claim')}, lambda x: NOT list_contains({_NUM.format('text')}, x))) = 0) AS nok, bool_or({_NEG.format('claim')} = {_NEG.format('text')}) AS gok FROM r WHERE rank <= 8 GROUP BY ALL)
+SELECT cl.answer_id, cl.claim_no, {_TYPE.format('claim')} AS claim_type, CASE WHEN o IS NULL THEN 'insufficient' WHEN NOT nok OR NOT gok THEN 'contradicted' WHEN o >= 0.65 THEN 'supported' ELSE 'partially_supported' END AS verdict,
+round(CASE WHEN o IS NULL THEN 0 WHEN NOT nok OR NOT gok THEN 0.92 WHEN o >= 0.65 THEN least(0.98, o) ELSE least(0.75, o) END, 9)::DOUBLE AS confidence FROM cl LEFT JOIN g USING (answer_id, claim_no)""")
+def e11(spark, d):
+    out = E.verdicts(_selected(spark, d), E.claims(_answers(spark, d)))
+    return out.withColumn("confidence", F.round("confidence", 9))
+
+
+_CITED = f"SELECT a.conv_id * 1000 + a.turn AS answer_id, a.turn AS citation_no, a.text AS claim, substr(a.text, 1, 20) AS span, u.text AS context FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'"
+_VERIFIED = f"""SELECT answer_id, citation_no, o, CASE WHEN context IS NULL THEN 'unsupported' WHEN miss THEN 'contradicted' WHEN held THEN 'supported' WHEN o >= 0.4 THEN 'partially_supported' ELSE 'unsupported' END AS verdict,
+CASE WHEN context IS NULL THEN 0 WHEN miss THEN 0.92 WHEN held THEN 0.98 WHEN o >= 0.4 THEN least(0.85, o) ELSE o END::DOUBLE AS confidence FROM (SELECT *, len(list_filter({_NUM.format('claim')}, lambda x: NOT list_contains({_NUM.format('context')}, x))) > 0 AS miss, contains(lower(context), lower(span)) AS held,
+coalesce(len(list_intersect({_TOK.format('claim')}, {_TOK.format('context')})) / nullif(len({_TOK.format('claim')}), 0), 0) AS o FROM ({_CITED}))"""
+
+
+def _verified(spark, d):
+    a = _answers(spark, d)
+    before = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    cited = a.join(before, ["conv_id", "turn"], "left").select("answer_id", F.col("turn").alias("citation_no"), F.col("text").alias("claim"), F.substring("text", 1, 20).alias("span"), "context", F.lit(False).alias("web"), F.lit(False).alias("fetched"))
+    return E.verify_citations(cited)
+
+
+@query("e12_citations", f"SELECT answer_id, citation_no, verdict, round(confidence, 9) AS confidence FROM ({_VERIFIED})")
+def e12(spark, d):
+    return _verified(spark, d).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("e14_overall", f"SELECT answer_id // 1000 AS answer_id, CASE WHEN count(*) FILTER (WHERE verdict = 'contradicted') > 0 THEN 'unsupported' WHEN bool_and(verdict = 'supported') THEN 'supported' WHEN bool_or(verdict IN ('supported', 'partially_supported')) THEN 'partially_supported' ELSE 'unsupported' END AS overall, count(*) FILTER (WHERE verdict IN ('supported', 'partially_supported')) / count(*) AS coverage, count(*) FILTER (WHERE verdict = 'contradicted') AS contradictions FROM ({_VERIFIED}) GROUP BY answer_id // 1000")
+def e14(spark, d):
+    return E.overall(_verified(spark, d).withColumn("answer_id", F.floor(F.col("answer_id") / 1000)))
+
+
+@query("e18_memory", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM conversations),
+l AS (SELECT *, role || ': ' || CASE WHEN length(c) > 120 THEN rtrim(substr(c, 1, 117)) || '...' ELSE c END AS line FROM r WHERE back > 4), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS size FROM l)
+SELECT r.conv_id AS session_id, count(*) AS turns, count(*) FILTER (WHERE back <= 4) AS recent_turns, coalesce((SELECT string_agg(line, chr(10) ORDER BY turn) FROM s WHERE s.conv_id = r.conv_id AND size <= 600), '') AS summary FROM r GROUP BY r.conv_id""")
+def e18(spark, d):
+    return E.memory(table(spark, d, "conversations").withColumnRenamed("conv_id", "session_id"))
+
+
+@query("e19_sessions", "SELECT conv_id AS session_id, coalesce(arg_min(substr(text, 1, 80), turn) FILTER (WHERE role = 'user'), 'Untitled') AS title, count(*) AS turns FROM conversations GROUP BY conv_id")
+def e19(spark, d):
+    return E.sessions(table(spark, d, "conversations").withColumnRenamed("conv_id", "session_id"))
+
+
+@query("v09_overlap_f1", """WITH p AS (SELECT a.conv_id * 1000 + a.turn AS case_id, a.text AS answer, u.text AS reference FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1),
+a AS (SELECT case_id, t, count(*) AS n FROM (SELECT case_id, unnest(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS t FROM p) GROUP BY ALL), r AS (SELECT case_id, t, count(*) AS n FROM (SELECT case_id, unnest(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS t FROM p) GROUP BY ALL),
+b AS (SELECT case_id, sum(least(a.n, r.n)) AS both_n FROM a JOIN r USING (case_id, t) GROUP BY case_id), n AS (SELECT case_id, len(regexp_extract_all(lower(answer), '[a-z0-9]+')) + len(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS n FROM p)
+SELECT case_id, CASE WHEN n = 0 THEN 0 ELSE 2.0 * coalesce(both_n, 0) / n END::DOUBLE AS f1 FROM n LEFT JOIN b USING (case_id)""")
+def v09(spark, d):
+    c = table(spark, d, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    return A.overlap_f1(c.join(before, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("text").alias("answer"), "reference"))
+
+
+@query("v18_threshold_failures", "WITH m AS (SELECT o_custkey AS case_id, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS context_precision, avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END) AS verification_pass_rate FROM orders GROUP BY o_custkey) SELECT case_id, 'context_precision' AS metric, context_precision AS value, 0.5::DOUBLE AS threshold FROM m WHERE context_precision < 0.5 UNION ALL SELECT case_id, 'verification_pass_rate', verification_pass_rate, 0.7 FROM m WHERE verification_pass_rate < 0.7")
+def v18(spark, d):
+    share = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, 1.0).otherwise(0.0))
+    m = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(share("F").alias("context_precision"), share("O").alias("verification_pass_rate"))
+    return A.failures(A.long_metrics(m, "case_id"))
+
+
+@query("a10_latency_summary", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS low, round(max(value), 4) AS high, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type")
+def a10(spark, d):
+    return A.latency_summary(table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("a12_request_counts", "SELECT event_type, user_id % 10 AS scope, count(*) AS n, round(avg(value), 6) AS mean, arg_max(event_id, (ts, event_id)) AS latest FROM events GROUP BY ALL")
+def a12(spark, d):
+    return table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 10).alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
+
+
+@query("a13_telemetry_ring", "SELECT event_type, max(total) AS total, count(*) AS sampled, round(avg(value), 6) AS mean, max(value) AS high FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS total, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 1000 GROUP BY event_type")
+def a13(spark, d):
+    e = table(spark, d, "events")
+    k = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    ring = e.select("event_type", "ts", "event_id", "value").withColumn("k", k).where("k <= 1000").groupBy("event_type").agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("high"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total")).join(ring, "event_type")
+
+
+@query("w14_trailing_count", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) <= 3 AS allowed FROM events")
+def w14(spark, d):
+    return A.trailing_count(table(spark, d, "events"), ["user_id"], 3600, 3).select("event_id", "in_window", "allowed")
+
+
+@query("f11_expired_leases", "SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' THEN CASE WHEN o_custkey % 5 >= 3 THEN 'quarantined' ELSE 'queued' END WHEN o_orderstatus = 'O' THEN 'running' ELSE 'complete' END AS status FROM orders")
+def f11(spark, d):
+    o = table(spark, d, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("complete").alias("status"), (F.col("o_custkey") % 5).alias("attempt_count"), F.lit(3).alias("max_attempts"), F.col("o_orderdate").alias("lease_expires_at"))
+    return A.expired_leases(jobs, F.lit("1996-01-01").cast("timestamp_ntz")).select("job_id", "status")
+
+
+def _cells(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").cast("string").alias("value"), F.col("l_returnflag").alias("unit"))
+
+
+_CALC = "SELECT l_orderkey AS plan_id, CASE WHEN {ok} THEN round({value}, 4) END AS value, {error} AS error FROM (SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS v, sum(l_extendedprice) AS s, count(*) AS n, count(DISTINCT l_returnflag) AS u FROM lineitem GROUP BY l_orderkey)"
+for _op, _value, _checked in (
+    ("sum", "s", "unit"), ("difference", "2 * v[1] - s", "unit"), ("product", "list_product(list_transform(v, lambda x: x))", ""), ("ratio", "v[1] / v[2]", "two"), ("percentage_change", "(v[2] - v[1]) / v[1] * 100", "two"),
+    ("min", "list_min(v)", "unit"), ("max", "list_max(v)", "unit"), ("average", "s / n", "unit"), ("count", "n::DOUBLE", ""),
+):
+    _ok, _error = {"unit": ("u <= 1", "CASE WHEN u > 1 THEN 'mixed units' END"), "two": ("n = 2", "CASE WHEN n <> 2 THEN 'needs two inputs' END"), "": ("true", "CAST(NULL AS VARCHAR)")}[_checked]
+    _number = {"sum": 1, "difference": 2, "product": 3, "ratio": 4, "percentage_change": 5, "min": 6, "max": 6, "average": 6, "count": 6}[_op]
+    _rounded = "CAST(NULL AS DOUBLE)" if _op == "product" else _value
+
+    def _run(spark, d, op=_op):
+        out = A.calculate(_cells(spark, d), op)
+        return out.withColumn("value", F.round("value", 4) if op != "product" else F.round(F.log10("value"), 6))
+
+    _sql = _CALC.format(ok=_ok, value=_value, error=_error)
+    if _op == "product":
+        _sql = "SELECT l_orderkey AS plan_id, round(sum(log10(l_extendedprice)), 6) AS value, CAST(NULL AS VARCHAR) AS error FROM lineitem GROUP BY l_orderkey"
+    query(f"c0{_number}_{_op}", _sql)(_run)
+
+
+@query("c07_date_difference", "SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days FROM orders GROUP BY o_custkey")
+def c07(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.datediff(F.max("o_orderdate").cast("date"), F.min("o_orderdate").cast("date")).cast("bigint").alias("days"))
+
+
+def _sides(spark, d):
+    """Documents of a source in order, each against the next; lines are the elements."""
+    w = W.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, d, "documents").select("source", "doc_id", "text").withColumn("next", F.lead("text").over(w)).where("next is not null")
+
+    def lines(c):
+        return docs.select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split(c, "\n")).alias("element_no", "text")).withColumn("section", (F.col("element_no") / 5).cast("int"))
+
+    return lines("text"), lines("next")
+
+
+_DIFF = """WITH d AS (SELECT * FROM (SELECT source, doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents) WHERE next IS NOT NULL),
+o0 AS (SELECT doc_id AS pair_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d), n0 AS (SELECT doc_id AS pair_id, unnest(string_split(next, chr(10))) AS t, generate_subscripts(string_split(next, chr(10)), 1) - 1 AS i FROM d),
+o AS (SELECT pair_id, i, i // 5 AS s, h, row_number() OVER (PARTITION BY pair_id, h ORDER BY i) AS k FROM (SELECT *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS h FROM o0)), n AS (SELECT pair_id, i, i // 5 AS s, h, row_number() OVER (PARTITION BY pair_id, h ORDER BY i) AS k FROM (SELECT *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS h FROM n0)),
+x AS (SELECT pair_id, o.i AS old_no, n.i AS new_no, CASE WHEN o.i IS NULL THEN 'added' WHEN n.i IS NULL THEN 'removed' WHEN o.s = n.s THEN 'unchanged' ELSE 'moved' END AS operation FROM o FULL JOIN n USING (pair_id, h, k))"""
+
+
+@query("d01_diff", f"{_DIFF} SELECT pair_id, CAST(old_no AS INTEGER) AS old_no, CAST(new_no AS INTEGER) AS new_no, operation FROM x")
+def d01(spark, d):
+    return A.diff(*_sides(spark, d))
+
+
+@query("d06_diff_summary", f"{_DIFF} SELECT pair_id, count(*) FILTER (WHERE operation = 'added') AS added, count(*) FILTER (WHERE operation = 'removed') AS removed, count(*) FILTER (WHERE operation = 'unchanged') AS unchanged, count(*) FILTER (WHERE operation = 'moved') AS moved FROM x GROUP BY pair_id")
+def d06(spark, d):
+    return A.diff_summary(A.diff(*_sides(spark, d)))
+
+
+_ACTIONS = "CASE o_orderpriority WHEN '1-URGENT' THEN 'approve' WHEN '2-HIGH' THEN 'reject' WHEN '3-MEDIUM' THEN 'edit' WHEN '4-NOT SPECIFIED' THEN 'waive' ELSE 'request_reanalysis' END"
+_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'needs_review' WHEN 'F' THEN 'draft' ELSE 'rejected' END"
+
+
+@query("p05_review", f"SELECT product_id, status, action, t.n AS next_status, CASE WHEN t.n IS NULL THEN 'cannot ' || action || ' from ' || status END AS error FROM (SELECT o_orderkey AS product_id, {_STATUS} AS status, {_ACTIONS} AS action FROM orders) a LEFT JOIN (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in A.TRANSITIONS) + ") t(s, b, n) ON s = status AND b = action")
+def p05(spark, d):
+    actions = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.expr(_STATUS).alias("status"), F.expr(_ACTIONS).alias("action"))
+    return A.review(actions).select("product_id", "status", "action", "next_status", "error")
+
+
+@query("p08_checkpoints", "SELECT thread_id, seq, sum(c) OVER (PARTITION BY thread_id ORDER BY seq) AS version FROM (SELECT user_id AS thread_id, event_id AS seq, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS c FROM events)")
+def p08(spark, d):
+    states = table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return A.checkpoints(states).withColumn("version", F.col("version").cast("decimal(38,0)").cast("bigint"))
+
+
+@query("a03_readiness", "SELECT o_custkey AS project_id, count(*) AS jobs, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'O') > 0 THEN 'running' WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'degraded' ELSE 'ready' END AS readiness FROM orders GROUP BY o_custkey")
+def a03(spark, d):
+    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.count(F.lit(1)).alias("jobs"), F.when(n("O") > 0, "running").when(n("P") > 0, "degraded").otherwise("ready").alias("readiness"))
+
+
+@query("a02_chunk_counts", "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal < 0 GROUP BY n_name")
+def a02(spark, d):
+    own = table(spark, d, "customer").where("c_acctbal < 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "nation").join(own, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", F.coalesce("n", F.lit(0)).alias("customers"))
+
+
+@query("j16_missing_fields", "SELECT p_partkey, f.name AS field FROM part, (VALUES ('brass'), ('steel'), ('small')) f(name) WHERE NOT contains(lower(p_type || ' ' || p_name), f.name)")
+def j16(spark, d):
+    fields = spark.createDataFrame([("brass",), ("steel",), ("small",)], "field string")
+    part = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("t"))
+    every = part.select("p_partkey", "t", F.explode(F.array(*[F.lit(r.field) for r in fields.collect()])).alias("field"))
+    return every.where(~F.col("t").contains(F.col("field"))).select("p_partkey", "field")
+
+
+@query("z10_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def z10(spark, d):
+    return table(spark, d, "events").groupBy(F.window(F.col("ts"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("d02_fuzzy_modified")
+def d02(spark, d):
+    """Sentences of each turn without an equal one in the next turn, and the other way round; a pair of turns is one group."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "text")
+    rows = c.select("pair_id", F.posexplode(T.sentences(F.col("text"))).alias("element_no", "text")).withColumn("section", F.lit(0)).withColumn("kind", F.lit("sentence"))
+    pairs = c.select("pair_id").join(c.select((F.col("pair_id") - 1).alias("pair_id")), "pair_id", "left_semi")
+    old, new = rows.join(pairs, "pair_id"), rows.withColumn("pair_id", F.col("pair_id") - 1).join(pairs, "pair_id")
+    ops = A.diff(old, new)
+    left = old.join(ops.where("operation = 'removed'").select("pair_id", F.col("old_no").alias("element_no")), ["pair_id", "element_no"])
+    right = new.join(ops.where("operation = 'added'").select("pair_id", F.col("new_no").alias("element_no")), ["pair_id", "element_no"])
+    # one frame with a side column parts the two sides again without a self-join
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    return A.fuzzy_modified(both.where("side = 0"), both.where("side = 1"))

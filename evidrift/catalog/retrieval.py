@@ -1 +1,123 @@
-from . import query
+"""Queries of retrieval: the benchmark items are the questions, the documents the chunks, their source the document."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import retrieval as R
+from . import query, table
+
+
+def _queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _chunks(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("source").alias("title"), "text")
+
+
+_EMBED = """SELECT {key}, slot, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM (SELECT {key}, slot, sum(n * w) AS v FROM (
+  SELECT {key}, n, CAST(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 64 AS INTEGER) AS slot, CASE WHEN CAST(('0x' || substr(h, 9, 2)) AS INTEGER) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (0.5::DOUBLE + CAST(('0x' || substr(h, 11, 2)) AS INTEGER) / 255.0::DOUBLE) AS w
+  FROM (SELECT {key}, sha256(t) AS h, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM {table}) GROUP BY {key}, t)) GROUP BY {key}, slot)"""
+_SPARSE = """SELECT item_id AS qid, doc_id AS chunk_id, sum((length(h) - length(replace(h, t, ''))) // length(t))::DOUBLE AS score
+  FROM (SELECT item_id, unnest(list_slice(regexp_extract_all(lower(text), '\\S+'), 1, 64)) AS t FROM benchmark), (SELECT doc_id, lower(source || ' ' || text) AS h FROM documents) GROUP BY ALL HAVING score > 0"""
+_RANKED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ({0})) WHERE rank <= {1}"
+_DENSE = f"SELECT q.item_id AS qid, c.doc_id AS chunk_id, sum(q.value * c.value) AS score FROM ({_EMBED.format(key='item_id', table='benchmark')}) q JOIN ({_EMBED.format(key='doc_id', table='documents')}) c USING (slot) GROUP BY ALL HAVING score > 0"
+_FUSED = f"""WITH dn AS MATERIALIZED ({_RANKED.format(_DENSE, 12)}), sp AS MATERIALIZED ({_RANKED.format(_SPARSE, 12)}),
+f AS (SELECT qid, chunk_id, dn.score AS ds, dn.rank AS dr, sp.score AS ss, sp.rank AS sr FROM dn FULL JOIN sp USING (qid, chunk_id)),
+n AS (SELECT *, coalesce(ds, 0) / greatest(coalesce(max(ds) OVER (PARTITION BY qid), 1), 1e-9) AS dnorm, coalesce(ss, 0) / greatest(coalesce(max(ss) OVER (PARTITION BY qid), 1), 1e-9) AS snorm FROM f),
+g AS (SELECT *, CASE WHEN sr IS NULL THEN dnorm ELSE 0.6 * dnorm + 0.4 * snorm + coalesce(1.0 / (60 + dr), 0) + coalesce(1.0 / (60 + sr), 0) END AS fused FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC, dr IS NULL, dr, sr, chunk_id) AS base_rank FROM g)"""
+_RERANKED = f"""{_FUSED},
+x AS (SELECT o.*, d.source AS document_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, regexp_extract_all(lower(d.source || ' ' || d.text), '[a-z0-9]+') AS body, regexp_extract_all(lower(d.source), '[a-z0-9]+') AS ti, contains(lower(d.text), lower(trim(b.text))) AS ph FROM o JOIN benchmark b ON b.item_id = qid JOIN documents d ON d.doc_id = chunk_id),
+y AS (SELECT *, CASE WHEN base_rank <= 8 THEN 0.7 * (len(list_intersect(q, body)) / len(q) + CASE WHEN ph THEN 0.25 ELSE 0 END + 0.2 * len(list_intersect(q, ti)) / len(q)) + 0.3 * fused END AS rerank_score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base_rank <= 8 DESC, round(rerank_score, 9) DESC NULLS LAST, base_rank) AS final_rank FROM y),
+w AS (SELECT *, row_number() OVER (PARTITION BY qid, document_id ORDER BY final_rank) AS own FROM z)"""
+
+
+@query("x06_decompose", "SELECT item_id AS qid, 1 AS parts, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS first FROM benchmark WHERE NOT regexp_matches(text, '(?i)\\s(and|also|then|versus|vs\\.|compared with|compare with)\\s|[;?]\\s') UNION ALL SELECT item_id, CAST(least(4, 1 + len(list_distinct(list_filter(list_transform(string_split_regex(text, '(?i)\\s+(?:and|also|then|versus|vs\\.|compared with|compare with)\\s+|[;?]\\s+'), lambda x: trim(regexp_replace(trim(x), '[?.]+$', ''))), lambda x: x <> '')))) AS INTEGER), trim(regexp_replace(text, '\\s+', ' ', 'g')) FROM benchmark WHERE regexp_matches(text, '(?i)\\s(and|also|then|versus|vs\\.|compared with|compare with)\\s|[;?]\\s')")
+def x06(spark, d):
+    parts = R.decompose(_queries(spark, d))
+    return parts.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("parts"), F.min_by("query", "part").alias("first"))
+
+
+@query("x29_embedding", f"SELECT item_id AS qid, slot, round(value, 9) AS value FROM ({_EMBED.format(key='item_id', table='benchmark')})")
+def x29(spark, d):
+    return R.embed(_queries(spark, d).withColumnRenamed("query", "text"), "qid").select("qid", "slot", F.round("value", 9).alias("value"))
+
+
+@query("r01_dense", f"SELECT qid, chunk_id, round(score, 9) AS score FROM ({_RANKED.format(_DENSE, 12)})")
+def r01(spark, d):
+    q = R.embed(_queries(spark, d).withColumnRenamed("query", "text"), "qid")
+    return R.dense(q, R.embed(_chunks(spark, d), "chunk_id"), 12).select("qid", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query("r02_dense_vectors", "SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id WHERE list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) <= 5")
+def r02(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "v")
+    return R.dense_arrays(asked, v, 5).select("qid", "vec_id", F.round("score", 9).alias("score"))
+
+
+@query("r04_sparse", f"SELECT qid, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM ({_RANKED.format(_SPARSE, 10)})")
+def r04(spark, d):
+    return R.sparse(_queries(spark, d), _chunks(spark, d), 10).select("qid", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def _fused(spark, d):
+    q, c = _queries(spark, d), _chunks(spark, d)
+    dense = R.dense(R.embed(q.withColumnRenamed("query", "text"), "qid"), R.embed(c, "chunk_id"), 12)
+    return R.in_order(R.fuse(dense, R.sparse(q, c, 12)), "fused")
+
+
+@query("r03_fusion", f"{_FUSED} SELECT qid, chunk_id, round(fused, 9) AS fused, CAST(base_rank AS INTEGER) AS base_rank FROM o")
+def r03(spark, d):
+    return _fused(spark, d).select("qid", "chunk_id", F.round("fused", 9).alias("fused"), F.col("base_rank").cast("int").alias("base_rank"))
+
+
+@query("r06_rerank", f"{_RERANKED} SELECT qid, chunk_id, round(rerank_score, 9) AS rerank_score, CAST(final_rank AS INTEGER) AS final_rank FROM z")
+def r06(spark, d):
+    out = R.rerank(_fused(spark, d), _queries(spark, d), _chunks(spark, d), 8)
+    return out.select("qid", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.col("final_rank").cast("int").alias("final_rank"))
+
+
+@query("r05_hybrid_search", f"{_RERANKED} SELECT qid, document_id, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY final_rank) AS INTEGER) AS position FROM w WHERE own <= 2 QUALIFY position <= 5")
+def r05(spark, d):
+    out = R.hybrid(_queries(spark, d), _chunks(spark, d), 5, 12)
+    return out.select("qid", "document_id", "chunk_id", F.col("position").cast("int").alias("position"))
+
+
+@query("r09_siblings", "WITH s AS (SELECT o_orderkey, o_custkey, 'order ' || o_orderkey AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), t AS (SELECT a.o_orderkey, b.text, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.n) AS k FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey) SELECT s.o_orderkey AS chunk_id, s.text || coalesce((SELECT string_agg(chr(10) || chr(10) || t.text, '' ORDER BY k) FROM t WHERE t.o_orderkey = s.o_orderkey AND k <= 2), '') AS context FROM s")
+def r09(spark, d):
+    o = table(spark, d, "orders")
+    chunks = o.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("parent_chunk_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
+    out = R.expand(chunks.select(F.lit(1).alias("qid"), "chunk_id"), chunks.withColumn("sibling_type", F.lit(None)))
+    return out.select("chunk_id", "context")
+
+
+@query("f13_query_reasons", "SELECT conv_id, turn, CASE WHEN l LIKE '%latest%' OR l LIKE '%current%' OR l LIKE '%today%' OR l LIKE '%recent%' THEN 'freshness,' ELSE '' END || CASE WHEN l LIKE '%web%' OR l LIKE '%internet%' OR l LIKE '%online%' THEN 'web,' ELSE '' END || CASE WHEN l LIKE '%calculate%' OR l LIKE '%compute%' OR l LIKE '%average%' OR l LIKE '%sum of%' THEN 'compute,' ELSE '' END AS reasons FROM (SELECT conv_id, turn, lower(text) AS l FROM conversations)")
+def f13(spark, d):
+    from ..operators import evidence as E
+
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("", F.transform(E.query_reasons(F.col("text")), lambda x: F.concat(x, F.lit(",")))).alias("reasons"))
+
+
+@query("e05_extractive_answer", f"WITH h AS ({_RANKED.format(_SPARSE, 3)}), p AS (SELECT h.*, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM h JOIN documents ON doc_id = chunk_id), q AS (SELECT *, CASE WHEN length(c) > 320 THEN rtrim(substr(c, 1, 317)) || '...' ELSE c END AS packed FROM p) SELECT qid, 'Based on the retrieved sources, ' || regexp_replace(max(packed) FILTER (WHERE rank = 1), '\\.$', '') || '.' AS answer, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS evidence, count(*) = 1 AS single_source FROM q GROUP BY qid")
+def e05(spark, d):
+    from ..operators import evidence as E
+
+    c = _chunks(spark, d)
+    return E.extractive_answer(R.sparse(_queries(spark, d), c, 3).join(c.select("chunk_id", "text"), "chunk_id"))
+
+
+@query("v01_retrieval_metrics", f"""WITH h AS ({_RANKED.format(_SPARSE, 10)}), r AS (SELECT qid, rank, coalesce(quality = 1, false) AS rel, chunk_id FROM h LEFT JOIN labels ON doc_id = chunk_id)
+SELECT qid AS case_id, max(CASE WHEN rel THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_rate_at_k, coalesce(1.0 / min(rank) FILTER (WHERE rel), 0)::DOUBLE AS mrr_at_k, count(*) FILTER (WHERE rel) / count(*) AS context_precision,
+count(*) FILTER (WHERE rel) / 5 AS context_recall, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 6) t(i)) AS ndcg_at_k FROM r GROUP BY qid HAVING count(*) >= 5""")
+def v01(spark, d):
+    from ..operators import analysis as A
+
+    hits = R.sparse(_queries(spark, d), _chunks(spark, d), 10).join(table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), "quality"), "chunk_id", "left")
+    hits = hits.select(F.col("qid").alias("case_id"), "rank", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("relevant"), F.col("chunk_id").alias("unit"))
+    full = hits.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("case_id", F.lit(5).alias("n_expected"))
+    return A.retrieval_metrics(hits, full)

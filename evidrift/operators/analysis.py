@@ -108,6 +108,8 @@ def fuzzy_modified(old: DataFrame, new: DataFrame, least: float = 0.45) -> DataF
                     out.append((key[0], x.element_no, y.element_no, s))
         return pd.DataFrame(out, columns=["pair_id", "old_no", "new_no", "similarity"])
 
+    columns = ["pair_id", "element_no", "kind", "section", "text"]
+    old, new = (x.select(*[F.col(c).alias(c) for c in columns]) for x in (old, new))
     return old.groupBy("pair_id").cogroup(new.groupBy("pair_id")).applyInPandas(match, "pair_id bigint, old_no int, new_no int, similarity double")
 
 

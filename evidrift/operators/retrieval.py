@@ -1,6 +1,7 @@
 """Retrieval: dense, sparse and hybrid search of a batch of queries over chunks, as one lazy plan.
 
-queries: qid, query. chunks: chunk_id, document_id, title, text. Results: qid, chunk_id, score and ranks. Ties go to the smaller chunk_id.
+queries: qid, query. chunks: chunk_id, document_id, title, text. Results: qid, chunk_id, score and ranks. Scores that agree to nine decimals are
+ties, since sums of the same terms in another order differ beyond; ties go to the smaller chunk_id.
 """
 
 from __future__ import annotations
@@ -30,23 +31,23 @@ def decompose(queries: DataFrame, most: int = 4) -> DataFrame:
 
 
 def embed(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """key, at, value: the hashed bag of tokens of each text, of length one, one row a component that is not zero. Each distinct
+    """key, slot, value: the hashed bag of tokens of each text, of length one, one row a component that is not zero. Each distinct
     token is hashed once."""
     counts = texts.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     sha = F.sha2("token", 256)
     byte = lambda i: F.conv(F.substring(sha, 2 * i + 1, 2), 16, 10).cast("int")
-    at = F.pmod(F.conv(F.substring(sha, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    slot = F.pmod(F.conv(F.substring(sha, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     weight = F.when(byte(4) % 2 == 0, 1.0).otherwise(-1.0) * (0.5 + byte(5) / 255.0)
-    sums = counts.withColumn("at", at).groupBy(key, "at").agg(F.sum(F.col("n") * weight).alias("value"))
+    sums = counts.withColumn("slot", slot).groupBy(key, "slot").agg(F.sum(F.col("n") * weight).alias("value"))
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy(key)))
-    return sums.withColumn("norm", norm).where("norm > 0").select(key, "at", (F.col("value") / F.col("norm")).alias("value"))
+    return sums.withColumn("norm", norm).where("norm > 0").select(key, "slot", (F.col("value") / F.col("norm")).alias("value"))
 
 
 def dense(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    """qid, chunk_id, score, rank: the k chunks with the highest positive cosine of unit vectors in (key, at, value) form. The join
+    """qid, chunk_id, score, rank: the k chunks with the highest positive cosine of unit vectors in (key, slot, value) form. The join
     is on the component, and products are summed map-side."""
-    q = small(query_vectors.select("qid", "at", F.col("value").alias("q")))
-    scores = chunk_vectors.select("chunk_id", "at", "value").join(q, "at").groupBy("qid", "chunk_id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
+    q = small(query_vectors.select("qid", "slot", F.col("value").alias("q")))
+    scores = chunk_vectors.select("chunk_id", "slot", "value").join(q, "slot").groupBy("qid", "chunk_id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
     return top(scores.where("score > 0"), k)
 
 
@@ -66,7 +67,7 @@ def dense_arrays(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    w = W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -103,7 +104,7 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, weights: tuple[float, fl
 
 def in_order(hits: DataFrame, score: str) -> DataFrame:
     """base_rank: by falling score; the dense list's order comes before the sparse list's among equals."""
-    w = W.partitionBy("qid").orderBy(F.desc(score), F.col("dense_rank").isNull(), "dense_rank", "sparse_rank", "chunk_id")
+    w = W.partitionBy("qid").orderBy(F.round(score, 9).desc(), F.col("dense_rank").isNull(), "dense_rank", "sparse_rank", "chunk_id")
     return hits.withColumn("base_rank", F.row_number().over(w))
 
 
@@ -116,7 +117,7 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, window: int =
     quality = share(body) + 0.25 * phrase + 0.2 * share(F.array_distinct(T.tokens(F.col("title"))))
     near = F.col("base_rank") <= window
     full = full.withColumn("rerank_score", F.when(near, 0.7 * quality + 0.3 * F.col("fused")))
-    w = W.partitionBy("qid").orderBy(F.desc(near), F.desc("rerank_score"), "base_rank")
+    w = W.partitionBy("qid").orderBy(F.desc(near), F.round("rerank_score", 9).desc(), "base_rank")
     return full.withColumn("final_rank", F.row_number().over(w)).drop("query", "text")
 
 
