@@ -54,6 +54,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def most_frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
+    """The rows of counts whose column `by` is at the least value or above at which no more than limit rows remain. The cutoff
+    comes from a count of rows by value, so nothing is sorted and no task gathers the rows."""
+    rest, cutoff = limit, None
+    for value, rows in sorted(((r[0], r[1]) for r in counts.groupBy(F.least(F.col(by), F.lit(1 << 20)).alias("v")).count().collect()), reverse=True):
+        rest -= rows
+        if rest < 0:
+            break
+        cutoff = value
+    return counts.where(F.lit(False) if cutoff is None else F.col(by) >= cutoff)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of SplitMix64 over uint64."""
     x = x ^ (x >> np.uint64(30))

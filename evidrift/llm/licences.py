@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, stored
 
-WINDOW, UNKNOWN, FEATURES, CONFIRM = 64, 4000, 1 << 13, 0.6
+WINDOW, UNKNOWN, FEATURES, CONFIRM = 64, 4000, 1 << 12, 0.6
 _UNKNOWN = "unknown"
 
 # Usual notices of public licences.
@@ -137,8 +137,8 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
     notices = known.select("family", F.explode(pieces).alias("words")).where(F.size("words") > 3)
     rows = some.where("not held").select("words", "family").unionAll(notices.select("words", "family"))
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    rows = _featured(rows).withColumn("label", label).withColumn("weight", F.when(F.col("family") == _UNKNOWN, 1.0).otherwise(5.0)).select("label", "weight", "features")
-    fit = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.5, weightCol="weight", family="multinomial", standardization=False, aggregationDepth=2).fit(rows)
+    rows = _featured(rows).withColumn("label", label).withColumn("weight", F.when(F.col("family") == _UNKNOWN, 1.0).otherwise(5.0)).select("label", "weight", "features").coalesce(2)
+    fit = LogisticRegression(maxIter=30, regParam=2e-4, elasticNetParam=0.5, weightCol="weight", family="multinomial", standardization=False, aggregationDepth=2).fit(rows)
     out = Classifier(fit, families, 0.0)
     held_out = some.where("held").select("words")
     worst = out.predict(held_out).orderBy(F.desc("probability")).limit(held_out.count() // 1000 + 1).agg(F.min("probability")).first()[0]

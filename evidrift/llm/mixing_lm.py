@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, slices, stored, text_bytes
+from .common import hash_words, mix64, most_frequent, slices, stored, text_bytes
 from .toxicity import Table
 
 HEAD = 1 << 17
 KNOWN = 1 << 19
-SPAN = 2048
-RANGE = 3_000_000
+SPAN = 1024
+RANGE = 2_000_000
 _END, _ESCAPE = 0, 1
 _END_KEY = np.uint64(0x5DEECE66D1234567)
 _HASHED = 20
@@ -138,7 +138,7 @@ def run_lanes(bits, gate, stretched, starts, lengths, first) -> np.ndarray:
     n, total = len(lengths), np.zeros(len(lengths))
     weights = [np.tile(np.ascontiguousarray(first[0][:, k]), n) for k in range(3)]
     refined = np.tile(first[1], n)
-    lane_w, lane_r, out = np.arange(n) * 9, np.arange(n) * 33, np.zeros(n, np.float32)
+    lane_w, lane_r, out = np.arange(n) * 9, np.arange(n) * 33, np.ones(n, np.float32)
     rate, half, one = np.float32(0.01), np.float32(0.5), np.float32(1)
     for block in range(0, len(active), 256):  # the bits of a block, one row a step
         steps = active[block : block + 256]
@@ -161,9 +161,12 @@ def run_lanes(bits, gate, stretched, starts, lengths, first) -> np.ndarray:
             r = refined.take(place)
             refined[place] = r + (y - r) * np.float32(0.02)
             q = (p * 3 + r) * (half * half)
-            out[:m] += np.log(one - q + y * (q + q - one))
-        total += out
-        out[:] = 0
+            out[:m] *= one - q + y * (q + q - one)  # at least 8e-5 each, so eight of them stay above the least float
+            if t % 8 == 7:
+                total += np.log(out)
+                out[:] = 1
+        total += np.log(out)
+        out[:] = 1
     back = np.empty(n)
     back[order] = total / np.log(10)
     return back
@@ -200,7 +203,7 @@ class Model:
         """log10 probability of all code bits of each row."""
         out = np.zeros(part.num_rows)
         for row, start, (bits, slots, begin) in self.coder.ranges(part):
-            gate = self.sure.take(slots[1]) * np.int64(3) + self.sure.take(slots[2])
+            gate = self.sure.take(slots[1]) * np.uint8(3) + self.sure.take(slots[2])
             lanes = np.flatnonzero(start)
             starts = begin[lanes]
             np.add.at(out, row[lanes], run_lanes(bits, gate, [self.stretch.take(x) for x in slots], starts, np.diff(np.append(starts, begin[-1])), self.first))
@@ -222,10 +225,10 @@ def _count_words(batches):
         for part in slices(batch, "text"):
             kept.append(np.unique(hash_words(*text_bytes(part.column("text")))[0], return_counts=True))
             held += len(kept[-1][0])
-            if held > 4_000_000:
+            if held > 1_500_000:
                 kept = [summed(kept)]
                 held = len(kept[0][0])
-                if held > 2_000_000:
+                if held > 750_000:
                     yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].view(np.int64)), pa.array(kept[0][1])], names=["word", "n"])
                     kept, held = [], 0
     if kept:
@@ -259,8 +262,10 @@ def train(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     counts = stored(rows.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     ends = rows.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    best = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
-    keys, n = best.column("word").to_numpy().astype(np.int64).view(np.uint64), best.column("n").to_numpy().astype(np.int64)
+    best = most_frequent(counts, "n", KNOWN).select("word", "n").toArrow()
+    keys, n = best.column("word").to_numpy().astype(np.int64), best.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((keys, -n))
+    keys, n = keys[order].view(np.uint64), n[order]
     coder = Coder(keys[:HEAD], n[:HEAD], ends, int(total - n[:HEAD].sum()))
     shared = spark.sparkContext.broadcast(coder)
     sums = rows.mapInArrow(_count_contexts(shared), "slot int, ones bigint, n bigint").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).toArrow()

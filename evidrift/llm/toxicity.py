@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, hash_words, slices, stored, text_bytes
+from .common import forget, hash_words, most_frequent, slices, stored, text_bytes
 
 MAX_LABELS = 200_000
 MAX_WORDS = 1 << 19
@@ -177,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
     levels, totals = [], []
     for key, most, frame in zip(("word", *stems), (MAX_WORDS, *(MAX_STEMS for _ in stems)), frames):
         totals.append(list(frame.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n0")), F.count_if(F.col("n1") > 0), F.count_if(F.col("n0") > 0)).first()))
-        best = frame.where("n1 + n0 > 1").select(key, "n1", "n0").orderBy(F.desc(F.expr("n1 + n0")), key).limit(most).toArrow()
+        best = most_frequent(frame.where("n1 + n0 > 1").select(key, "n1", "n0", (F.col("n1") + F.col("n0")).alias("n")), "n", most).toArrow()
         columns = [best.column(c).to_numpy().astype(np.int64) for c in (key, "n1", "n0")]
-        levels.append((columns[0].view(np.uint64), np.stack(columns[1:], 1).astype(np.float32)))
+        order = np.lexsort((columns[0], -columns[1] - columns[2]))
+        levels.append((columns[0][order].view(np.uint64), np.stack(columns[1:], 1)[order].astype(np.float32)))
         forget(frame)
     model = Model(levels, np.array(totals, float))
     shared = docs.sparkSession.sparkContext.broadcast(model)
