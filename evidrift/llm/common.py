@@ -55,15 +55,16 @@ def forget(df: DataFrame) -> None:
 
 
 def most_frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
-    """The rows of counts whose column `by` is at the least value or above at which no more than limit rows remain. The cutoff
-    comes from a count of rows by value, so nothing is sorted and no task gathers the rows."""
+    """The rows of counts whose column `by` is at the least value or above at which no more than limit rows remain, to a 64th of a binary
+    order. The cutoff comes from a count of rows by level, so nothing is sorted and no task gathers the rows."""
+    level = F.floor(F.log2(F.col(by).cast("double")) * 64).cast("int")
     rest, cutoff = limit, None
-    for value, rows in sorted(((r[0], r[1]) for r in counts.groupBy(F.least(F.col(by), F.lit(1 << 20)).alias("v")).count().collect()), reverse=True):
+    for value, rows in sorted(((r[0], r[1]) for r in counts.where(F.col(by) > 0).groupBy(level.alias("v")).count().collect()), reverse=True):
         rest -= rows
         if rest < 0:
             break
         cutoff = value
-    return counts.where(F.lit(False) if cutoff is None else F.col(by) >= cutoff)
+    return counts.where(F.lit(False) if cutoff is None else (F.col(by) > 0) & (level >= cutoff))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, linededup, mixing, mixing_lm, topk, toxicity
+from . import decontaminate, jaccard, licences, linededup, mixing, mixing_lm, substrings, topk, toxicity
 from .common import crc_fold, shared_dir, table
 from .sharding import ShardStore
 
@@ -28,6 +28,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.summary(table(spark, sf_dir, "documents")).drop("row_no")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_fold("doc_id", 7) == 2, F.lit(False))
