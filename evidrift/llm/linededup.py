@@ -6,7 +6,7 @@ class the first line stays, in order of rows and lines.
 
 Distinct lines are split into TAU + 1 segments of even length. If two lines are near, a segment of the shorter stands unchanged in the longer, and the multi-match
 rule bounds where: each line is indexed by (length, segment number, segment) and probes the lengths up to TAU below its own with the few substrings that may match. Lines that
-meet under a key are compared by a banded bit-parallel edit distance.
+meet under a key and whose letter counts differ by no more than the edits allow are compared by a banded bit-parallel edit distance.
 
 Defined results: null and empty texts have no line; lines too short to be near anything match equal lines only; rows that repeat a doc_id are rows of their own,
 and the first keeps the line; other columns are kept by `dedup` and ignored by `lines_kept`; an empty table gives no rows. Lines are told apart by 64-bit hashes.
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, mix64, slices, stored, text_bytes
 from .graph import components
-from .jaccard import cells
 
-TAU, SHORTEST, BLOCK = 2, 24, 256
+TAU, SHORTEST, BLOCK = 2, 32, 256
 _P = 0xD6E8FEB86659FD93
 _INVERSE = pow(_P, -1, 1 << 64)
 _tables: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -174,31 +173,64 @@ def within(pairs: list[tuple[bytes, bytes]], tau: int) -> np.ndarray:
     return out
 
 
-def _linked(tau: int):
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups of a partition that is sorted by keys, and where the groups begin (one more at the end)."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        changed = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(changed)])
+        if len(cuts) > 1:
+            yield table.slice(0, cuts[-1]), cuts
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _linked(tau: int, most: int = 1 << 19):
     def run(batches):
-        for cell in cells(batches, ["key", "i", "j"]):
-            i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-            own, line, indexed = cell.column("own").to_numpy(), cell.column("line").to_numpy(), cell.column("indexed").to_numpy(zero_copy_only=False)
-            texts = cell.column("bytes").to_pylist()
+        for table, cuts in _whole_groups(batches, ["key", "i", "j"]):
+            across = table.column("i").to_numpy() != table.column("j").to_numpy()
+            own, line, indexed = table.column("own").to_numpy(), table.column("line").to_numpy(), table.column("indexed").to_numpy(zero_copy_only=False)
+            texts = table.column("bytes").to_pylist()
             n = np.array([len(x) for x in texts])
-            pairs = (indexed[:, None] | indexed[None, :]) & (np.abs(n[:, None] - n[None, :]) <= tau) & (line[:, None] < line[None, :])
-            if i != j:
-                pairs &= own[:, None] != own[None, :]
-            a, b = np.nonzero(pairs)
-            if not len(a):
-                continue
-            near = within([(texts[x], texts[y]) for x, y in zip(a, b)], tau)
-            root = np.arange(len(n))
-            for x, y in zip(a[near], b[near]):
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                while root[y] != y:
-                    root[y] = y = root[root[y]]
+            letters = np.stack([np.bincount(np.frombuffer(x, np.uint8) & 31, minlength=32) for x in texts]).astype(np.int32)
+            after = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(n)) - 1  # rows of the group behind each row
+            upto, edges, at = np.cumsum(after), [], 0
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+                k = after[at:to]
+                a = np.repeat(np.arange(at, to), k)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+                ok = (indexed[a] | indexed[b]) & (np.abs(n[a] - n[b]) <= tau) & (line[a] != line[b]) & (~across[a] | (own[a] != own[b]))
+                a, b = a[ok], b[ok]
+                ok = np.abs(letters[a] - letters[b]).sum(1) <= 2 * tau  # an edit changes two counts of letters at most
+                a, b = a[ok], b[ok]
+                if len(a):
+                    pairs, first = np.unique(np.stack([np.minimum(line[a], line[b]), np.maximum(line[a], line[b])], 1), axis=0, return_index=True)
+                    near = within([(texts[a[i]], texts[b[i]]) for i in first], tau)
+                    edges.append(pairs[near])
+                at = to
+            found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+            root: dict[int, int] = {}
+
+            def top(x):
+                while root.get(x, x) != x:
+                    root[x] = x = root.get(root[x], root[x])
+                return x
+
+            for x, y in found.tolist():
+                x, y = top(x), top(y)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-            some = np.flatnonzero(root != np.arange(len(n)))
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], names=["a", "b"])
+            if root:
+                yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([top(x) for x in list(root)], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -238,7 +270,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with the text of every row less its dropped lines; blank lines stay."""
     every, first = lines_kept(docs, **options)
     gone = every.select("row_no", "line_no").join(first, ["row_no", "line_no"], "left_anti").groupBy("row_no").agg(F.collect_set("line_no").alias("gone__"))
-    marked = docs.withColumn("row_no", F.monotonically_increasing_id()).join(gone, "row_no", "left")
+    marked = docs.withColumn("row_no__", F.monotonically_increasing_id()).join(gone.withColumnRenamed("row_no", "row_no__"), "row_no__", "left")
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("gone__"), s["i"]))
     text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n"))
     return marked.withColumn("text", text).select(*docs.columns)
