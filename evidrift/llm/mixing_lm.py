@@ -75,7 +75,7 @@ class Coder:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, rest: int):
         """keys, counts: the HEAD words by falling count. ends: training texts. rest: training occurrences of other words."""
-        self.head = Table(keys, np.arange(2, len(keys) + 2, dtype=np.float32)[:, None], (2 * HEAD).bit_length())
+        self.head = Table(keys, np.arange(2, len(keys) + 2, dtype=np.float32)[:, None])
         starts, path, self.bits = huffman(np.concatenate([[ends, rest], counts]))
         self.starts, self.length, self.path = starts[:-1].astype(np.int32), np.diff(starts).astype(np.int32), path.astype(np.int32)
         self.mixed = np.arange(HEAD + 2, dtype=np.uint64) * _C
@@ -274,7 +274,7 @@ def train(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     ones[at] = sums.column("ones").to_numpy()
     zeros[at] = sums.column("n").to_numpy() - ones[at]
     shared.unpersist()
-    known = Table(keys, n.astype(np.float64)[:, None], 20)
+    known = Table(keys, n.astype(np.float64)[:, None])
     model = Model(coder, ones, zeros, known, int(total + ends), int(distinct + (ends > 0)), ends, (int(total - n[:HEAD].sum()), int(distinct - len(keys[:HEAD]))))
     shared = spark.sparkContext.broadcast(model)
 

@@ -41,28 +41,27 @@ BREAKS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >=
 
 
 class Table:
-    """Values by 64-bit key, in a fixed array with two places for each key; keys earlier in order win a place."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int):
-        self.bits = np.uint64(bits)
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, values.shape[1]), values.dtype)
-        left = np.arange(len(keys))
-        for place in (0, 1):
-            at = self._place(keys[left], place)
-            free = self.keys[at] == 0
-            at, first = np.unique(at[free], return_index=True)
-            own = left[free][first]
-            self.keys[at], self.values[at] = keys[own], values[own]
-            left = np.setdiff1d(left, own)
-
-    def _place(self, keys: np.ndarray, place: int) -> np.ndarray:
-        mask = (np.uint64(1) << self.bits) - np.uint64(1)
-        return ((keys >> np.uint64(24 * place)) & mask).astype(np.int64)
+    """Values by 64-bit key, sorted by key. Keys are hashes, so their leading bits say where to look; keys that share these are met in turn."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order, bits = np.argsort(keys), len(keys).bit_length() + 1
+        self.shift, self.keys = np.uint64(64 - bits), keys[order].astype(np.uint64)
+        self.values = np.concatenate([values[order], np.zeros_like(values, shape=(1, values.shape[1]))])  # the last row is that of -1
+        self.begins = np.append(np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where each key's values are, or -1."""
-        a, b = self._place(keys, 0), self._place(keys, 1)
-        return np.where(self.keys[a] == keys, a, np.where(self.keys[b] == keys, b, -1))
+        out, bucket = np.full(len(keys), -1, np.int64), (keys >> self.shift).astype(np.int64)
+        at, end = self.begins[bucket], self.begins[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            here, want = self.keys[at], keys[left]
+            hit = here == want
+            out[left[hit]] = at[hit]
+            on = np.flatnonzero((here < want) & (at + 1 < end))
+            left, at, end = left[on], at[on] + 1, end[on]
+        return out
 
 
 def _in_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -111,7 +110,7 @@ class Model:
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray):
         self.totals, self.curve = totals, np.array([-2.0, 0.0, 0.0])
-        self.tables = [Table(keys, values, most.bit_length()) for (keys, values), most in zip(levels, (MAX_WORDS, *(MAX_STEMS for _ in STEMS)))]
+        self.tables = [Table(keys, values) for keys, values in levels]
 
     def evidence(self, words: np.ndarray, stems: np.ndarray, less: tuple | None = None) -> np.ndarray:
         """Toxic less ordinary log-probability of each word. less: the row and the class of each word, whose own counts are left out."""
