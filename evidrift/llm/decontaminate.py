@@ -6,7 +6,7 @@ automaton runs once over the words of a document joined by single blanks; a matc
 byte offsets of the original text.
 
 Defined results: a null or empty text has no words, no hits and no items; items with null or blank
-text have no window; items with equal ids pool their windows; repeated document rows are answered row by row; other
+text have no window; items with equal ids pool their windows; items without an id are one item whose id is null, and their windows hit like any; repeated document rows are answered row by row; other
 columns of either table are ignored; empty tables give no rows, or rows without hits.
 
 Plan: one narrow pass over the documents, no shuffle. The windows are broadcast in blocks whose size is
@@ -42,7 +42,7 @@ def words(text: str | bytes | None) -> list[bytes]:
     return raw.translate(_CLEAN).split()
 
 
-def windows(items: list[tuple[int, str | None]], size: int) -> list[tuple[str, int, list[int]]]:
+def windows(items: list[tuple[int | None, str | None]], size: int) -> list[tuple[str, int, list[int]]]:
     """(pattern, its words, ids of the items that have it) for every distinct window."""
     owners: dict[bytes, set[int]] = defaultdict(set)
     for item, text in items:
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: i
     """Per document row: doc_id, n_words, items (ids with occurring windows), hit_words (ordinals), spans (byte offsets of the
     runs of hit words in the UTF-8 text, last exclusive). block_bytes bounds the benchmark text that is broadcast at a time."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     if blocks == 1:
@@ -136,7 +136,7 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns. Each row is judged by its own text; with one block of
     benchmark text this is one narrow pass."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) < block_bytes:
         patterns = windows([tuple(r) for r in items.collect()], window)
         shared, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
