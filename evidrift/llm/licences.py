@@ -1,9 +1,10 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph is a line of a text; lines of over WINDOW words are read in windows of WINDOW words, half of them shared with the next. Features are
+A paragraph is a run of lines with letters or digits, up to a line without any; it is read as a whole, so that wrapped notices count, and line by line. What has over
+WINDOW words is read in windows of WINDOW words, half of them shared with the next. A paragraph has as many notices of a family as the better of both readings. Features are
 hashed word n-grams (one and two words of letters and digits, lower-cased). A multinomial logistic regression with an elastic net, so that its weights are sparse, tells the licence
-families of TEMPLATES, whole and in fragments, from an unknown class, learnt from at most UNKNOWN paragraphs of the corpus (lowest hashes, half of them
-with a word in common with the templates) that hardly overlap any template. The family's probability must exceed a bar set on held-out unknown paragraphs, so that at most one in a thousand of them would pass.
+families of TEMPLATES, whole and in fragments, from an unknown class, learnt from at most UNKNOWN windows of distinct whole lines of the corpus (lowest
+hashes, half of them of lines with a word in common with the templates) that hardly overlap any template. The family's probability must exceed a bar set on held-out unknown paragraphs, so that at most one in a thousand of them would pass.
 A prediction counts only if the paragraph holds at least CONFIRM of the word pairs of a template of that family.
 
 Defined results: null, empty and blank texts have no paragraph and no notice; rows that repeat a doc_id are scanned each;
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, stored
 
-WINDOW, UNKNOWN, FEATURES, CONFIRM = 64, 4000, 1 << 12, 0.6
+WINDOW, UNKNOWN, FEATURES, CONFIRM = 64, 4000, 1 << 13, 0.6
 _UNKNOWN = "unknown"
+_BREAK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 
 # Usual notices of public licences.
 TEMPLATES = [
@@ -91,12 +93,38 @@ def _anchored(text: Column) -> Column:
     return F.lower(text).rlike(f"(?:{'|'.join(anchors())})(?![\\p{{L}}\\p{{N}}])")
 
 
-def paragraphs(rows: DataFrame, anchored: bool = True) -> DataFrame:
-    """row_no and words of every window of every line that has a word; with anchored, only of lines that a template could confirm."""
-    rows = rows.where(_anchored(F.col("text"))) if anchored else rows
-    lines = rows.select("row_no", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(_anchored(F.col("line"))) if anchored else lines
-    return lines.select("row_no", _words(F.col("line")).alias("w")).where(F.size("w") > 0).select("row_no", F.explode(_windows(F.col("w"), WINDOW, WINDOW // 2)).alias("words"))
+def _paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, _BREAK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def _windowed(lines: DataFrame) -> DataFrame:
+    """lines with words in place of text: a row for every window that has a word."""
+    rest = [c for c in lines.columns if c != "text"]
+    return lines.select(*rest, _words(F.col("text")).alias("w")).where(F.size("w") > 0).select(*rest, F.explode(_windows(F.col("w"), WINDOW, WINDOW // 2)).alias("words"))
+
+
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """row_no, paragraph (its number), whole (whether it is read as a whole) and words of every window that a template could confirm."""
+    own = rows.where(_anchored(F.col("text"))).select("row_no", F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "text")).where(_anchored(F.col("text")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text")))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("text")))
+    read = own.select("row_no", "paragraph", F.explode(F.when(F.size(lines) > 1, F.concat(whole, lines)).otherwise(lines)).alias("r")).select("row_no", "paragraph", "r.*")
+    return _windowed(read.where(_anchored(F.col("text"))))
+
+
+def sample(docs: DataFrame, unknown: int) -> DataFrame:
+    """words of at most unknown windows of distinct whole lines, half of them of lines with an anchor. A line is shuffled as its hash."""
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("text")).select(F.xxhash64("text").alias("h"), "text")
+    hashes = stored(lines.select("h", _anchored(F.col("text")).alias("near")).distinct())
+    near = hashes.where("near").orderBy("h").limit(unknown // 2)
+    chosen = near.unionAll(hashes.select("h", F.lit(False).alias("near")).orderBy("h").limit(unknown // 2))
+    texts = lines.join(F.broadcast(chosen.select("h").distinct()), "h").groupBy("h").agg(F.min("text").alias("text"))
+    windows = stored(_windowed(texts.join(F.broadcast(chosen), "h")).select("near", "words"))
+    halves = [windows.where(F.col("near") == x).orderBy(F.xxhash64("words"), "words").limit(unknown // 2) for x in (True, False)]
+    out = stored(halves[0].unionAll(halves[1]).select("words"))
+    forget(hashes)
+    forget(windows)
+    return out
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -128,9 +156,7 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
     known = templates(spark)
     families = [_UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     held = known.select("pairs").collect()
-    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("text")).select(F.lit(0).alias("row_no"), F.substring("text", 1, 16 * WINDOW).alias("text"))
-    near = lines.where(_anchored(F.col("text"))).orderBy(F.xxhash64("text"), "text").limit(unknown // 2)
-    some = paragraphs(near.unionAll(lines.orderBy(F.xxhash64("text"), "text").limit(unknown // 2)), False).select("words")
+    some = sample(docs, unknown)
     overlap = F.greatest(*[F.size(F.array_intersect(_pairs(F.col("words")), F.array(*map(F.lit, r.pairs)))) / F.lit(float(len(r.pairs))) for r in held])
     some = stored(some.where(overlap < 0.3).select("words", F.lit(_UNKNOWN).alias("family"), (F.pmod(F.xxhash64("words", F.lit(1)), F.lit(5)) == 0).alias("held")))
     pieces = F.array_union(F.array("words"), F.array_union(_windows(F.col("words"), 8, 4), _windows(F.col("words"), 16, 8)))
@@ -138,7 +164,7 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
     rows = some.where("not held").select("words", "family").unionAll(notices.select("words", "family"))
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = _featured(rows).withColumn("label", label).withColumn("weight", F.when(F.col("family") == _UNKNOWN, 1.0).otherwise(5.0)).select("label", "weight", "features").coalesce(2)
-    fit = LogisticRegression(maxIter=30, regParam=2e-4, elasticNetParam=0.5, weightCol="weight", family="multinomial", standardization=False, aggregationDepth=2).fit(rows)
+    fit = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.5, weightCol="weight", family="multinomial", standardization=False, aggregationDepth=2).fit(rows)
     out = Classifier(fit, families, 0.0)
     held_out = some.where("held").select("words")
     worst = out.predict(held_out).orderBy(F.desc("probability")).limit(held_out.count() // 1000 + 1).agg(F.min("probability")).first()[0]
@@ -155,6 +181,7 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     own = _pairs(F.col("words"))
     confirmed = F.exists("known", lambda t: F.size(F.array_intersect(t, own)) >= F.size(F.array_distinct(t)) * F.lit(CONFIRM))
     found = found.join(F.broadcast(against), "family").where(confirmed)
-    found = found.groupBy("row_no").agg(F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.count(F.lit(1)).alias("n_notices"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.coalesce(F.size(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x) != "")), F.lit(0)).alias("n_paragraphs"))
+    found = found.groupBy("row_no", "paragraph", "family").agg(F.greatest(F.count_if("whole"), F.count_if(~F.col("whole"))).alias("n"))
+    found = found.groupBy("row_no").agg(F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.sum("n").alias("n_notices"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.coalesce(F.size(_paragraphs(F.col("text").cast("string"))), F.lit(0)).alias("n_paragraphs"))
     return rows.join(found, "row_no", "left").select("row_no", "doc_id", "n_paragraphs", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
