@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests, local mode)."""
+    """The folder that driver and executors share. Where none is set, a temporary one in local mode and an error on a cluster, whose executors would each write to their own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "evidrift-checkpoints")
     return at.rstrip("/")
 
@@ -46,6 +48,23 @@ def stored(df: DataFrame, kind: str = "cut") -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that no column of df is called so (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _hashable(kind) -> bool:
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns of a row that can be hashed: the same for a row in every read of the table, however its files are packed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if _hashable(f.dataType)], F.lit(len(df.columns)))
+
+
 def forget(df: DataFrame) -> None:
     """Removes the files of a stored() frame that nothing reads any more."""
     at = getattr(df, "_stored_at", None)
@@ -143,6 +162,34 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = BLANK,
     return (*out, np.concatenate([np.zeros(0, np.int64), *sizes])) if lengths else out
 
 
+class Keys:
+    """Places of 64-bit keys in the list they were given in, exactly. Keys are hashes, so their leading bits say where to look in sorted order; the few that share these are met in turn."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = keys.astype(np.uint64)
+        order, bits = np.argsort(keys, kind="stable"), len(keys).bit_length() + 1
+        self.n, self.shift = len(keys), np.uint64(64 - bits)
+        self.sorted = np.append(keys[order], np.uint64((1 << 64) - 1))
+        self.place = np.append(order, -1).astype(np.int32)
+        self.begins = np.searchsorted(self.sorted[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place in the list, or -1."""
+        at = self.begins[(keys >> self.shift).astype(np.int64)]
+        here = self.sorted[at]
+        out = np.where(here == keys, self.place[at], -1)
+        on = np.flatnonzero(here < keys)
+        at = at[on]
+        while len(on):
+            at = at + 1
+            here, want = self.sorted[at], keys[on]
+            hit = here == want
+            out[on[hit]] = self.place[at[hit]]
+            more = here < want
+            on, at = on[more], at[more]
+        return out
+
+
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Hashes of all runs of size words; all words as one run if there are fewer, none if there are none."""
     if not len(words):
@@ -155,7 +202,7 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix64(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Parts of a batch whose texts hold about limit bytes at most (one row at least)."""
     _, bounds = text_bytes(batch.column(column))
     at = 0

@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then the label's own label, so that chains halve; rounds end
     when no label changes. Labels and edges stay distributed; the driver sees a count a round. Sums before the shuffle and
     joins that Spark can split keep a node with very many edges from gathering in one task."""
-    edges = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = stored(edges.where("a <> b").select(F.explode(both).alias("e")).select("e.a", "e.b").distinct())
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))

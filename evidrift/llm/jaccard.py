@@ -1,20 +1,23 @@
 """N-gram Jaccard join by chosen paths.
 
 A document is the set of its 5-word shingles (blank-separated words, A-Z lower-cased; all words as one shingle if there are fewer).
-Documents with equal sets are one class. Classes are joined by the chosen-path method: in each run a set starts at a root, and at every node it
-goes on to the children of those of its own shingles that a hash of (path, shingle) samples, BRANCH of them on average. Sets that share much
-keep meeting in nodes; a node with at most LIMIT sets is a leaf and is compared by brute force, a larger one is split again down to DEPTH shared shingles. Runs are repeated
-until the chance of a pair at the threshold to meet reaches the target recall. A pair that meets in several leaves is compared in the least of them alone. Pairs are
-first compared by 64-byte minhash sketches (with a margin of over four standard deviations), then exactly by their sets.
+Documents with equal sets are one class. Classes are joined by the chosen-path method: in each run a set starts at a root and goes on to the children of those
+of its own shingles that a hash samples, BRANCH of them on average. Sets that share much keep meeting in nodes; a node with at most LIMIT sets is a leaf and is
+compared by brute force, a larger one is split again, for as long as splitting helps: from the second level on by sampled coordinates of the sets' min-hashes (byte values, BRANCH coordinates
+a node on average), which sets share as often as they share shingles. Runs are repeated until the chance of a pair at the threshold to meet at any depth reaches the target
+recall. A pair that meets in several leaves is counted in the least of them alone. Pairs are first compared by 64-byte min-hash sketches, with a margin of over
+four standard deviations that counts toward the recall (3 pairs in 100,000 at the threshold fall below it), then exactly by their sets.
 
-Leaves that stay large at the last depth hold sets that share DEPTH sampled shingles, mostly one group of near copies. They are cut into blocks
-of BLOCK sets, and every pair of blocks is a task's work of bounded size; no pair is ever written out, only each set's count of links and one edge of a spanning forest.
+A child that keeps more than TIGHT of its node holds mostly one group of near copies, which no split would part. It is a leaf too: cut into blocks
+of LIMIT sets, every pair of blocks is a task's work of bounded size. Exact sets are compared in tiles bounded by their tokens, so long texts make smaller tiles. No pair is ever
+written out, only each set's count of links and one edge of a spanning forest. The links of G different near copies of one text are counted pair by pair, which is G squared comparisons of sketches, spread over the blocks.
 
 Result: a row a document row: class_id (smallest doc_id of its connected component of links and copies) and n_links (other document rows at similarity of the threshold or
 more, copies included).
 
-Defined results: null, empty and blank texts have no set, no links and a class of their own; rows that repeat a doc_id are rows of their own; if no row of a component has an id its class_id is null;
-other columns are ignored; an empty table gives no rows. docs must be a frame that gives the same rows in the same partitions when it is run again, as tables do.
+Defined results: null, empty and blank texts have no set, no links and a class of their own; very long texts are sets like any, worked through whole; rows that repeat a doc_id are rows of their own; if no row of a component has an id its class_id is null;
+other columns are ignored by `join`, whatever their names, and kept by `keep_one`; an empty table gives no rows. `keep_one` tells rows apart by a hash of all their columns (maps aside), so that nothing depends on how files are packed;
+of rows that are equal in all of them, one stays.
 """
 
 from __future__ import annotations
@@ -27,20 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, shingles, slices, stored, text_bytes
+from .common import forget, hash_words, mix64, row_key, shingles, slices, stored, text_bytes, unused
 from .graph import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
-BRANCH, DEPTH, LIMIT, BLOCK, SKETCH = 2.0, 3, 64, 512, 64
+BRANCH, LIMIT, TIGHT, SKETCH, TILE = 2.0, 2048, 0.7, 64, 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * _ODD)
 
 
-def runs_needed(recall: float = RECALL, threshold: float = THRESHOLD, branch: float = BRANCH, depth: int = DEPTH) -> int:
-    """Runs until a pair at the threshold meets at full depth with the target chance: the shared children of a node are
-    Poisson with mean branch * threshold."""
+def runs_needed(recall: float = RECALL, threshold: float = THRESHOLD, branch: float = BRANCH) -> int:
+    """Runs until a pair at the threshold meets at whatever depth with the target chance: the shared children of a node are
+    Poisson with mean branch * threshold, and the line of common nodes must not die out."""
     meet = 1.0
-    for _ in range(depth):
+    for _ in range(200):
         meet = 1 - math.exp(-branch * threshold * meet)
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
@@ -57,17 +60,15 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _children(tokens: np.ndarray, nodes: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the parent, node) of the sampled children of nodes."""
+def _nodes(tokens: np.ndarray, roots: np.ndarray, branch: float) -> np.ndarray:
+    """The children of the roots that the set goes on to."""
     share, found = branch / len(tokens), []
     for at in range(0, len(tokens), 1 << 16):
         part = tokens[at : at + (1 << 16)]
-        hashed = (part[None, :] ^ nodes[:, None]) * (nodes[:, None] | np.uint64(1))
+        hashed = (part[None, :] ^ roots[:, None]) * (roots[:, None] | np.uint64(1))
         parent, which = np.nonzero(hashed < np.uint64(share * 2.0**64)) if share < 1 else np.nonzero(np.ones_like(hashed, bool))
-        found.append((parent, mix64(part[which] + nodes[parent] * _ODD)))
-    parent, child = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(parent, kind="stable")
-    return parent[order], child[order]
+        found.append(mix64(part[which] + roots[parent] * _ODD))
+    return np.unique(np.concatenate(found))
 
 
 def sketch_of(tokens: np.ndarray) -> bytes:
@@ -85,7 +86,7 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64))
 
 
-_ROW = "row_no bigint, doc_id bigint, text_hash bigint, d1 bigint, d2 bigint, n int, sketch binary, paths array<struct<k1:bigint,kids:array<struct<k2:bigint,leaves:array<bigint>>>>>"
+_ROW = "row_no bigint, doc_id bigint, text_hash bigint, key bigint, d1 bigint, d2 bigint, n int, sketch binary, nodes array<bigint>"
 
 
 def _described(docs: DataFrame, words: int, branch: float, runs: int) -> DataFrame:
@@ -93,31 +94,19 @@ def _described(docs: DataFrame, words: int, branch: float, runs: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                d1, d2, n, sketch, k1, k2, k3, c1, c2, c3 = ([] for _ in range(10))
+            for part in slices(batch, "text", 1 << 20):
+                d1, d2, n, sketch, nodes, counts = ([] for _ in range(6))
                 for tokens in sets_of(part.column("text"), words):
                     a, b = digest(tokens) if len(tokens) else (None, None)
                     d1.append(a)
                     d2.append(b)
                     n.append(len(tokens))
                     sketch.append(sketch_of(tokens) if len(tokens) else None)
-                    if not len(tokens):
-                        c1.append(0)
-                        continue
-                    _, one = _children(tokens, roots, branch)
-                    one = np.unique(one)
-                    up2, two = _children(tokens, one, branch)
-                    up3, three = _children(tokens, two, branch)
-                    c1.append(len(one))
-                    c2.extend(np.bincount(up2, minlength=len(one)).tolist())
-                    c3.extend(np.bincount(up3, minlength=len(two)).tolist())
-                    k1.append(one)
-                    k2.append(two)
-                    k3.append(three)
-                inner = pa.StructArray.from_arrays([_signed(k2), _list(c3, _signed(k3))], ["k2", "leaves"])
-                outer = pa.StructArray.from_arrays([_signed(k1), _list(c2, inner)], ["k1", "kids"])
-                columns = [part.column(c) for c in ("row_no", "doc_id", "text_hash")] + [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), _list(c1, outer)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "text_hash", "d1", "d2", "n", "sketch", "paths"])
+                    if len(tokens):
+                        nodes.append(_nodes(tokens, roots, branch))
+                    counts.append(len(nodes[-1]) if len(tokens) else 0)
+                columns = [part.column(c) for c in ("row_no", "doc_id", "text_hash", "key")] + [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), _list(counts, _signed(nodes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "text_hash", "key", "d1", "d2", "n", "sketch", "nodes"])
 
     return docs.mapInArrow(run, _ROW)
 
@@ -143,10 +132,16 @@ def cells(batches, keys: list[str]):
 
 
 _CELL = ["leaf", "i", "j"]
+_FOUND = "rep bigint, leaf bigint, cell bigint, part int, across boolean"
+
+
+def _tiles(n: np.ndarray) -> np.ndarray:
+    """Number of the tile of each row, in order; a tile holds at most TILE tokens (one row at least)."""
+    return np.cumsum(n, dtype=np.int64) // TILE
 
 
 def _candidates(batches, threshold: float):
-    """Rows of each cell that have a partner by sketch whose least common leaf is the cell's."""
+    """Rows of each cell that have a partner by sketch whose least common leaf is the cell's, dealt out to pairs of tiles."""
     bar = SKETCH * threshold - 4.2 * math.sqrt(SKETCH * threshold * (1 - threshold))
     for cell in cells(batches, _CELL):
         if cell.num_rows < 2:
@@ -156,18 +151,35 @@ def _candidates(batches, threshold: float):
         sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         n = cell.column("n").to_numpy().astype(np.float64)
         likely = np.zeros((len(n), len(n)), bool)
-        for a in range(0, len(n), 64):
-            likely[a : a + 64] = (sketch[a : a + 64, None, :] == sketch[None, :, :]).sum(2) >= bar
-        likely &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
-        likely &= own[:, None] != own[None, :] if i != j else ~np.eye(len(n), dtype=bool)
-        if not likely.any():
-            continue
+        for a in range(0, len(n), 16):
+            same = (sketch[a : a + 16, None, :] == sketch[None, :, :]).sum(2, dtype=np.uint8) >= bar
+            same &= np.minimum(n[a : a + 16, None], n[None, :]) >= threshold * np.maximum(n[a : a + 16, None], n[None, :]) - 1e-9
+            same &= own[a : a + 16, None] != own[None, :] if i != j else np.arange(a, a + len(same))[:, None] != np.arange(len(n))[None, :]
+            likely[a : a + 16] = same
         some = np.flatnonzero(likely.any(0))
-        listed = cell.column("leaves").take(pa.array(some)).to_pylist()
-        keep = _least_common(likely[np.ix_(some, some)], listed, leaf)
-        some = some[keep.any(0)]
-        if len(some):
-            yield from cell.select(["rep", "leaf", "i", "j", "own"]).take(pa.array(some)).combine_chunks().to_batches()
+        if not len(some):
+            continue
+        keep = _least_common(likely[np.ix_(some, some)], cell.column("leaves").take(pa.array(some)).to_pylist(), leaf)
+        some, keep = some[keep.any(0)], keep[np.ix_(keep.any(0), keep.any(0))]
+        rep, tile = cell.column("rep").to_numpy()[some], _tiles(n[some])
+        sides = [(own[some] == i, own[some] == j)] if i != j else [(np.ones(len(some), bool),) * 2]
+        for left, right in sides:
+            for p in np.unique(tile[left]):
+                for q in np.unique(tile[right]):
+                    if i == j and q < p:
+                        continue
+                    a, b = np.flatnonzero(left & (tile == p)), np.flatnonzero(right & (tile == q))
+                    met = keep[np.ix_(a, b)]
+                    if not met.any():
+                        continue
+                    across = i != j or p != q
+                    a, b = (a[met.any(1)], b[met.any(0)]) if across else (a[met.any(1)], a[:0])
+                    name = int(mix64(np.array([leaf & (2**64 - 1)], np.uint64) + np.uint64(((i * 8191 + j) * 8191 + int(p)) * 8191 + int(q)))[0].view(np.int64))
+                    rows = np.concatenate([a, b])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rep[rows]), pa.array(np.full(len(rows), leaf)), pa.array(np.full(len(rows), name)), pa.array(np.repeat(np.array([0, 1], np.int32), [len(a), len(b)])), pa.array(np.full(len(rows), across))],
+                        names=["rep", "leaf", "cell", "part", "across"],
+                    )
 
 
 def _least_common(pairs: np.ndarray, listed: list[list[int]], leaf: int) -> np.ndarray:
@@ -182,36 +194,46 @@ def _least_common(pairs: np.ndarray, listed: list[list[int]], leaf: int) -> np.n
     return pairs & (has @ has.T == 0)
 
 
+def _common(tokens: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = np.array([len(t) for t in tokens])
+    names, at, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(times > 1)
+    column = np.full(len(names), -1)
+    column[kept] = np.arange(len(kept))
+    rows, columns = np.repeat(np.arange(len(n)), n), column[at]
+    rows, columns = rows[columns >= 0], columns[columns >= 0]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    common = np.zeros((len(n), len(n)), np.float32)
+    for a in range(0, len(kept), 1024):
+        lo, hi = np.searchsorted(columns, [a, a + 1024])
+        some, place = np.unique(rows[lo:hi], return_inverse=True)
+        has = np.zeros((len(some), min(1024, len(kept) - a)), np.float32)
+        has[place, columns[lo:hi] - a] = 1
+        common[np.ix_(some, some)] += has @ has.T
+    return common
+
+
 def _verify(threshold: float):
     def run(batches):
-        for cell in cells(batches, _CELL):
-            i, j, leaf = (cell.column(c)[0].as_py() for c in ("i", "j", "leaf"))
-            own, rep, copies = (cell.column(c).to_numpy() for c in ("own", "rep", "copies"))
+        for cell in cells(batches, ["cell"]):
+            leaf, across = (cell.column(c)[0].as_py() for c in ("leaf", "across"))
+            part, rep, copies = (cell.column(c).to_numpy() for c in ("part", "rep", "copies"))
             tokens = [np.frombuffer(x, np.uint64) for x in cell.column("tokens").to_pylist()]
-            n = np.array([len(t) for t in tokens])
-            flat = np.concatenate(tokens)
-            names, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-            kept = np.flatnonzero(times > 1)
-            column = np.full(len(names), -1)
-            column[kept] = np.arange(len(kept))
-            rows, columns = np.repeat(np.arange(len(n)), n), column[at]
-            rows, columns = rows[columns >= 0], columns[columns >= 0]
-            common = np.zeros((len(n), len(n)), np.float32)
-            order = np.argsort(columns, kind="stable")
-            rows, columns = rows[order], columns[order]
-            for a in range(0, len(kept), 8192):
-                lo, hi = np.searchsorted(columns, [a, a + 8192])
-                has = np.zeros((len(n), min(8192, len(kept) - a)), np.float32)
-                has[rows[lo:hi], columns[lo:hi] - a] = 1
-                common += has @ has.T
-            linked = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-6
-            linked &= own[:, None] != own[None, :] if i != j else ~np.eye(len(n), dtype=bool)
+            n = np.array([len(t) for t in tokens], np.float32)
+            common = _common(tokens)
+            linked = np.zeros(common.shape, bool)
+            for a in range(0, len(n), 256):  # common tokens are whole numbers, exact in 32 bits
+                both = common[a : a + 256].astype(np.float64)
+                linked[a : a + 256] = both >= threshold * (n[a : a + 256, None].astype(np.float64) + n[None, :] - both) - 1e-6
+            linked &= part[:, None] != part[None, :] if across else ~np.eye(len(n), dtype=bool)
             linked = _least_common(linked, cell.column("leaves").to_pylist(), leaf)
             if not linked.any():
                 continue
             root = np.arange(len(n))
             while True:
-                reach = np.where(linked, root[None, :], len(n)).min(1)
+                reach = np.array([min(int(root[row].min(initial=len(n))), len(n)) for row in linked])
                 new = np.minimum(root, reach)
                 new = new[new]
                 if (new == root).all():
@@ -227,65 +249,73 @@ def _verify(threshold: float):
 def _tokens(words: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 packed = [t.tobytes() for t in sets_of(part.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(packed, pa.binary())], names=["rep", "tokens"])
 
     return run
 
 
-def _leaves(reps: DataFrame, limit: int) -> DataFrame:
-    """rep, leaf, count of the leaves that hold more than one set, split level by level."""
-
-    def met(rows: DataFrame, key: str) -> DataFrame:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-        return rows.join(counts, key)
-
-    one = met(reps.select("rep", F.explode("paths").alias("p")).select("rep", F.col("p.k1").alias("k1"), F.col("p.kids").alias("kids")), "k1")
-    one = stored(one)
-    two = met(one.where(F.col("count") > limit).select("rep", F.explode("kids").alias("p")).select("rep", F.col("p.k2").alias("k2"), F.col("p.leaves").alias("leaves")), "k2")
-    two = stored(two)
-    three = met(two.where(F.col("count") > limit).select("rep", F.explode("leaves").alias("k3")), "k3")
-    out = one.where(F.col("count") <= limit).select("rep", F.col("k1").alias("leaf"), "count")
-    out = out.unionAll(two.where(F.col("count") <= limit).select("rep", F.col("k2").alias("leaf"), "count"))
-    return out.unionAll(three.select("rep", F.col("k3").alias("leaf"), "count"))
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_no", F.monotonically_increasing_id())
-
-
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """row_no, doc_id, class_id, copies (rows with the same set, itself included) and n_links of every row of docs."""
-    texts = numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    texts = texts.select("row_no", "doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = stored(_described(texts, words, BRANCH, runs_needed(recall, threshold)))
+def _leaves(reps: DataFrame, limit: int, branch: float = BRANCH) -> DataFrame:
+    """rep, leaf, count of the leaves that hold more than one set: nodes are split, level by level, until all are leaves."""
+    rows = reps.select("rep", F.explode("nodes").alias("node"), F.lit(None).cast("bigint").alias("above"))
+    leaf = (F.col("count") <= limit) | (F.coalesce(F.col("count") > F.col("above") * TIGHT, F.lit(False)))
+    out, sketches = None, reps.select("rep", "sketch")
+    sampled = F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(branch / SKETCH * (1 << 20)))
+    child = F.transform(sampled, lambda i: F.xxhash64("node", i, F.substr("sketch", i + 1, F.lit(1))))
+    while True:
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.max("above").alias("above")).where("count > 1")
+        met = stored(rows.select("rep", "node").join(counts, "node"))
+        done = met.where(leaf).select("rep", F.col("node").alias("leaf"), "count")
+        out = done if out is None else out.unionAll(done)
+        large = met.where(~leaf)
+        if large.isEmpty():
+            return out
+        rows = large.join(sketches, "rep").select("rep", F.explode(child).alias("node"), F.col("count").alias("above"))
+
+
+def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit: int) -> DataFrame:
+    """The result by row, with the rows' keys. docs: doc_id, text, key."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "key")
+    texts = docs.select("doc_id", "text", "key", F.xxhash64("text").alias("text_hash"))
+    rows = stored(_described(texts.withColumn("row_no", F.monotonically_increasing_id()), words, BRANCH, runs_needed(recall, threshold)))
     full = rows.where("n > 0")
-    reps = full.groupBy("d1", "d2").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low_id"), F.min_by(F.struct("doc_id", "text_hash", "n", "sketch", "paths"), "row_no").alias("own"))
+    reps = full.groupBy("d1", "d2").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low_id"), F.min_by(F.struct("doc_id", "text_hash", "n", "sketch", "nodes"), "row_no").alias("own"))
     reps = stored(reps.select("d1", "d2", "rep", "copies", "low_id", "own.*"))
-    leaves = _leaves(reps, limit).groupBy("rep").agg(F.collect_list(F.struct("leaf", "count")).alias("met"))
+    leaves = stored(_leaves(reps, limit).groupBy("rep").agg(F.collect_list(F.struct("leaf", "count")).alias("met")))
     met = reps.select("rep", "n", "sketch").join(leaves, "rep").withColumn("leaves", F.col("met.leaf"))
-    met = met.select("rep", "n", "sketch", "leaves", F.explode("met").alias("m")).select("rep", "n", "sketch", "leaves", F.col("m.leaf").alias("leaf"), F.ceil(F.col("m.count") / block).cast("int").alias("nb"))
+    met = met.select("rep", "n", "sketch", "leaves", F.explode("met").alias("m")).select("rep", "n", "sketch", "leaves", F.col("m.leaf").alias("leaf"), F.ceil(F.col("m.count") / limit).cast("int").alias("nb"))
     met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     met = met.select("rep", "n", "sketch", "leaves", "leaf", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = stored(met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(lambda x: _candidates(x, threshold), "rep bigint, leaf bigint, i int, j int, own int"))
-    wanted = found.select("rep").distinct().join(reps.select("rep", "copies", "doc_id", "text_hash"), "rep")
+    found = stored(met.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep").mapInArrow(lambda x: _candidates(x, threshold), _FOUND))
+    wanted = found.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep")
     wanted = wanted.withColumnRenamed("doc_id", "id_")
     own = texts.select("doc_id", "text_hash", "text").join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("id_")))
     sets = own.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(_tokens(words), "rep bigint, tokens binary")
     held = found.join(leaves.select("rep", F.col("met.leaf").alias("leaves")), "rep").join(reps.select("rep", "copies"), "rep").join(sets, "rep")
-    links = stored(held.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_verify(threshold), "rep bigint, root bigint, links bigint"))
+    links = stored(held.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_verify(threshold), "rep bigint, root bigint, links bigint"))
+    forget(found)
     labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sets = reps.select("d1", "d2", "rep", "copies", "low_id").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
     sets = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = sets.groupBy("root").agg(F.min("low_id").alias("class_id"), F.min("rep").alias("first_row"))
     sets = sets.join(classes, "root").select("d1", "d2", "copies", "class_id", "first_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("row_no", "doc_id", "d1", "d2").join(sets, ["d1", "d2"], "left")
-    return out.select("row_no", "doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first_row").isNull() | (F.col("first_row") == F.col("row_no"))).alias("first"))
+    out = rows.select("row_no", "key", "doc_id", "d1", "d2").join(sets, ["d1", "d2"], "left")
+    return out.select("row_no", "key", "doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first_row").isNull() | (F.col("first_row") == F.col("row_no"))).alias("first"))
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
+    """row_no, doc_id, class_id, copies (rows with the same set, itself included), n_links and first (of its class) of every row of docs."""
+    return _joined(docs.select("doc_id", "text", F.lit(0).cast("bigint").alias("key")), words, threshold, recall, limit).drop("key")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
     """The rows of docs, with all their columns, less all but the first row of each class."""
-    gone = stored(join(docs, **options).where(~F.col("first")).select(F.col("row_no").alias("row_no__")))
-    marked = docs.withColumn("row_no__", F.monotonically_increasing_id())
-    return marked.join(gone, "row_no__", "left_anti").select(*docs.columns)
+    key = row_key(docs)
+    rows = _joined(docs.select("doc_id", "text", key.alias("key")), words, threshold, recall, limit)
+    keys = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_if("first").alias("kept")).where("kept < rows"))
+    name = unused(docs, "key")
+    marked = docs.withColumn(name, key)
+    rest = marked.join(keys.select(F.col("key").alias(name)), name, "left_anti")
+    some = marked.join(keys.where("kept > 0").select(F.col("key").alias(name)), name).dropDuplicates([name])
+    return rest.unionByName(some).select(*docs.columns)
