@@ -6,14 +6,16 @@ class the first line stays, in order of rows and lines.
 
 Distinct lines are split into TAU + 1 segments of even length. If two lines are near, a segment of the shorter stands unchanged in the longer, and the multi-match
 rule bounds where: each line is indexed by (length, segment number, segment) and probes the lengths up to TAU below its own with the few substrings that may match. Lines that
-meet under a key and whose letter counts differ by no more than the edits allow are compared by a banded bit-parallel edit distance.
+meet under a key and whose letter counts differ by no more than the edits allow are compared by a banded bit-parallel edit distance. Where a segment is frequent, what the lines have besides it is
+split again: in some alignment of near lines the segment matches and the edits all lie in the rest, so the rests are near as well, and a second key tells them apart.
 
-Defined results: null and empty texts have no line; lines too short to be near anything match equal lines only; rows that repeat a doc_id are rows of their own,
-and the first keeps the line; other columns are kept by `dedup` and ignored by `lines_kept`; an empty table gives no rows. Lines are told apart by 64-bit hashes.
+Defined results: null and empty texts have no line; lines too short to be near anything match equal lines only; lines of any length are compared whole; rows that repeat a doc_id are rows of their own,
+and the first keeps the line; other columns, whatever their names, are kept by `dedup` and ignored by `summary`; an empty table gives no rows. Lines are told apart by 64-bit hashes.
 
-Plan: one narrow pass writes the lines' hashes (20 bytes a line) and the keys of a partition's distinct lines. Keys that only one line has are dropped by a count with partial
-sums; the lines under a frequent key are cut into blocks of BLOCK, and every pair of blocks is a task's work of bounded size. The texts of lines that share a key
-are fetched by a join on their hash. Only edges of spanning forests are written. A line that very many rows have is summed before the shuffle.
+Plan: one narrow pass stores the hashes of the lines of each row; a second sends the keys of each partition's distinct lines to one sum by key, map-side first. A key that two lines have is a
+pair already; where more lines have it, they are found by a join with these keys alone, broadcast up to FEW of them and shuffled beyond. Keys of more than BLOCK lines are refined, and what is
+still larger is cut into blocks of BLOCK lines; every pair of blocks is a task's work of bounded size. The texts of lines that share a key are fetched by their hash, again broadcast up to FEW
+and shuffled beyond. Only edges of spanning forests are written.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, mix64, slices, stored, text_bytes
+from .common import _BYTE, forget, mix64, slices, stored, text_bytes, unused
 from .graph import components
 
-TAU, SHORTEST, BLOCK = 2, 24, 256
+TAU, SHORTEST, BLOCK, FEW = 2, 24, 256, 1_000_000
 _P = 0xD6E8FEB86659FD93
 _INVERSE = pow(_P, -1, 1 << 64)
 _tables: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -74,7 +76,7 @@ class Substrings:
 
 
 def keys_of(sub: Substrings, a: np.ndarray, n: np.ndarray, tau: int):
-    """(key, which line, whether it is an index key) of lines at a of length n."""
+    """(key, which line, whether it is an index key, where its substring begins, its size) of lines at a of length n."""
     line = np.arange(len(a))
     for shorter in range(tau + 1):
         length = n - shorter
@@ -84,54 +86,86 @@ def keys_of(sub: Substrings, a: np.ndarray, n: np.ndarray, tau: int):
             start = base * (i - 1) + np.maximum(0, i - 1 - (tau + 1 - long))
             tag = mix64((length * 64 + i).astype(np.uint64))
             for p in range(max(-(i - 1), shorter - (tau + 1 - i)), min(i - 1, shorter + (tau + 1 - i)) + 1):
-                ok = (start + p >= 0) & (start + p + size <= n) & (size > 0)
+                ok = np.flatnonzero((start + p >= 0) & (start + p + size <= n) & (size > 0))
                 at = a[ok] + start[ok] + p
-                yield mix64(sub.of(at, at + size[ok]) ^ tag[ok]), line[ok], shorter == 0 and p == 0
+                yield mix64(sub.of(at, at + size[ok]) ^ tag[ok]), line[ok], shorter == 0 and p == 0, at, size[ok]
 
 
-def _lines(row_no: np.ndarray, part: pa.RecordBatch):
-    data, rows = text_bytes(part.column("text"))
-    a, b, row, number = bounds_of_lines(data, rows)
-    sub = Substrings(data)
-    return data, a, b, row_no[row], number, sub
+_LINES = "row_no bigint, doc_id bigint, lines array<struct<line_no:int,line:bigint>>"
+_KEYED = "key bigint, line bigint, indexed boolean, at int, size int"
 
 
-_LINE = "row_no bigint, line_no int, line bigint, keys array<struct<key:bigint,indexed:boolean>>"
+def _described(batches):
+    """The lines of each row."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            data, rows = text_bytes(part.column("text"))
+            a, b, row, number = bounds_of_lines(data, rows)
+            line = Substrings(data).of(a, b)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
+            inner = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(line.view(np.int64))], ["line_no", "line"])
+            yield pa.RecordBatch.from_arrays([part.column("row_no"), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), inner)], names=["row_no", "doc_id", "lines"])
+
+
+def _distinct(batches, shortest: int = 0):
+    """Bytes, bounds and hashes of the lines of each part that the partition has not had before. What is remembered is bounded;
+    beyond it lines come again, which changes no result."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            data, rows = text_bytes(part.column("text"))
+            a, b, _, _ = bounds_of_lines(data, rows)
+            sub = Substrings(data)
+            line = sub.of(a, b)
+            names, first = np.unique(line, return_index=True)
+            new = np.array([h not in seen for h in names.tolist()], bool) if len(names) else np.zeros(0, bool)
+            if len(seen) < 500_000:
+                seen.update(names[new].tolist())
+            own = first[new]
+            own = own[(b - a)[own] >= shortest]
+            yield data, sub, a[own], b[own], line[own]
 
 
-def _described(tau: int, shortest: int):
+def _keyed(tau: int, shortest: int):
+    def run(batches):
+        for _, sub, a, b, line in _distinct(batches, shortest):
+            for key, which, indexed, at, size in keys_of(sub, a, b - a, tau):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(line[which].view(np.int64)), pa.array(np.full(len(key), indexed)), pa.array((at - a[which]).astype(np.int32)), pa.array(size.astype(np.int32))],
+                    names=["key", "line", "indexed", "at", "size"],
+                )
+
+    return run
+
+
+def _refined(tau: int):
+    """Second keys of lines under a frequent segment: of what they have besides it."""
+
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                _, a, b, row, number, sub = _lines(part.column("row_no").to_numpy(), part)
-                line = sub.of(a, b)
-                names, first = np.unique(line, return_index=True)
-                new = np.array([int(h) not in seen for h in names], bool) if len(names) else np.zeros(0, bool)
-                if len(seen) < 1_000_000:
-                    seen.update(names[new].tolist())
-                own = first[new]
-                own = own[(b - a)[own] >= shortest]
-                found = list(keys_of(sub, a[own], (b - a)[own], tau))
-                key = np.concatenate([k for k, _, _ in found]) if found else np.zeros(0, np.uint64)
-                which = np.concatenate([own[w] for _, w, _ in found]) if found else np.zeros(0, np.int64)
-                indexed = np.concatenate([np.full(len(w), x) for _, w, x in found]) if found else np.zeros(0, bool)
-                order = np.argsort(which, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(a)))]).astype(np.int32)
-                keys = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(indexed[order])], ["key", "indexed"])
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(number.astype(np.int32)), pa.array(line.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), keys)], names=["row_no", "line_no", "line", "keys"])
+            for part in slices(batch, "bytes"):
+                key, at, size, line, indexed = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "at", "size", "line", "indexed"))
+                data, rows = text_bytes(part.column("bytes"))
+                n = np.diff(rows)
+                rest = np.ones(len(data), bool)
+                for r in range(len(n)):
+                    rest[rows[r] + at[r] : rows[r] + at[r] + size[r]] = False
+                left = n - size
+                sub, first = Substrings(data[rest]), np.concatenate([[0], np.cumsum(left)])[:-1]
+                for second, which, own, begin, length in keys_of(sub, first, left, tau):
+                    both = mix64(second ^ mix64(key[which].view(np.uint64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(both.view(np.int64)), pa.array(line[which]), pa.array(indexed[which] | own), pa.array(np.zeros(len(which), np.int32)), pa.array(np.zeros(len(which), np.int32))],
+                        names=["key", "line", "indexed", "at", "size"],
+                    )
 
     return run
 
 
 def _texts(batches):
-    for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
-            data, a, b, _, _, sub = _lines(part.column("row_no").to_numpy(), part)
-            line = sub.of(a, b)
-            names, first = np.unique(line, return_index=True)
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array([raw[a[i] : b[i]] for i in first], pa.binary())], names=["line", "bytes"])
+    for data, _, a, b, line in _distinct(batches):
+        raw = data.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary())], names=["line", "bytes"])
 
 
 def within(pairs: list[tuple[bytes, bytes]], tau: int) -> np.ndarray:
@@ -235,42 +269,80 @@ def _linked(tau: int, most: int = 1 << 19):
     return run
 
 
-def lines_kept(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The stored lines of all rows (row_no, line_no, line), and the first line of each class (row_no, line_no)."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = stored(texts.mapInArrow(_described(tau, max(shortest, tau + 1)), _LINE))
-    keyed = rows.where(F.size("keys") > 0).select("line", F.explode("keys").alias("k")).select("k.key", "line", "k.indexed")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("useful"), F.min("line").alias("low"), F.max("line").alias("high"))
-    counts = counts.where("useful and low < high").select("key", "n")
-    met = stored(keyed.join(counts, "key").groupBy("key", "line").agg(F.max("indexed").alias("indexed"), F.max("n").alias("n")))
-    wanted = met.select("line").distinct()
-    known = texts.mapInArrow(_texts, "line bigint, bytes binary").join(wanted, "line").groupBy("line").agg(F.min("bytes").alias("bytes"))
-    met = met.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("nb")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    met = met.select("key", "line", "indexed", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(known, "line")
-    edges = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(tau), "a bigint, b bigint")
+def _few(df: DataFrame) -> DataFrame:
+    """The stored df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """key, line, indexed, at, size, n: the lines that share a key, n at least their number; a line that has a key at several places is given with each."""
+    sums = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("useful"), F.min("line").alias("low"), F.max("line").alias("high"))
+    shared = stored(sums.where("useful and low < high").select("key", "n", "low", "high"))
+    pairs = shared.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("line"))
+    none = F.lit(0).cast("int")
+    pairs = pairs.select("key", "line", F.lit(True).alias("indexed"), none.alias("at"), none.alias("size"), F.lit(2).cast("bigint").alias("n"))
+    crowds = keyed.join(_few(shared.where("n > 2").select("key", "n")), "key")
+    crowds = crowds.groupBy("key", "line", "at", "size").agg(F.max("indexed").alias("indexed"), F.max("n").alias("n"))
+    met = stored(pairs.unionByName(crowds))
+    forget(shared)
+    return met
+
+
+def _near(texts: DataFrame, tau: int, shortest: int, block: int) -> DataFrame:
+    """a, b: edges between near lines, enough to join each class."""
+    met = _met(texts.mapInArrow(_keyed(tau, shortest), _KEYED))
+    wanted = stored(met.select("line").distinct())
+    known = stored(texts.mapInArrow(_texts, "line bigint, bytes binary").join(_few(wanted), "line").groupBy("line").agg(F.min("bytes").alias("bytes")))
+    cells = met.where(F.col("n") <= block)
+    if shortest - -(-shortest // (tau + 1)) > tau:  # what is left besides a segment has tau + 1 segments of its own
+        again = met.where(F.col("n") > block).join(known, "line").select("key", "at", "size", "line", "indexed", "bytes")
+        cells = cells.unionByName(_met(again.mapInArrow(_refined(tau), _KEYED)))
+    else:
+        cells = met
+    cells = cells.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("nb")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = cells.select("key", "line", "indexed", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(known, "line")
+    edges = stored(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(tau), "a bigint, b bigint"))
+    for x in (met, wanted, known):
+        forget(x)
+    return edges
+
+
+def _kept(rows: DataFrame, tau: int, shortest: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """rows: row_no, doc_id, text. The stored lines by row (row_no, doc_id, lines) and the first line of each class (row_no, line_no)."""
+    described = stored(rows.mapInArrow(_described, _LINES))
+    edges = _near(rows.select("text"), tau, max(shortest, tau + 1), block)
     labels = components(edges).select(F.col("node").alias("line"), "root")
-    every = rows.select("row_no", "line_no", "line")
+    every = described.select("row_no", F.explode("lines").alias("l")).select("row_no", "l.*")
     first = every.groupBy("line").agg(F.min(F.struct("row_no", "line_no")).alias("at")).join(labels, "line", "left")
-    first = first.groupBy(F.coalesce("root", "line").alias("class")).agg(F.min("at").alias("at")).select("at.row_no", "at.line_no")
-    return every, stored(first)
+    first = stored(first.groupBy(F.coalesce("root", "line").alias("class")).agg(F.min("at").alias("at")).select("at.row_no", "at.line_no"))
+    forget(edges)
+    return described, first
+
+
+def _rows(docs: DataFrame, row_no) -> DataFrame:
+    return docs.select(row_no.alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def summary(docs: DataFrame, **options) -> DataFrame:
+def summary(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """row_no, doc_id, n_lines, n_kept and n_dropped of every row of docs."""
-    every, first = lines_kept(docs, **options)
-    lines = every.groupBy("row_no").agg(F.count(F.lit(1)).alias("n_lines"))
+    described, first = _kept(_rows(docs, F.monotonically_increasing_id()), tau, shortest, block)
     kept = first.groupBy("row_no").agg(F.count(F.lit(1)).alias("n_kept"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id").join(lines, "row_no", "left").join(kept, "row_no", "left")
-    n, k = F.coalesce("n_lines", F.lit(0)), F.coalesce("n_kept", F.lit(0))
-    return rows.select("row_no", "doc_id", n.alias("n_lines"), k.alias("n_kept"), (n - k).alias("n_dropped"))
-
-
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with the text of every row less its dropped lines; blank lines stay."""
-    every, first = lines_kept(docs, **options)
-    gone = every.select("row_no", "line_no").join(first, ["row_no", "line_no"], "left_anti").groupBy("row_no").agg(F.collect_set("line_no").alias("gone__"))
-    marked = docs.withColumn("row_no__", F.monotonically_increasing_id()).join(gone.withColumnRenamed("row_no", "row_no__"), "row_no__", "left")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("gone__"), s["i"]))
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n"))
+    rows = described.select("row_no", "doc_id", F.size("lines").cast("bigint").alias("n_lines")).join(kept, "row_no", "left")
+    k = F.coalesce("n_kept", F.lit(0))
+    return rows.select("row_no", "doc_id", "n_lines", k.alias("n_kept"), (F.col("n_lines") - k).alias("n_dropped"))
+
+
+def dedup(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+    """docs with the text of every row less its dropped lines; blank lines stay. The rows are stored once with their numbers, so that a number means the same row
+    in every later read."""
+    name = unused(docs, "row_no")
+    gone_name = unused(docs, "gone")
+    numbered = stored(docs.withColumn(name, F.monotonically_increasing_id()))
+    described, first = _kept(_rows(numbered, F.col(name)), tau, shortest, block)
+    every = described.select("row_no", F.explode("lines").alias("l")).select("row_no", "l.line_no")
+    gone = every.join(first, ["row_no", "line_no"], "left_anti").groupBy(F.col("row_no").alias(name)).agg(F.collect_set("line_no").alias(gone_name))
+    marked = numbered.join(gone, name, "left")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone_name), s["i"]))
+    text = F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n"))
     return marked.withColumn("text", text).select(*docs.columns)
