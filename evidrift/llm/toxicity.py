@@ -1,23 +1,21 @@
 """Toxicity scores from two class-conditional Kneser-Ney models, one of toxic and one of ordinary documents.
 
-An expression is a word: a run of letters, digits and non-ASCII bytes, A-Z lower-cased, counted by the documents that have it,
-so that no long document outweighs the rest. The class is the context: each has an absolutely discounted model that
-interpolates a lower order which both share, with Kneser-Ney counts: in how many classes the expression occurs. The
-shared part of a rare word is weighted by what its beginning (its first STEMS bytes, each order modelled the same way over the
-distinct continuations in each class) says about the class. An expression whose toxic count is within TELLING standard
-deviations of what its total count leads one to expect is left to the lower orders alone; one that neither class has seen says nothing.
-The evidence of a text is the difference of its toxic and ordinary log-likelihoods over its number of words.
-A logistic curve turns evidence and length into the score; it is fitted on the training rows with each row's
-own counts taken out of the model first, so that it holds for rows outside the training set.
-
-Defined results: null or empty texts, and texts without words, get the score of no evidence at no length;
+A word is a run of letters, digits and non-ASCII bytes, A-Z lower-cased; an expression is a word after the word before it. Expressions are counted by the
+documents that have them, so that no long document outweighs the rest. The class is the context: each class has a discounted model (modified Kneser-Ney, discounts from the counts of counts) of
+its expressions; what the discounts leave goes to the expressions by the shared counts, in how many classes each occurs at all, weighted by the order below: the same model of words, by the
+Kneser-Ney counts of how many different words each follows in a class. So a rare expression gets what its word says, a rare word what both classes share, and what neither class has seen says nothing.
+The evidence of a word is its toxic less its ordinary log-probability; that of a text the mean over its words, the difference of the length-normalised log-likelihoods, and the mean over
+its PEAK strongest words, since a long text may be toxic in few places. A logistic curve turns evidence and length into the score; it is fitted on the training rows with each row's
+own counts taken out of the models first, so that it holds for rows outside the training set.
+
+Defined results: null or empty texts, and texts without words, get the score of no evidence at no length; texts of any length are scored whole;
 labels with null doc_id or null label are ignored; if a doc_id has several labels the highest counts; rows that
-repeat an id are scored each by its own text; with no labels of either class every score is the prior.
+repeat an id are scored each by its own text, and of several texts of a labelled id the one of least hash teaches; equal texts have equal scores; with no labels of either class every score is the prior;
+other columns are ignored by `score`, whatever their names, and kept by `keep`; an empty table gives no rows.
 
 Plan: the labels used for training are at most MAX_LABELS rows (lowest hash of doc_id first), so they are
-broadcast at a bounded 16 bytes each and the documents are never shuffled. Word counts are summed map-side,
-then by word hash. The model keeps the most frequent MAX_WORDS words and MAX_STEMS beginnings, is of bounded
-size for any corpus, and is broadcast. Scoring is one narrow pass over whole texts.
+broadcast at a bounded 16 bytes each and the documents are never shuffled, but for one text of each of these labels. Counts are summed map-side, then by hash.
+The models hold every expression of the training rows; as these are bounded, so are the models, and they are broadcast. Scoring is one narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -27,126 +25,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, hash_words, most_frequent, slices, stored, text_bytes
+from .common import Keys, forget, hash_words, mix64, slices, stored, text_bytes
 
-MAX_LABELS = 200_000
-MAX_WORDS = 1 << 19
-MAX_STEMS = 1 << 18
-STEMS = (6, 4)
-DISCOUNT = 0.75
-TELLING = 2.5
+MAX_LABELS = 10_000
+PEAK = 3
+_C = np.uint64(0x9E3779B97F4A7C15)
+_START = np.uint64(0x2545F4914F6CDD1D)
 
 #: Bytes other than digits, letters and non-ASCII separate words.
 BREAKS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
-class Table:
-    """Values by 64-bit key, sorted by key. Keys are hashes, so their leading bits say where to look; keys that share these are met in turn."""
+def expressions(column: pa.Array):
+    """Hashes of the words, of each with the word before it, and where each row's words begin (one more at the end)."""
+    words, _, begins = hash_words(*text_bytes(column), BREAKS)
+    before = np.append(_START, words[:-1])[: len(words)]
+    first = begins[:-1][np.diff(begins) > 0]
+    before[first] = _START
+    return words, mix64(before * _C + words), begins
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order, bits = np.argsort(keys), len(keys).bit_length() + 1
-        self.shift, self.keys = np.uint64(64 - bits), keys[order].astype(np.uint64)
-        self.values = np.concatenate([values[order], np.zeros_like(values, shape=(1, values.shape[1]))])  # the last row is that of -1
-        self.begins = np.append(np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key's values are, or -1."""
-        out, bucket = np.full(len(keys), -1, np.int64), (keys >> self.shift).astype(np.int64)
-        at, end = self.begins[bucket], self.begins[bucket + 1]
-        left = np.flatnonzero(at < end)
-        at, end = at[left], end[left]
-        while len(left):
-            here, want = self.keys[at], keys[left]
-            hit = here == want
-            out[left[hit]] = at[hit]
-            on = np.flatnonzero((here < want) & (at + 1 < end))
-            left, at, end = left[on], at[on] + 1, end[on]
-        return out
-
-
-def _in_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Keys that differ from row to row."""
-    return keys ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+def _distinct_in_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The first place of each key in each row."""
+    return np.unique(keys ^ mix64(row.astype(np.uint64) * _C), return_index=True)[1]
 
 
 def _count_rows(batches):
-    """word, its beginnings, toxic and ordinary counts, summed over as much of a partition as bounded memory allows."""
-    names, kept, held = ["word", *(f"stem{i}" for i in range(len(STEMS))), "n1", "n0"], [], 0
+    """pair, word, n1, n0: the documents of each class that have an expression, summed within parts of a partition."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 22):
+            words, pairs, begins = expressions(part.column("text"))
+            row = np.repeat(np.arange(part.num_rows), np.diff(begins))
+            own = _distinct_in_row(pairs, row)
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False)[row[own]]
+            keys, first, group = np.unique(pairs[own], return_index=True, return_inverse=True)
+            n = [np.bincount(group, toxic == y, len(keys)).astype(np.int64) for y in (1, 0)]
+            columns = [pa.array(x.view(np.int64)) for x in (keys, words[own][first])]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, n)], names=["pair", "word", "n1", "n0"])
 
-    def summed(parts):
-        word, stems, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], 1), np.concatenate([p[2] for p in parts])
-        keys, first, group = np.unique(word, return_index=True, return_inverse=True)
-        return keys, stems[:, first], np.stack([np.bincount(group, n[:, i], len(keys)) for i in (0, 1)], 1)
 
-    def rows(part):
-        word, stems, n = part
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(s.view(np.int64)) for s in np.ascontiguousarray(stems)), *(pa.array(n[:, i].astype(np.int64)) for i in (0, 1))], names=names)
+class Counts:
+    """Numbers by key; zeros for a key that is not there."""
 
-    for batch in batches:
-        for part in slices(batch, "text"):
-            words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEMS)
-            row = np.repeat(np.arange(part.num_rows), np.diff(begins))
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False)[row]
-            once = np.zeros(len(words))
-            once[np.unique(_in_row(words, row), return_index=True)[1]] = 1
-            keys, first, group = np.unique(words, return_index=True, return_inverse=True)
-            kept.append((keys, stems[:, first], np.stack([np.bincount(group, once * (toxic == y), len(keys)) for y in (1, 0)], 1)))
-            held += len(keys)
-            if held > 2_000_000:
-                kept = [summed(kept)]
-                held = len(kept[0][0])
-                if held > 1_000_000:
-                    yield rows(kept.pop())
-                    held = 0
-    if kept:
-        yield rows(summed(kept))
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = Keys(keys), np.concatenate([values, np.zeros((1, values.shape[1]), values.dtype)])
 
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.keys.find(keys)].astype(np.float32)
 
-class Model:
-    """Counts of words and of their beginnings, longest first, and the calibration of their evidence.
 
-    levels: (keys, values); values hold toxic and ordinary counts.
-    totals: per level the sums of both counts and how many keys have them."""
+def discounts(values: np.ndarray) -> np.ndarray:
+    """The modified Kneser-Ney discounts of counts of one, two, and three or more, by class, from how many keys have counts of one to four."""
+    out = []
+    for own in values.T:
+        t = np.maximum(np.bincount(np.minimum(own, 5).astype(np.int64), minlength=6)[1:5], 1).astype(float)
+        y = t[0] / (t[0] + 2 * t[1])
+        out.append([min(i + 0.95, max(0.1 * (i + 1), (i + 1) - (i + 2) * y * t[i + 1] / t[i])) for i in range(3)])
+    return np.array(out)
+
+
+class Order:
+    """Counts of one order of both classes, toxic and ordinary."""
+
+    def __init__(self, counts: Counts):
+        self.counts, n = counts, counts.values
+        self.total, self.discounts = n.sum(0) + 1.0, discounts(n[:-1])
+        taken = sum(np.stack([np.sum(own) * d for own, d in zip(((n == i + 1) if i < 2 else (n > 2)).T, self.discounts[:, i])]) for i in range(3))
+        self.shared = (taken + 1) / self.total / ((n > 0).sum() + 1.0)  # what is left for each class that a key occurs in
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray):
-        self.totals, self.curve = totals, np.array([-2.0, 0.0, 0.0])
-        self.tables = [Table(keys, values) for keys, values in levels]
+    def ratio(self, n: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probability of each key in the two classes to the mean of both; below is that of the order below. Keys that neither class has are left to it."""
+        level = np.minimum(n, 3).astype(np.int64) - 1
+        kinds = (n > 0).sum(1)
+        p = np.stack([np.where(level[:, i] >= 0, n[:, i] - self.discounts[i][level[:, i]], 0) / self.total[i] + self.shared[i] * kinds * below[i] for i in (0, 1)])
+        return np.where(kinds > 0, p / np.maximum(p.mean(0), 1e-300), below)
 
-    def evidence(self, words: np.ndarray, stems: np.ndarray, less: tuple | None = None) -> np.ndarray:
-        """Toxic less ordinary log-probability of each word. less: the row and the class of each word, whose own counts are left out."""
-        counts = []
-        for keys, own in zip([words, *stems], self.tables):
-            at = own.find(keys)
-            counts.append(np.where(at[:, None] >= 0, own.values[at], 0).astype(np.float64))
+
+class Model:
+    """pairs: documents with an expression. words: different words that a word follows. Both toxic and ordinary."""
+
+    def __init__(self, pairs: Counts, words: Counts):
+        self.pairs, self.words, self.curve = Order(pairs), Order(words), np.array([-2.0, 0.0, 0.0, 0.0])
+
+    def evidence(self, words: np.ndarray, pairs: np.ndarray, less: tuple | None = None) -> np.ndarray:
+        """Toxic less ordinary log-probability of each word after the one before it. less: the row and the class of each word, whose own counts are left out."""
+        n, k = self.pairs.counts.of(pairs), self.words.counts.of(words)
         if less is not None:
             row, toxic = less
-            gone = None
-            for level, keys in enumerate([words, *stems]):
-                _, first, group = np.unique(_in_row(keys, row), return_index=True, return_inverse=True)
-                mine = np.ones(len(first)) if level == 0 else np.bincount(group, gone, len(first))
-                side = np.where(toxic == 1, 0, 1)
-                left = np.maximum(counts[level][np.arange(len(keys)), side] - mine[group], 0)
-                counts[level][np.arange(len(keys)), side] = left
-                once = np.zeros(len(keys))
-                once[first] = 1
-                gone = once * (left <= 0)
-        ratio = np.ones((2, len(words)))  # of the class's probability to the mean of both, so far down the orders
-        for n, (sum1, sum0, kinds1, kinds0) in zip(counts[::-1], self.totals[::-1]):
-            classes = (n > 0).sum(1)
-            p = np.stack([np.maximum(n[:, i] - DISCOUNT, 0) / (total + 1) + (DISCOUNT * kinds + 1) / (total + 1) * classes / (kinds1 + kinds0 + 1) * ratio[i] for i, total, kinds in ((0, sum1, kinds1), (1, sum0, kinds0))])
-            expected = n.sum(1) * sum1 / max(sum1 + sum0, 1)
-            telling = np.abs(n[:, 0] - expected) >= TELLING * np.sqrt(expected + 1)
-            ratio = np.where(telling, p / np.maximum(p.mean(0), 1e-300), ratio)
+            side, here = np.where(toxic == 1, 0, 1), np.arange(len(words))
+            alone = n[here, side] <= 1  # no other document of the class has the expression
+            n[here, side] = np.maximum(n[here, side] - 1, 0)
+            own = _distinct_in_row(pairs, row)
+            _, group = np.unique(words ^ mix64(row.astype(np.uint64) * _C), return_inverse=True)
+            k[here, side] = np.maximum(k[here, side] - np.bincount(group[own], alone[own], group.max(initial=-1) + 1)[group], 0)
+        ratio = self.pairs.ratio(n, self.words.ratio(k, np.ones((2, len(words)))))
         return np.log(ratio[0]) - np.log(ratio[1])
 
-    def features(self, evidence: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.concatenate([[0.0], np.cumsum(evidence)])
-        n = np.diff(begins)
-        return (total[begins[1:]] - total[begins[:-1]]) / np.maximum(n, 1), np.log1p(n)
+    def features(self, evidence: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """A row a text: one, the mean evidence, the same by the log of the length, the mean of the strongest."""
+        total, n = np.concatenate([[0.0], np.cumsum(evidence, dtype=np.float64)]), np.diff(begins)
+        mean = (total[begins[1:]] - total[begins[:-1]]) / np.maximum(n, 1)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((-evidence, row))
+        back = np.arange(len(order)) - begins[:-1][row]
+        top = back < PEAK
+        peak = np.bincount(row[top], evidence[order][top], len(n)) / np.maximum(np.minimum(n, PEAK), 1)
+        return np.stack([np.ones(len(n)), mean, mean * np.log1p(n), peak], 1)
 
-    def score(self, mean: np.ndarray, length: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + b * mean + c * mean * length, -30, 30)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve, -30, 30)))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,52 +148,48 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _counts(frame: DataFrame, key: str, columns: list[str], kind) -> Counts:
+    got = frame.select(key, *columns).toArrow()
+    return Counts(got.column(key).to_numpy().astype(np.int64).view(np.uint64), np.stack([got.column(c).to_numpy().astype(kind) for c in columns], 1).reshape(-1, len(columns)))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1); only its rows are learnt from."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    stems = [f"stem{i}" for i in range(len(STEMS))]
-    schema = ", ".join(f"{c} bigint" for c in ("word", *stems, "n1", "n0"))
-    counted = rows.mapInArrow(_count_rows, schema).groupBy("word").agg(*(F.min(s).alias(s) for s in stems), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    frames = [stored(counted)]
-    for i, s in enumerate(stems):
-        longer = frames[-1]
-        frames.append(stored(longer.groupBy(s).agg(*(F.min(x).alias(x) for x in stems[i + 1 :]), F.count_if(F.col("n1") > 0).alias("n1"), F.count_if(F.col("n0") > 0).alias("n0"))))
-    levels, totals = [], []
-    for key, most, frame in zip(("word", *stems), (MAX_WORDS, *(MAX_STEMS for _ in stems)), frames):
-        totals.append(list(frame.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n0")), F.count_if(F.col("n1") > 0), F.count_if(F.col("n0") > 0)).first()))
-        best = most_frequent(frame.where("n1 + n0 > 1").select(key, "n1", "n0", (F.col("n1") + F.col("n0")).alias("n")), "n", most).toArrow()
-        columns = [best.column(c).to_numpy().astype(np.int64) for c in (key, "n1", "n0")]
-        order = np.lexsort((columns[0], -columns[1] - columns[2]))
-        levels.append((columns[0][order].view(np.uint64), np.stack(columns[1:], 1)[order].astype(np.float32)))
-        forget(frame)
-    model = Model(levels, np.array(totals, float))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
+    rows = stored(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")).select("text", "toxic"))
+    pairs = rows.mapInArrow(_count_rows, "pair bigint, word bigint, n1 bigint, n0 bigint")
+    pairs = stored(pairs.groupBy("pair").agg(F.min("word").alias("word"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
+    words = pairs.groupBy("word").agg(F.count_if(F.col("n1") > 0).alias("k1"), F.count_if(F.col("n0") > 0).alias("k0"))
+    model = Model(_counts(pairs, "pair", ["n1", "n0"], np.uint16), _counts(words, "word", ["k1", "k0"], np.int32))
+    forget(pairs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def left_out(batches):
         own = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEMS)
+                words, pairs, begins = expressions(part.column("text"))
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(toxic)), np.diff(begins))
-                mean, length = own.features(own.evidence(words, stems, (row, toxic[row])), begins)
-                yield pa.RecordBatch.from_arrays([pa.array(mean), pa.array(length), pa.array(toxic.astype(np.int32))], names=["mean", "length", "toxic"])
+                x = own.features(own.evidence(words, pairs, (row, toxic[row])), begins)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[:, i])) for i in range(1, 4)), pa.array(toxic.astype(np.int32))], names=["mean", "long", "peak", "toxic"])
 
-    sample = rows.mapInArrow(left_out, "mean double, length double, toxic int").toArrow()
+    sample = rows.mapInArrow(left_out, "mean double, long double, peak double, toxic int").toArrow()
     if len(sample):
-        mean, length, y = (sample.column(c).to_numpy() for c in ("mean", "length", "toxic"))
-        model.curve = _fit_curve(np.stack([np.ones(len(y)), mean, mean * length], 1), y.astype(float))
+        x = np.stack([np.ones(len(sample)), *(sample.column(c).to_numpy() for c in ("mean", "long", "peak"))], 1)
+        model.curve = _fit_curve(x, sample.column("toxic").to_numpy().astype(float))
     shared.unpersist()
+    forget(rows)
     return model
 
 
 def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:
     out = []
     for part in slices(batch, "text"):
-        words, _, begins, stems = hash_words(*text_bytes(part.column("text")), BREAKS, STEMS)
-        out.append(model.score(*model.features(model.evidence(words, stems), begins)))
+        *own, begins = expressions(part.column("text"))
+        out.append(model.score(model.features(model.evidence(*own), begins)))
     return np.concatenate(out) if out else np.zeros(0)
 
 
