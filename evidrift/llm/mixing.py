@@ -4,12 +4,12 @@ Every source has a target in words: the whole corpus shared by weight, no source
 size, the excess shared again by weight. A source is taken whole as often as its target allows, and once more in
 part: documents stand in the order of a hash of doc_id, and the part is the prefix whose words come nearest
 to what is left of the target. Each pass over a source is cut into BLOCKS blocks by the leading bits of that hash; the
-blocks are the urn. A binary tree of nodes splits the exact numbers of blocks that each source has left: half of a
+blocks of the whole passes and of the partial one up to its end are the urn. A binary tree of nodes splits the exact numbers of blocks of each source: half of a
 node's blocks, drawn without replacement, go left, so that the counts of the sources follow the multivariate hypergeometric law. The
-leaves are the output shards; each draws disjoint blocks from the permuted list of every source, and its rows are shuffled locally.
+leaves are the output shards; each draws disjoint blocks from the permuted list of every source, and its rows are shuffled locally. A document is taken as often as its block has been drawn.
 
 Defined results: a null text has size 0; null is a source of its own, the last one; rows that repeat a doc_id stand at one place
-of the order and are taken together; sources without words have target 0; an empty table gives no rows; other columns are kept by
+of the order and are taken together, as do null ids; sources without words have target 0; texts of any length count whole; an empty table gives no rows; other columns, whatever their names, are kept by
 `materialise` and ignored by `plan`. Reruns agree, as nothing depends on partitions.
 
 Plan: one pass counts words and keeps four narrow columns. All sums are grouped with partial aggregates: by (source, block),
@@ -31,6 +31,7 @@ BLOCKS = 256
 SMALL = 500_000
 _HEX = 15  # digits of the hash: 60 bits
 _BLOCK_BITS, _PIECE_BITS = 60 - 8, 60 - 8 - 12
+_BUCKET_BITS = 12
 
 
 def size_of(text: Column) -> Column:
@@ -87,17 +88,29 @@ def source_plan(slim: DataFrame, weights: tuple = WEIGHTS, repeats: int = 3) ->
     return plan.join(last, "key", "left").select("key", "source_size", "target", "passes", F.coalesce("last", F.lit(-1)).cast("bigint").alias("last"))
 
 
+def _left_half(balls: DataFrame, seed: int, level: int) -> DataFrame:
+    """balls: node, key, ball. side: 0 for half of each node's balls, drawn without replacement (those of least hash), 1 for the others. The hash at which a node is
+    halved is found from counts by its leading bits, so no window holds more than the balls of one hash bucket of a node."""
+    hashed = balls.withColumn("h", F.xxhash64(F.lit(seed), F.lit(level), "node", "key", "ball")).withColumn("bucket", F.shiftrightunsigned("h", 64 - _BUCKET_BITS))
+    counts = hashed.groupBy("node", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("node")
+    cut = counts.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("half", F.floor(F.sum("n").over(w) / 2))
+    cut = cut.where("upto > half").groupBy("node").agg(F.min("bucket").alias("cut"), F.min_by(F.col("half") - (F.col("upto") - F.col("n")), "bucket").alias("rest"))
+    hashed = hashed.join(F.broadcast(cut), "node")  # a row a node, at most as many as there are shards
+    order = F.row_number().over(W.partitionBy("node").orderBy("h", "key", "ball"))
+    inside = hashed.where("bucket = cut").withColumn("side", (order > F.col("rest")).cast("int"))
+    return hashed.where("bucket <> cut").withColumn("side", (F.col("bucket") > F.col("cut")).cast("int")).unionByName(inside).select("node", "key", "side")
+
+
 def shards_of(plan: DataFrame, shards: int = 32, seed: int = 0) -> DataFrame:
-    """key, block, shards: the shard of each pass over the block. Leaves of a splitting tree over the urn of all blocks."""
-    passes = (F.col("passes") + (F.col("last") >= 0).cast("int")).cast("int")
-    units = plan.where(passes > 0).select("key", F.explode(F.sequence(F.lit(1), passes)).alias("pass"), F.lit(1).alias("one"))
-    units = units.select("key", "pass", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    """key, block, shards: the shard of each time that the mix takes the block, whole passes first. Leaves of a splitting tree over the urn of all blocks that the mix takes."""
+    units = plan.select("key", "last", F.explode(F.sequence(F.lit(1), (F.col("passes") + 1).cast("int"))).alias("pass"), "passes")
+    units = units.select("key", "last", "pass", "passes", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    units = units.where((F.col("pass") <= F.col("passes")) | ((F.col("last") >= 0) & (F.col("block") <= F.shiftright("last", _BLOCK_BITS)))).select("key", "pass", "block")
     quota = units.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("node"), "key", "n")
     for level in range((shards - 1).bit_length()):
         balls = quota.select("node", "key", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("ball"))
-        draw = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64(F.lit(seed), F.lit(level), "node", "key", "ball"), "key", "ball"))
-        half = F.floor(F.count(F.lit(1)).over(W.partitionBy("node")) / 2)
-        side = balls.select((F.col("node") * 2 + (draw > half).cast("int")).alias("node"), "key")
+        side = _left_half(balls, seed, level).select((F.col("node") * 2 + F.col("side")).alias("node"), "key")
         quota = stored(side.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")))
     quota = quota.withColumn("upto", F.sum("n").over(W.partitionBy("key").orderBy("node")))
     drawn = units.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "pass", "block"), "pass", "block")))
@@ -107,20 +120,22 @@ def shards_of(plan: DataFrame, shards: int = 32, seed: int = 0) -> DataFrame:
 
 
 def _decided(rows: DataFrame, slim: DataFrame, weights: tuple, repeats: int, shards: int, seed: int) -> DataFrame:
+    """rows with source_size, target, shards (of each time the document is taken) and times. A document is taken as often as the tree has drawn its block; in the block where the
+    partial pass ends, documents behind the last one are not taken that once more."""
     plan = stored(source_plan(slim, weights, repeats))
     tree = stored(shards_of(plan, shards, seed))
     hint = F.broadcast if tree.count() <= SMALL else lambda x: x
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).withColumn("block", F.shiftright("place", _BLOCK_BITS).cast("int"))
-    out = rows.join(hint(plan), "key").join(hint(tree), ["key", "block"], "left")
-    times = F.when(F.col("place") <= F.col("last"), F.col("passes") + 1).otherwise(F.col("passes"))
-    return out.withColumn("times", times.cast("int"))
+    out = rows.join(hint(plan), "key").join(hint(tree), ["key", "block"], "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+    behind = (F.col("last") >= 0) & (F.col("block") == F.shiftright("last", _BLOCK_BITS)) & (F.col("place") > F.col("last"))
+    return out.withColumn("times", F.size("shards") - behind.cast("int")).withColumn("shards", F.slice("shards", 1, F.col("times")))
 
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = 3, shards: int = 32, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken and shards (of each time the document is taken) of every row of docs."""
     slim = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), place_of(F.col("doc_id")).alias("place")))
     out = _decided(slim, slim, weights, repeats, shards, seed)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, F.col("times")).alias("shards"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "shards")
 
 
 def materialise(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = 3, shards: int = 32, seed: int = 0) -> DataFrame:
@@ -128,6 +143,6 @@ def materialise(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = 3, sha
     slim = stored(docs.select(F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), place_of(F.col("doc_id")).alias("place")))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), place_of(F.col("doc_id")).alias("place"))
     out = _decided(own, slim, weights, repeats, shards, seed).where("times > 0")
-    out = out.select("row", "place", F.posexplode(F.slice("shards", 1, F.col("times"))).alias("time", "shard"))
+    out = out.select("row", "place", F.posexplode("shards").alias("time", "shard"))
     out = out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "place", "time"))
     return out.select("row.*")
