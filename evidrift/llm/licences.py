@@ -4,11 +4,12 @@ A paragraph is a run of lines with letters or digits, up to a line without any;
 WINDOW words is read in windows of WINDOW words, half of them shared with the next. A paragraph has as many notices of a family as the better of both readings. Features are
 hashed word n-grams (one and two words of letters and digits, lower-cased). A multinomial logistic regression with an elastic net, so that its weights are sparse, tells the licence
 families of TEMPLATES, whole and in fragments, from an unknown class, learnt from at most UNKNOWN windows of distinct whole lines of the corpus (lowest
-hashes, half of them of lines with a word in common with the templates) that hardly overlap any template. The family's probability must exceed a bar set on held-out unknown paragraphs, so that at most one in a thousand of them would pass.
+hashes, half of them of lines with a word in common with the templates) that hardly overlap any template. The family's probability must exceed a bar set on held-out unknown windows, so that at most one in a thousand of these passes: none, where they are fewer.
 A prediction counts only if the paragraph holds at least CONFIRM of the word pairs of a template of that family.
 
 Defined results: null, empty and blank texts have no paragraph and no notice; rows that repeat a doc_id are scanned each;
-null ids are kept; other columns are ignored; an empty table gives no rows. Texts may be of any length, as windows bound a row.
+null ids are kept; other columns, whatever their names, are ignored; an empty table gives no rows. Texts may be of any length, as windows bound a row. The rows are stored once with their numbers and the few
+paragraphs that a template could confirm.
 
 Plan: DataFrame operators and Spark's own ML stages, all in the JVM. A confirmed paragraph has one of the templates' anchor words, as fewer pairs than a
 confirmation takes are without any; texts and lines without one are passed over first, which changes no result. One narrow pass; what is shuffled is the few confirmed notices,
@@ -17,6 +18,7 @@ summed by row. The model's size is fixed.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -103,9 +105,15 @@ def _windowed(lines: DataFrame) -> DataFrame:
     return lines.select(*rest, _words(F.col("text")).alias("w")).where(F.size("w") > 0).select(*rest, F.explode(_windows(F.col("w"), WINDOW, WINDOW // 2)).alias("words"))
 
 
+def _anchored_paragraphs(text: Column) -> Column:
+    """number and text of the paragraphs that a template could confirm."""
+    numbered = F.transform(_paragraphs(text), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
+    return F.when(_anchored(text), F.filter(numbered, lambda x: _anchored(x["text"])))
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """row_no, paragraph (its number), whole (whether it is read as a whole) and words of every window that a template could confirm."""
-    own = rows.where(_anchored(F.col("text"))).select("row_no", F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "text")).where(_anchored(F.col("text")))
+    """rows: row_no, own (numbered paragraphs). row_no, paragraph, whole (whether it is read as a whole) and words of every window that a template could confirm."""
+    own = rows.select("row_no", F.explode("own").alias("p")).select("row_no", "p.*")
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text")))
     whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("text")))
     read = own.select("row_no", "paragraph", F.explode(F.when(F.size(lines) > 1, F.concat(whole, lines)).otherwise(lines)).alias("r")).select("row_no", "paragraph", "r.*")
@@ -127,10 +135,6 @@ def sample(docs: DataFrame, unknown: int) -> DataFrame:
     return out
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.col("text").cast("string").alias("text"))
-
-
 def templates(spark) -> DataFrame:
     out = spark.createDataFrame(TEMPLATES, "family string, notice string").withColumn("words", _words(F.col("notice")))
     return out.select("family", "words", _pairs(F.col("words")).alias("pairs"))
@@ -167,8 +171,9 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
     fit = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.5, weightCol="weight", family="multinomial", standardization=False, aggregationDepth=2).fit(rows)
     out = Classifier(fit, families, 0.0)
     held_out = some.where("held").select("words")
-    worst = out.predict(held_out).orderBy(F.desc("probability")).limit(held_out.count() // 1000 + 1).agg(F.min("probability")).first()[0]
-    out.bar = max(0.5, min(0.95, worst or 0.0))
+    pass_over = held_out.count() // 1000
+    best = [r.probability for r in out.predict(held_out).orderBy(F.desc("probability")).limit(pass_over + 1).collect()]
+    out.bar = max(0.5, math.nextafter(best[pass_over], 2) if len(best) > pass_over else 0.0)
     forget(some)
     return out
 
@@ -176,12 +181,13 @@ def train(docs: DataFrame, unknown: int = UNKNOWN) -> Classifier:
 def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """row_no, doc_id, n_paragraphs, families (sorted, comma-joined) and n_notices of every row of docs."""
     classifier = classifier or train(docs)
-    found = classifier.predict(paragraphs(_numbered(docs)))
+    text = F.col("text").cast("string")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.coalesce(F.size(_paragraphs(text)), F.lit(0)).alias("n_paragraphs"), _anchored_paragraphs(text).alias("own")))
+    found = classifier.predict(paragraphs(rows))
     against = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("known"))
     own = _pairs(F.col("words"))
     confirmed = F.exists("known", lambda t: F.size(F.array_intersect(t, own)) >= F.size(F.array_distinct(t)) * F.lit(CONFIRM))
     found = found.join(F.broadcast(against), "family").where(confirmed)
     found = found.groupBy("row_no", "paragraph", "family").agg(F.greatest(F.count_if("whole"), F.count_if(~F.col("whole"))).alias("n"))
     found = found.groupBy("row_no").agg(F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("families"), F.sum("n").alias("n_notices"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.coalesce(F.size(_paragraphs(F.col("text").cast("string"))), F.lit(0)).alias("n_paragraphs"))
-    return rows.join(found, "row_no", "left").select("row_no", "doc_id", "n_paragraphs", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
+    return rows.drop("own").join(found, "row_no", "left").select("row_no", "doc_id", "n_paragraphs", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
