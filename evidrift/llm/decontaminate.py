@@ -2,16 +2,16 @@
 
 Words are runs of bytes other than ASCII blanks, punctuation and controls, with A-Z lower-cased. Every
 run of `window` benchmark words (or the whole item, where it is shorter but not empty) is a pattern. The
-automaton runs once over the words of a document joined by single blanks; a match is carried back to
-byte offsets of the original text.
+letters of the automaton are words: each benchmark word is one character, and any other word is one more. It
+runs once over the words of a document; a match is carried back to byte offsets of the original text.
 
 Defined results: a null or empty text has no words, no hits and no items; items with null or blank
-text have no window; items with equal ids pool their windows; items without an id are one item whose id is null, and their windows hit like any; repeated document rows are answered row by row; other
-columns of either table are ignored; empty tables give no rows, or rows without hits.
+text have no window; items with equal ids pool their windows; items without an id are one item whose id is null, and their windows hit like any; repeated document rows are answered row by row;
+texts of any length are scanned whole; other columns of either table, whatever their names, are ignored by `scan` and kept by `clean`; empty tables give no rows, or rows without hits.
 
-Plan: one narrow pass over the documents, no shuffle. The windows are broadcast in blocks whose size is
-a parameter. With one block (any usual benchmark) that is the whole job; a larger benchmark is scanned
-block by block, and the hits of each row are united by one grouped aggregate on a row number.
+Plan: one narrow pass over the documents, no shuffle. The windows are broadcast in blocks: block_bytes bounds a block's benchmark text, and with it its windows (a block of 2 MB has about
+350,000 windows of 13 characters) and the automaton (about 14 nodes a window at most). With one block (any usual benchmark) that is the whole job; a larger benchmark is scanned
+block by block over rows stored once with their numbers, and the hits of each row are united by one grouped aggregate.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import slices, stored, text_bytes, unused
 
 #: Bytes that are not in [^\x00-\x2F\x3A-\x60\x7B-\x7F] become blanks, A-Z become a-z.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,45 +37,50 @@ SCHEMA = "doc_id bigint, n_words bigint, items array<bigint>, hit_words array<in
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
+BLOCK_BYTES = 2 << 20
+_OTHER = "\x00"
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
     return raw.translate(_CLEAN).split()
 
 
-def windows(items: list[tuple[int | None, str | None]], size: int) -> list[tuple[str, int, list[int]]]:
-    """(pattern, its words, ids of the items that have it) for every distinct window."""
-    owners: dict[bytes, set[int]] = defaultdict(set)
+def windows(items: list[tuple[int | None, str | None]], size: int) -> tuple[dict[bytes, str], list[tuple[str, list]]]:
+    """The character of each benchmark word, and (pattern, ids of the items that have it) for every distinct window."""
+    letters: dict[bytes, str] = {}
+    owners: dict[str, set] = defaultdict(set)
     for item, text in items:
-        found = words(text)
-        for i in range(max(1, len(found) - size + 1) if found else 0):
-            owners[b" " + b" ".join(found[i : i + size]) + b" "].add(item)
-    return [(k.decode("latin-1"), k.count(b" ") - 1, sorted(v, key=str)) for k, v in owners.items()]
+        line = ""
+        for w in words(text):
+            n = len(letters) + 1
+            line += letters.setdefault(w, chr(n if n < 0xD800 else n + 0x800))  # surrogates are no characters
+        for i in range(max(1, len(line) - size + 1) if line else 0):
+            owners[line[i : i + size]].add(item)
+    return letters, [(k, sorted(v, key=str)) for k, v in owners.items()]
 
 
-def automaton(patterns: list[tuple[str, int, list[int]]]) -> ahocorasick.Automaton:
+def automaton(patterns: list[tuple[str, list]]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for i, (text, n, _) in enumerate(patterns):
-        out.add_word(text, (i, n))
+    for i, (text, _) in enumerate(patterns):
+        out.add_word(text, (i, len(text)))
     if patterns:
         out.make_automaton()
     return out
 
 
-def _row(raw: bytes, found: ahocorasick.Automaton, patterns: list) -> tuple[int, list, list, list]:
+def _row(raw: bytes, found: ahocorasick.Automaton, letters: dict[bytes, str], patterns: list) -> tuple[int, list, list, list]:
     split = raw.translate(_CLEAN).split()
     if not split or not len(found):
         return len(split), [], [], []
-    line = (b" " + b" ".join(split) + b" ").decode("latin-1")
-    hits = list(found.iter(line))
+    hits = list(found.iter("".join([letters.get(w, _OTHER) for w in split])))
     if not hits:
         return len(split), [], [], []
-    blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
     marks, items = np.zeros(len(split) + 1, np.int64), set()
     for last, (which, n) in hits:
-        to = int(np.searchsorted(blanks, last))
-        marks[to - n] += 1
-        marks[to] -= 1
-        items.update(patterns[which][2])
+        marks[last + 1 - n] += 1
+        marks[last + 1] -= 1
+        items.update(patterns[which][1])
     hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
     solid = np.concatenate(([False], _WORD[np.frombuffer(raw, np.uint8)], [False]))
     first, last = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
@@ -85,47 +90,59 @@ def _row(raw: bytes, found: ahocorasick.Automaton, patterns: list) -> tuple[int,
     return len(split), sorted(items, key=str), hit.tolist(), spans
 
 
-def _scan(docs: DataFrame, patterns: list, key: list[str]) -> DataFrame:
+def _found(batch: pa.RecordBatch, shared, name: str):
+    """Parts of a batch, each with what _row says of its rows."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(shared.value[1])
+    letters, patterns = shared.value
+    for part in slices(batch, "text"):
+        data, bounds = text_bytes(part.column("text"))
+        raw = data.tobytes()
+        yield part, [_row(raw[a:b], _built[name], letters, patterns) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _scan(docs: DataFrame, patterns: tuple, key: list[str]) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
     schema = ", ".join([*(f"{k} bigint" for k in key), SCHEMA])
 
     def run(batches):
-        own = shared.value
-        found = _built.get(name)
-        if found is None:
-            _built.clear()
-            found = _built[name] = automaton(own)
         for batch in batches:
-            data, bounds = text_bytes(batch.column("text"))
-            raw = data.tobytes()
-            rows = [_row(raw[a:b], found, own) for a, b in zip(bounds[:-1], bounds[1:])]
-            columns = [batch.column(k) for k in (*key, "doc_id")]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-            columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*key, "doc_id", "n_words", "items", "hit_words", "spans"])
+            for part, rows in _found(batch, shared, name):
+                columns = [part.column(k) for k in (*key, "doc_id")]
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+                columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "doc_id", "n_words", "items", "hit_words", "spans"])
 
     return docs.mapInArrow(run, schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """item_id, text of the items with a text, and into how many blocks they go."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items, int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, items (ids with occurring windows), hit_words (ordinals), spans (byte offsets of the
     runs of hit words in the UTF-8 text, last exclusive). block_bytes bounds the benchmark text that is broadcast at a time."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
+    items, blocks = _items(benchmark, block_bytes)
     if blocks == 1:
         return _scan(docs, windows([tuple(r) for r in items.collect()], window), [])
-    numbered, parts = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text"), None
+    return _pooled(stored(docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")), items, blocks, window).drop("row_no")
+
+
+def _pooled(numbered: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    parts = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         part = _scan(numbered, windows([tuple(r) for r in own], window), ["row_no"])
         parts = part if parts is None else parts.unionAll(part)
-    pooled = parts.groupBy("row_no").agg(
+    return parts.groupBy("row_no").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    return pooled.select("doc_id", "n_words", "items", "hit_words", "spans")
 
 
 def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
@@ -133,28 +150,22 @@ def contaminated(n_hit: F.Column, n_words: F.Column) -> F.Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns. Each row is judged by its own text; with one block of
     benchmark text this is one narrow pass."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) < block_bytes:
+    items, blocks = _items(benchmark, block_bytes)
+    if blocks == 1:
         patterns = windows([tuple(r) for r in items.collect()], window)
         shared, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
         def run(batches):
-            own = shared.value
-            found = _built.get(name)
-            if found is None:
-                _built.clear()
-                found = _built[name] = automaton(own)
             for batch in batches:
-                data, bounds = text_bytes(batch.column("text"))
-                raw = data.tobytes()
-                rows = [_row(raw[a:b], found, own) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield batch.filter(pa.array([not (len(hit) > 0 and 20 * len(hit) >= n) for n, _, hit, _ in rows], pa.bool_()))
+                for part, rows in _found(batch, shared, name):
+                    yield part.filter(pa.array([not (len(hit) > 0 and 20 * len(hit) >= n) for n, _, hit, _ in rows], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    numbered = docs.withColumn("row_no__", F.monotonically_increasing_id())
-    bad = scan(numbered.drop("doc_id").withColumnRenamed("row_no__", "doc_id"), benchmark, window, block_bytes)
-    bad = bad.where(contaminated(F.size("hit_words").cast("bigint"), F.col("n_words"))).select(F.col("doc_id").alias("row_no__"))
-    return numbered.join(bad, "row_no__", "left_anti").select(*docs.columns)
+    name = unused(docs, "row_no")
+    numbered = stored(docs.withColumn(name, F.monotonically_increasing_id()))
+    found = _pooled(numbered.select(F.col(name).alias("row_no"), F.lit(0).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), items, blocks, window)
+    bad = found.where(contaminated(F.size("hit_words").cast("bigint"), F.col("n_words"))).select(F.col("row_no").alias(name))
+    return numbered.join(bad, name, "left_anti").select(*docs.columns)
