@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidrift.llm import decontaminate, jaccard, licences, linededup, mixing, mixing_lm, substrings, topk, toxicity
+from evidrift.llm import decontaminate, jaccard, licences, linededup, mixing, mixing_lm, topk, toxicity
 from evidrift.llm.sharding import Conflict, ShardStore
 
 random.seed(7)
@@ -84,39 +84,21 @@ def test_toxicity(spark, docs, none):
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 8)))]
-    vectors += [(200, vectors[7][1]), (201, vectors[7][1]), (202, None), (203, [None] + [0.0] * 7), (204, [float("nan")] * 8), (205, [1.0]), (40, vectors[3][1])]
+    vectors += [(200, vectors[7][1]), (201, vectors[7][1]), (202, None), (203, [None] + [0.0] * 7), (204, [float("nan")] * 8), (205, [1.0]), (206, []), (40, vectors[3][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id bigint, embedding array<float>, score string")
-    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v in vectors if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, np.pad(np.floor(1024 * np.array(v, np.float32).astype(float)), (0, 8 - len(v)))) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     seen, want = set(), set()
     for q, x in good:
         if q % 20 == 0 and q not in seen:
             seen.add(q)
             best = sorted(((-int(x @ y), i) for i, y in good if i != q))[:5]
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    got = topk.search(df, F.col("vec_id") % 20 == 0, k=5, block=32).collect()
+    got = topk.search(df, F.col("vec_id") % 20 == 0, k=5, block=32, group=3).collect()
     assert {tuple(r) for r in got} == want
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
     assert topk.search(df.where("vec_id < 3"), F.lit(True), k=5).count() == 6
 
 
-def test_substrings(docs, none):
-    rows = {r.row_no: r for r in substrings.summary(docs).collect()}
-    assert len(rows) == docs.count()
-    one, two = rows[8], rows[9]
-    assert one.n_passages == two.n_passages == 1 and abs(one.spans[0]["first"] - 30) <= 3 and abs(two.spans[0]["first"] - 10) <= 3 and two.n_repeated >= 54
-    assert rows[10].n_passages == 0 and rows[0].n_passages == 0 and rows[4].n_repeated == 120
-    assert substrings.summary(none).count() == 0
-
-
-def test_compact_windows_cover_every_stretch_once():
-    h = np.random.default_rng(1).integers(0, 50, 80).astype(np.uint64)
-    found = substrings.compact_windows(h, 10)
-    for a in range(80):
-        for b in range(a + 9, 80):
-            c = a + int(h[a : b + 1].argmin())
-            assert sum(x <= a and y == c and z >= b for x, y, z in found) == 1
-
-
 def test_language_model(docs, none):
     model, counts = mixing_lm.train(docs, F.coalesce(F.col("doc_id") != 7, F.lit(True)))
     rows = mixing_lm.score(docs, model, counts).collect()
