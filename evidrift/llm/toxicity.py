@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keys, forget, hash_words, mix64, slices, stored, text_bytes
+from .common import Keys, forget, hash_words, mix64, slices, stored, text_bytes, tidy
 
-MAX_LABELS = 10_000
+MAX_LABELS = 10_000  # at most 32,767, so that a count of documents fits its type
 PEAK = 3
 _C = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x2545F4914F6CDD1D)
@@ -53,7 +53,7 @@ def _distinct_in_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
 def _count_rows(batches):
     """pair, word, n1, n0: the documents of each class that have an expression, summed within parts of a partition."""
     for batch in batches:
-        for part in slices(batch, "text", 1 << 22):
+        for part in slices(batch, "text", 1 << 21):
             words, pairs, begins = expressions(part.column("text"))
             row = np.repeat(np.arange(part.num_rows), np.diff(begins))
             own = _distinct_in_row(pairs, row)
@@ -68,7 +68,8 @@ class Counts:
     """Numbers by key; zeros for a key that is not there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = Keys(keys), np.concatenate([values, np.zeros((1, values.shape[1]), values.dtype)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = Keys(keys[order], presorted=True), np.concatenate([values[order], np.zeros((1, values.shape[1]), values.dtype)])
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         return self.values[self.keys.find(keys)].astype(np.float32)
@@ -148,22 +149,20 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _counts(frame: DataFrame, key: str, columns: list[str], kind) -> Counts:
-    got = frame.select(key, *columns).toArrow()
-    return Counts(got.column(key).to_numpy().astype(np.int64).view(np.uint64), np.stack([got.column(c).to_numpy().astype(kind) for c in columns], 1).reshape(-1, len(columns)))
-
-
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1); only its rows are learnt from."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
     rows = stored(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")).select("text", "toxic"))
-    pairs = rows.mapInArrow(_count_rows, "pair bigint, word bigint, n1 bigint, n0 bigint")
-    pairs = stored(pairs.groupBy("pair").agg(F.min("word").alias("word"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
-    words = pairs.groupBy("word").agg(F.count_if(F.col("n1") > 0).alias("k1"), F.count_if(F.col("n0") > 0).alias("k0"))
-    model = Model(_counts(pairs, "pair", ["n1", "n0"], np.uint16), _counts(words, "word", ["k1", "k0"], np.int32))
-    forget(pairs)
+    pairs = rows.mapInArrow(tidy(_count_rows), "pair bigint, word bigint, n1 bigint, n0 bigint").groupBy("pair")
+    small = lambda c: F.least(F.sum(c), F.lit(65_535 >> 1)).cast("smallint").alias(c)  # noqa: E731  no more documents are learnt from
+    got = pairs.agg(F.min("word").alias("word"), small("n1"), small("n0")).toArrow()
+    n = np.stack([got.column(c).to_numpy().astype(np.uint16) for c in ("n1", "n0")], 1)
+    words, place = np.unique(got.column("word").to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+    follows = np.stack([np.bincount(place, n[:, i] > 0, len(words)).astype(np.int32) for i in (0, 1)], 1)
+    model = Model(Counts(got.column("pair").to_numpy().astype(np.int64).view(np.uint64), n), Counts(words, follows))
+    del got, n, words, place, follows
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def left_out(batches):
@@ -176,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
                 x = own.features(own.evidence(words, pairs, (row, toxic[row])), begins)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[:, i])) for i in range(1, 4)), pa.array(toxic.astype(np.int32))], names=["mean", "long", "peak", "toxic"])
 
-    sample = rows.mapInArrow(left_out, "mean double, long double, peak double, toxic int").toArrow()
+    sample = rows.mapInArrow(tidy(left_out), "mean double, long double, peak double, toxic int").toArrow()
     if len(sample):
         x = np.stack([np.ones(len(sample)), *(sample.column(c).to_numpy() for c in ("mean", "long", "peak"))], 1)
         model.curve = _fit_curve(x, sample.column("toxic").to_numpy().astype(float))
@@ -203,7 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scored(batch, own))], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, score double")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -215,4 +214,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scored(batch, own) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
