@@ -3,7 +3,7 @@
 Words are runs of bytes other than ASCII blanks, punctuation and controls, with A-Z lower-cased. Every
 run of `window` benchmark words (or the whole item, where it is shorter but not empty) is a pattern. The
 letters of the automaton are words: each benchmark word is one character, and any other word is one more. It
-runs once over the words of a document; a match is carried back to byte offsets of the original text.
+runs once over the words of each document that has enough benchmark words in a row to match at all; a match is carried back to byte offsets of the original text.
 
 Defined results: a null or empty text has no words, no hits and no items; items with null or blank
 text have no window; items with equal ids pool their windows; items without an id are one item whose id is null, and their windows hit like any; repeated document rows are answered row by row;
@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes, unused
+from .common import Keys, hash_words, slices, stored, text_bytes, tidy, unused
 
 #: Bytes that are not in [^\x00-\x2F\x3A-\x60\x7B-\x7F] become blanks, A-Z become a-z.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = np.frombuffer(_CLEAN, np.uint8) != 32
+_BREAKS = ~_WORD
 
 SCHEMA = "doc_id bigint, n_words bigint, items array<bigint>, hit_words array<int>, spans array<struct<first:bigint,last:bigint>>"
 
 #: The automaton of the last broadcast, kept for the next task of the same Python worker.
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Scanner] = {}
 
 
 BLOCK_BYTES = 2 << 20
@@ -90,16 +91,33 @@ def _row(raw: bytes, found: ahocorasick.Automaton, letters: dict[bytes, str], pa
     return len(split), sorted(items, key=str), hit.tolist(), spans
 
 
+class Scanner:
+    """The automaton, and what tells the texts that cannot match: a window occurs only where as many words in a row as the shortest window has are all words of the benchmark."""
+
+    def __init__(self, letters: dict[bytes, str], patterns: list[tuple[str, list]]):
+        self.letters, self.patterns, self.found = letters, patterns, automaton(patterns)
+        self.least = min((len(p) for p, _ in patterns), default=1)
+        every = pa.array([*letters], pa.binary())
+        self.known = Keys(np.unique(hash_words(*text_bytes(every), _BREAKS)[0]), presorted=True)
+
+    def rows(self, part: pa.RecordBatch) -> list[tuple[int, list, list, list]]:
+        data, bounds = text_bytes(part.column("text"))
+        words_, _, begins = hash_words(data, bounds, _BREAKS)
+        upto = np.concatenate([[0], np.cumsum(self.known.find(words_) >= 0)])
+        full = np.flatnonzero(upto[self.least :] - upto[: max(0, len(upto) - self.least)] == self.least)  # where runs of known words begin
+        first = np.searchsorted(full, begins[:-1])
+        may = (first < np.searchsorted(full, begins[1:] - self.least, "right")) & (np.diff(begins) >= self.least)
+        raw = data.tobytes()
+        return [_row(raw[a:b], self.found, self.letters, self.patterns) if m else (int(n), [], [], []) for a, b, m, n in zip(bounds[:-1], bounds[1:], may, np.diff(begins))]
+
+
 def _found(batch: pa.RecordBatch, shared, name: str):
     """Parts of a batch, each with what _row says of its rows."""
     if name not in _built:
         _built.clear()
-        _built[name] = automaton(shared.value[1])
-    letters, patterns = shared.value
+        _built[name] = Scanner(*shared.value)
     for part in slices(batch, "text"):
-        data, bounds = text_bytes(part.column("text"))
-        raw = data.tobytes()
-        yield part, [_row(raw[a:b], _built[name], letters, patterns) for a, b in zip(bounds[:-1], bounds[1:])]
+        yield part, _built[name].rows(part)
 
 
 def _scan(docs: DataFrame, patterns: tuple, key: list[str]) -> DataFrame:
@@ -114,7 +132,7 @@ def _scan(docs: DataFrame, patterns: tuple, key: list[str]) -> DataFrame:
                 columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*key, "doc_id", "n_words", "items", "hit_words", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -163,7 +181,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes:
                 for part, rows in _found(batch, shared, name):
                     yield part.filter(pa.array([not (len(hit) > 0 and 20 * len(hit) >= n) for n, _, hit, _ in rows], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
     name = unused(docs, "row_no")
     numbered = stored(docs.withColumn(name, F.monotonically_increasing_id()))
     found = _pooled(numbered.select(F.col(name).alias("row_no"), F.lit(0).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), items, blocks, window)
