@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -163,31 +165,45 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = BLANK,
 
 
 class Keys:
-    """Places of 64-bit keys in the list they were given in, exactly. Keys are hashes, so their leading bits say where to look in sorted order; the few that share these are met in turn."""
+    """Places of distinct 64-bit keys in the list they were given in, exactly. Keys are hashes, so their leading bits say where to look in sorted order; the few that share these are met in turn."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, presorted: bool = False):
         keys = keys.astype(np.uint64)
-        order, bits = np.argsort(keys, kind="stable"), len(keys).bit_length() + 1
+        order, bits = None if presorted else np.argsort(keys, kind="stable"), max(1, len(keys).bit_length())
         self.n, self.shift = len(keys), np.uint64(64 - bits)
-        self.sorted = np.append(keys[order], np.uint64((1 << 64) - 1))
-        self.place = np.append(order, -1).astype(np.int32)
+        self.sorted = np.append(keys if presorted else keys[order], np.uint64((1 << 64) - 1))
+        self.place = None if presorted else np.append(order, -1).astype(np.int32)
         self.begins = np.searchsorted(self.sorted[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's place in the list, or -1."""
         at = self.begins[(keys >> self.shift).astype(np.int64)]
         here = self.sorted[at]
-        out = np.where(here == keys, self.place[at], -1)
+        out = np.where(here == keys, at, self.n)
         on = np.flatnonzero(here < keys)
         at = at[on]
         while len(on):
             at = at + 1
             here, want = self.sorted[at], keys[on]
             hit = here == want
-            out[on[hit]] = self.place[at[hit]]
+            out[on[hit]] = at[hit]
             more = here < want
             on, at = on[more], at[more]
-        return out
+        return np.where(out == self.n, -1, out) if self.place is None else self.place[out]
+
+
+def tidy(run):
+    """run, a function over Arrow batches, which gives the memory that it no longer uses back to the system at its end: Python workers live on from job to job."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, hash_words, mix64, row_key, shingles, slices, stored, text_bytes, unused
+from .common import forget, hash_words, mix64, row_key, shingles, slices, stored, text_bytes, tidy, unused
 from .graph import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -108,7 +108,7 @@ def _described(docs: DataFrame, words: int, branch: float, runs: int) -> DataFra
                 columns = [part.column(c) for c in ("row_no", "doc_id", "text_hash", "key")] + [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), _list(counts, _signed(nodes))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "text_hash", "key", "d1", "d2", "n", "sketch", "nodes"])
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(tidy(run), _ROW)
 
 
 def cells(batches, keys: list[str]):
@@ -287,13 +287,13 @@ def _joined(docs: DataFrame, words: int, threshold: float, recall: float, limit:
     met = met.select("rep", "n", "sketch", "leaves", F.explode("met").alias("m")).select("rep", "n", "sketch", "leaves", F.col("m.leaf").alias("leaf"), F.ceil(F.col("m.count") / limit).cast("int").alias("nb"))
     met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     met = met.select("rep", "n", "sketch", "leaves", "leaf", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = stored(met.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep").mapInArrow(lambda x: _candidates(x, threshold), _FOUND))
+    found = stored(met.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep").mapInArrow(tidy(lambda x: _candidates(x, threshold)), _FOUND))
     wanted = found.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep")
     wanted = wanted.withColumnRenamed("doc_id", "id_")
     own = texts.select("doc_id", "text_hash", "text").join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("id_")))
-    sets = own.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(_tokens(words), "rep bigint, tokens binary")
+    sets = own.select("rep", "text").dropDuplicates(["rep"]).mapInArrow(tidy(_tokens(words)), "rep bigint, tokens binary")
     held = found.join(leaves.select("rep", F.col("met.leaf").alias("leaves")), "rep").join(reps.select("rep", "copies"), "rep").join(sets, "rep")
-    links = stored(held.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_verify(threshold), "rep bigint, root bigint, links bigint"))
+    links = stored(held.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(tidy(_verify(threshold)), "rep bigint, root bigint, links bigint"))
     forget(found)
     labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sets = reps.select("d1", "d2", "rep", "copies", "low_id").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, forget, mix64, slices, stored, text_bytes, unused
+from .common import _BYTE, forget, mix64, slices, stored, text_bytes, tidy, unused
 from .graph import components
 
 TAU, SHORTEST, BLOCK, FEW = 2, 24, 256, 1_000_000
@@ -290,9 +290,9 @@ def _met(keyed: DataFrame) -> DataFrame:
 
 def _near(texts: DataFrame, tau: int, shortest: int, block: int) -> DataFrame:
     """a, b: edges between near lines, enough to join each class."""
-    met = _met(texts.mapInArrow(_keyed(tau, shortest), _KEYED))
+    met = _met(texts.mapInArrow(tidy(_keyed(tau, shortest)), _KEYED))
     wanted = stored(met.select("line").distinct())
-    known = stored(texts.mapInArrow(_texts, "line bigint, bytes binary").join(_few(wanted), "line").groupBy("line").agg(F.min("bytes").alias("bytes")))
+    known = stored(texts.mapInArrow(tidy(_texts), "line bigint, bytes binary").join(_few(wanted), "line").groupBy("line").agg(F.min("bytes").alias("bytes")))
     cells = met.where(F.col("n") <= block)
     if shortest - -(-shortest // (tau + 1)) > tau:  # what is left besides a segment has tau + 1 segments of its own
         again = met.where(F.col("n") > block).join(known, "line").select("key", "at", "size", "line", "indexed", "bytes")
@@ -302,7 +302,7 @@ def _near(texts: DataFrame, tau: int, shortest: int, block: int) -> DataFrame:
     cells = cells.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("nb")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cells = cells.select("key", "line", "indexed", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(known, "line")
-    edges = stored(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked(tau), "a bigint, b bigint"))
+    edges = stored(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(_linked(tau)), "a bigint, b bigint"))
     for x in (met, wanted, known):
         forget(x)
     return edges
@@ -310,7 +310,7 @@ def _near(texts: DataFrame, tau: int, shortest: int, block: int) -> DataFrame:
 
 def _kept(rows: DataFrame, tau: int, shortest: int, block: int) -> tuple[DataFrame, DataFrame]:
     """rows: row_no, doc_id, text. The stored lines by row (row_no, doc_id, lines) and the first line of each class (row_no, line_no)."""
-    described = stored(rows.mapInArrow(_described, _LINES))
+    described = stored(rows.mapInArrow(tidy(_described), _LINES))
     edges = _near(rows.select("text"), tau, max(shortest, tau + 1), block)
     labels = components(edges).select(F.col("node").alias("line"), "root")
     every = described.select("row_no", F.explode("lines").alias("l")).select("row_no", "l.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keys, forget, hash_words, mix64, most_frequent, slices, stored, text_bytes
+from .common import Keys, forget, hash_words, mix64, most_frequent, slices, stored, text_bytes, tidy
 
 HEAD = 1 << 17
 KNOWN = 1 << 19
@@ -330,7 +330,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     """The model of the rows of docs for which learn holds, and the stored counts of all their words."""
     spark, rows = docs.sparkSession, _rows(docs.where(learn))
-    counts = stored(rows.mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = stored(rows.mapInArrow(tidy(_count_words), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     ends = rows.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     best = most_frequent(counts, "n", KNOWN).select("word", "n").toArrow()
@@ -339,8 +339,8 @@ def train(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
     keys, n = keys[order].view(np.uint64), n[order]
     coder = Coder(keys, n, ends, int(total - n[:HEAD].sum()), min(MAX_BITS, max(16, (int(total) // 2).bit_length())))
     shared = spark.sparkContext.broadcast(coder)
-    gathered = rows.coalesce(-(-int(total) // TASK) or 1).mapInArrow(_count_contexts(shared), "table int, block int, counts binary")
-    summed = gathered.repartition("table", "block").mapInArrow(_sum_blocks, "table int, block int, states binary").toArrow()
+    gathered = rows.coalesce(-(-int(total) // TASK) or 1).mapInArrow(tidy(_count_contexts(shared)), "table int, block int, counts binary")
+    summed = gathered.repartition("table", "block").mapInArrow(tidy(_sum_blocks), "table int, block int, states binary").toArrow()
     tables = [np.zeros(1 << coder.bits, np.uint8) for _ in range(2)]
     for k, block, raw in zip(*(summed.column(c).to_pylist() for c in ("table", "block", "states"))):
         tables[k][block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, np.uint8)
@@ -358,7 +358,7 @@ def train(docs: DataFrame, learn: Column) -> tuple[Model, DataFrame]:
             flat = np.concatenate([[n], n * weights.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)).astype(np.int32)), pa.array(flat)], names=["place", "value"])
 
-    sums = {r.place: r.value for r in rows.mapInArrow(learnt, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()}
+    sums = {r.place: r.value for r in rows.mapInArrow(tidy(learnt), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()}
     if sums.get(0):
         model.first = (np.array([sums[i] for i in range(1, len(sums))]) / sums[0]).reshape(-1, 3).astype(np.float32), model.first[1]
     shared.unpersist()
@@ -402,7 +402,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 columns = [part.column("row_no"), part.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (n_bytes, n_words + 1, n_head)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rest)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "n_bytes", "n_tokens", "n_head", "base", "score", "rest"])
 
-    scored = stored(_rows(docs).withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(run, _SCORED))
+    scored = stored(_rows(docs).withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(tidy(run), _SCORED))
     rest = scored.select("row_no", F.explode("rest").alias("r")).select("row_no", "r.*").join(counts, "word", "left")
     rest = rest.groupBy("row_no").agg(F.sum("times").alias("n_rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rest"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("log_rest"))
     out = scored.drop("rest").join(rest, "row_no", "left")
