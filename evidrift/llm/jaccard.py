@@ -135,6 +135,10 @@ _CELL = ["leaf", "i", "j"]
 _FOUND = "rep bigint, leaf bigint, cell bigint, part int, across boolean"
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
 def _tiles(n: np.ndarray) -> np.ndarray:
     """Number of the tile of each row, in order; a tile holds at most TILE tokens (one row at least)."""
     return np.cumsum(n, dtype=np.int64) // TILE
@@ -159,7 +163,7 @@ def _candidates(batches, threshold: float):
         some = np.flatnonzero(likely.any(0))
         if not len(some):
             continue
-        keep = _least_common(likely[np.ix_(some, some)], cell.column("leaves").take(pa.array(some)).to_pylist(), leaf)
+        keep = _least_common(likely[np.ix_(some, some)], _one(cell.column("leaves").take(pa.array(some))), leaf)
         some, keep = some[keep.any(0)], keep[np.ix_(keep.any(0), keep.any(0))]
         rep, tile = cell.column("rep").to_numpy()[some], _tiles(n[some])
         sides = [(own[some] == i, own[some] == j)] if i != j else [(np.ones(len(some), bool),) * 2]
@@ -182,16 +186,27 @@ def _candidates(batches, threshold: float):
                     )
 
 
-def _least_common(pairs: np.ndarray, listed: list[list[int]], leaf: int) -> np.ndarray:
-    """Those of the pairs that share no leaf below this one."""
-    below = [[x for x in one if x < leaf] for one in listed]
-    names = {x: k for k, x in enumerate(sorted({x for one in below for x in one}))}
-    if not names:
-        return pairs
-    has = np.zeros((len(listed), len(names)), np.float32)
-    for r, one in enumerate(below):
-        has[r, [names[x] for x in one]] = 1
-    return pairs & (has @ has.T == 0)
+def _least_common(pairs: np.ndarray, listed: pa.ListArray, leaf: int) -> np.ndarray:
+    """Those of the pairs that share no leaf below this one. Leaves that only one of the sets has play no part; the rest are compared a block of them at a time."""
+    sizes = np.diff(listed.offsets.to_numpy())
+    flat, row = listed.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    below = flat < leaf
+    names, place, times = np.unique(flat[below], return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(times > 1)
+    column = np.full(len(names), -1)
+    column[kept] = np.arange(len(kept))
+    row, column = row[below], column[place]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    pairs = pairs.copy()
+    for a in range(0, len(kept), 1024):
+        lo, hi = np.searchsorted(column, [a, a + 1024])
+        some, at = np.unique(row[lo:hi], return_inverse=True)
+        has = np.zeros((len(some), min(1024, len(kept) - a)), np.float32)
+        has[at, column[lo:hi] - a] = 1
+        pairs[np.ix_(some, some)] &= has @ has.T == 0
+    return pairs
 
 
 def _common(tokens: list[np.ndarray]) -> np.ndarray:
@@ -228,7 +243,7 @@ def _verify(threshold: float):
                 both = common[a : a + 256].astype(np.float64)
                 linked[a : a + 256] = both >= threshold * (n[a : a + 256, None].astype(np.float64) + n[None, :] - both) - 1e-6
             linked &= part[:, None] != part[None, :] if across else ~np.eye(len(n), dtype=bool)
-            linked = _least_common(linked, cell.column("leaves").to_pylist(), leaf)
+            linked = _least_common(linked, _one(cell.column("leaves")), leaf)
             if not linked.any():
                 continue
             root = np.arange(len(n))
