@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import analysis, ingestion, retrieval, storage  # noqa: F401
+    from . import evaluation, evidence, ingestion, relational, retrieval, sources, telemetry, workflows  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Queries of sinks, joins, set operations and lists, over the relational tables."""
+"""Queries of joins, set operations, aggregates and lists over the relational tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from ..operators import ingest, retrieval
 from . import query, table
 
 
@@ -28,8 +28,8 @@ def j12(spark, d):
     return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_orderkey").isNotNull().alias("linked"), "o_totalprice")
 
 
-@query("f16_known_anchors", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)")
-def f16(spark, d):
+@query("j22_known_anchors", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+def j22(spark, d):
     return table(spark, d, "lineitem").join(table(spark, d, "part").where("p_size > 40"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -51,23 +51,11 @@ def w03(spark, d):
     return table(spark, d, "orders").withColumn("k", k).where("k <= 2").select("o_custkey", "o_orderkey")
 
 
-@query("w06_reading_order_jumps", "SELECT user_id, sum(CASE WHEN b IS NOT NULL AND abs(value - b) > 50 THEN 1 ELSE 0 END) AS jumps FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY user_id")
-def w06(spark, d):
-    b = F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").withColumn("b", b).groupBy("user_id").agg(F.sum(F.when(F.abs(F.col("value") - F.col("b")) > 50, 1).otherwise(0)).alias("jumps"))
-
-
 @query("a07_collected_methods", "SELECT o_custkey, min(o_totalprice) AS least, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '+') AS methods, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
 def a07(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("least"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "+").alias("methods"), F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
 
 
-@query("a23_citation_graph", "SELECT user_id, event_type, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS ids FROM events GROUP BY ALL")
-def a23(spark, d):
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string"))
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_join(ids, ",").alias("ids"))
-
-
 @query("t09_latest_orders", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def t09(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
@@ -86,11 +74,6 @@ def k02(spark, d):
     return ingest.upsert(old, new, ["vec_id"]).select("vec_id", "label", "version")
 
 
-@query("k15_job_states", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS transitions FROM events GROUP BY user_id")
-def k15(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("transitions"))
-
-
 @query("k16_backfill", "SELECT doc_id, CASE WHEN source IS NULL OR source = 'src0' THEN 'sample' ELSE source END AS project_id FROM documents")
 def k16(spark, d):
     s = F.col("source")
@@ -99,20 +82,7 @@ def k16(spark, d):
 
 @query("f02_filters", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'")
 def f02(spark, d):
-    return filtered(table(spark, d, "documents"), source=["src1", "src2"], lang=["en"], doc_id=[]).select("doc_id")
-
-
-def filtered(df, **allowed):
-    """Rows whose columns are in the given lists; an empty list filters nothing."""
-    for name, values in allowed.items():
-        if values:
-            df = df.where(F.col(name).isin(values))
-    return df
-
-
-@query("f17_published_after", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
-def f17(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).select("o_orderkey")
+    return retrieval.filtered(table(spark, d, "documents"), source=["src1", "src2"], lang=["en"], doc_id=[]).select("doc_id")
 
 
 @query("a01_counts", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS jobs, (SELECT count(DISTINCT source) FROM documents) AS projects")
@@ -126,11 +96,59 @@ def x38(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.get_json_object("props", "$.k"), F.lit("none")).alias("field"))
 
 
-@query("x17_source_uris", "SELECT page_id, regexp_replace(lower(url), '^[a-z]+://|/+$', '', 'g') AS uri FROM pages")
-def x17(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.lower("url"), "^[a-z]+://|/+$", "").alias("uri"))
+@query("a02_chunk_counts", "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal < 0 GROUP BY n_name")
+def a02(spark, d):
+    own = table(spark, d, "customer").where("c_acctbal < 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "nation").join(own, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", F.coalesce("n", F.lit(0)).alias("customers"))
+
+
+@query("j16_missing_fields", "SELECT p_partkey, f.name AS field FROM part, (VALUES ('brass'), ('steel'), ('small')) f(name) WHERE NOT contains(lower(p_type || ' ' || p_name), f.name)")
+def j16(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("t"))
+    every = part.select("p_partkey", "t", F.explode(F.array(F.lit("brass"), F.lit("steel"), F.lit("small"))).alias("field"))
+    return every.where(~F.col("t").contains(F.col("field"))).select("p_partkey", "field")
+
+
+@query("w06_reading_order_jumps", "SELECT user_id, count(*) FILTER (WHERE value > b + 1) AS jumps FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY user_id")
+def w06(spark, d):
+    b = F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").withColumn("b", b).groupBy("user_id").agg(F.count_if(F.col("value") > F.col("b") + 1).alias("jumps"))
+
+
+@query("j07_documents_with_counts", "SELECT o_orderkey, o_custkey, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey, o_custkey")
+def j07(spark, d):
+    n = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(n, "o_orderkey", "left").fillna(0)
+
+
+@query("j02_embeddings_with_documents", "SELECT e.vec_id, d.source, l.quality FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id JOIN labels l ON l.doc_id = d.doc_id")
+def j02(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", "quality")
+    return table(spark, d, "embeddings").select("vec_id").join(docs, F.col("vec_id") == F.col("doc_id")).join(labels, "doc_id").select("vec_id", "source", "quality")
+
+
+@query("u07_ordered_distinct", "SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL) GROUP BY user_id")
+def u07(spark, d):
+    kinds = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]))
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(kinds, ",").alias("kinds"))
+
+
+@query("x37_map_merge", "SELECT event_id, 'a' || user_id || ',b' || (event_id % 3) AS merged FROM events")
+def x37(spark, d):
+    """Entries of a later map replace those of an earlier one."""
+    first, second = F.create_map(F.lit("x"), F.lit("old"), F.lit("y"), F.concat(F.lit("b"), F.col("event_id") % 3)), F.create_map(F.lit("x"), F.concat(F.lit("a"), "user_id"))
+    merged = F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)
+    return table(spark, d, "events").select("event_id", F.concat_ws(",", merged["x"], merged["y"]).alias("merged"))
+
+
+@query("x31_cosine_distance", "SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def x31(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", F.round(retrieval.cosine_distance(F.col("embedding"), F.col("other")), 6).alias("distance"))
 
 
-@query("z11_sessions", "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), g AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")
-def z11(spark, d):
-    return table(spark, d, "events").groupBy(F.session_window(F.col("ts"), "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+@query("u02_context_union", "SELECT 'internal' AS kind, item_id AS id FROM benchmark UNION ALL SELECT 'web', page_id FROM pages UNION ALL SELECT 'analysis', vec_id FROM embeddings")
+def u02(spark, d):
+    part = lambda name, key, kind: table(spark, d, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    return part("benchmark", "item_id", "internal").unionByName(part("pages", "page_id", "web")).unionByName(part("embeddings", "vec_id", "analysis"))

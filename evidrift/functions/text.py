@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space as Python's str methods define it; claim, negation and type keywords of the evidence rules.
+# Unicode white space as Python's str methods define it.
 SPACE = r"[\s\x0B\x1C-\x1F\x85   -     　]"
 NOT_SPACE = r"[^\s\x0B\x1C-\x1F\x85   -     　]"
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 NUMBER = r"\b\d+(?:[.,]\d+)?%?\b"
 
 
+# Words of the evidence rules, in the order in which kinds of claims are tried.
+NEGATIONS = ["not", "no", "never", "without", "cannot", "can't"]
+CLAIM_WORDS = {
+    "numeric": ["amount", "price", "cost", "months", "years"],
+    "temporal": ["before", "after", "during", "effective", "date"],
+    "comparative": ["more than", "less than", "compared", "versus"],
+    "recommendation": ["should", "recommend", "must consider"],
+    "limitation": ["uncertain", "not enough", "limitation", "cannot verify"],
+}
+MATERIAL_WORDS = ["not", "no ", "shall", "liable", "term", "date"]
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 in the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -47,12 +59,12 @@ def numbers(text: Column) -> Column:
 
 
 def negated(text: Column) -> Column:
-    return F.lower(text).rlike(r"\b(no|not|never|without|cannot|can't|won't|isn't|aren't|doesn't|didn't)\b")
+    return F.lower(text).rlike(rf"\b(?:{'|'.join(NEGATIONS)})\b")
 
 
 def truncate(text: Column, most: int) -> Column:
     """Text of at most so many characters, with dots where it is cut."""
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most - 3), f"{SPACE}+$", ""), F.lit("..."))).otherwise(text)
 
 
 def slug(text: Column, fallback: str = "project") -> Column:
@@ -83,17 +95,90 @@ def occurrences(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).otherwise(0).cast("bigint")
 
 
-def claim_type(text: Column) -> Column:
-    """First rule that holds."""
+def mentions(text: Column, words: list[str]) -> Column:
+    """Whether any of the words stands in the lower-cased text, within words too."""
     low = F.lower(text)
-    has = lambda *keys: low.rlike("|".join(keys))
-    return (
-        F.when(text.rlike(NUMBER) | has("percent"), "numeric")
-        .when(has("january|february|march|april|june|july|august|september|october|november|december"), "temporal")
-        .when(has("compared", "versus", "greater", "less than"), "comparative")
-        .when(has("must", "shall", "required"), "obligation")
-        .otherwise("factual")
-    )
+    return F.greatest(*[low.contains(w) for w in words]) if len(words) > 1 else low.contains(words[0])
+
+
+def claim_type(text: Column) -> Column:
+    """The first kind of claim whose signs the text has."""
+    out = F.when(text.rlike(NUMBER) | mentions(text, CLAIM_WORDS["numeric"]), "numeric")
+    for kind in ("temporal", "comparative", "recommendation", "limitation"):
+        out = out.when(mentions(text, CLAIM_WORDS[kind]), kind)
+    return out.otherwise("factual")
+
+
+def ledger_type(text: Column) -> Column:
+    """The kind under which the ledger files a claim: a percent sign counts as a number, other digits do not."""
+    out = F.when(mentions(text, ["%", *CLAIM_WORDS["numeric"]]), "numeric")
+    for kind in ("temporal", "comparative"):
+        out = out.when(mentions(text, CLAIM_WORDS[kind]), kind)
+    return out.otherwise("factual")
+
+
+def material(text: Column) -> Column:
+    return text.rlike(NUMBER) | mentions(text, MATERIAL_WORDS)
+
+
+def markdown_headings(text: Column) -> Column:
+    """The texts of lines that begin with one to six number signs and white space."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1)), strip)
+
+
+def iso_date(value: Column) -> Column:
+    """Dates, and dates with a time, as ISO 8601 in UTC; other text as it is, none for empty text."""
+    shape = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:T(\d{1,2}):(\d{1,2}):(\d{1,2})Z?)?$"
+    part = lambda i: F.lpad(F.regexp_extract(value, shape, i), 2 if i > 1 else 4, "0")
+    at = F.try_to_timestamp(F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(value == "", None).otherwise(F.when(value.rlike(shape) & at.isNotNull(), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise(value))
+
+
+def posix_path(path: Column) -> Column:
+    """A path without repeated slashes, single dots and a slash at its end."""
+    clean = F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"(?<=.)/\.?$", "")
+    clean = F.regexp_replace(clean, r"^\./(?=.)", "")
+    return F.when(clean == "", ".").otherwise(clean)
+
+
+def source_uri(uri: Column) -> Column:
+    """File URIs as decoded paths, plain paths tidied, other URIs as they are."""
+    scheme = F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    path = F.regexp_extract(uri, r"^[A-Za-z]+:(?://[^/?#]*)?([^?#]*)", 1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.when(F.lower(scheme) == "file", posix_path(decoded)).when(scheme != "", uri).otherwise(posix_path(uri))
+
+
+def location_marker(page: Column, start: Column, end: Column) -> Column:
+    chars = F.concat(F.lit("chars "), start.cast("string"), F.lit("-"), end.cast("string"))
+    return F.when(page.isNull(), chars).otherwise(F.concat(F.lit("page "), page.cast("string"), F.lit(", "), chars))
+
+
+def guarded_answer(query: Column) -> Column:
+    return F.concat(F.lit("I could not fully verify a grounded answer to: "), query, F.lit(". The available context is incomplete, so any response should be treated as partial."))
+
+
+def file_name(name: Column) -> Column:
+    """A name with letters, digits, dots, dashes and underscores alone."""
+    return F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_")
+
+
+def any_score(*scores: Column) -> Column:
+    """The first score that is neither null nor zero; the last one counts as it is."""
+    return F.coalesce(*[F.nullif(s, F.lit(0.0)) for s in scores[:-1]], scores[-1])
+
+
+def trait_coverage(traits: Column, answer: Column, evidence: Column, limitations: Column) -> Column:
+    """Share of the traits that stand in the answer, its evidence or its limitations; one if there are none."""
+    space = F.lower(F.concat_ws(" ", answer, F.array_join(evidence, " "), F.coalesce(limitations, F.lit(""))))
+    return F.when(F.size(traits) > 0, F.size(F.filter(traits, lambda t: space.contains(F.lower(t)))) / F.size(traits)).otherwise(1.0)
+
+
+def box(points: Column) -> Column:
+    """The bounds (left, top, right, bottom) of points given as pairs: two are the corners as they are, four or more are bounded, fewer give none."""
+    x, y = F.transform(points, lambda p: F.get(p, F.lit(0))), F.transform(points, lambda p: F.get(p, F.lit(1)))
+    corners = F.array(F.get(x, F.lit(0)), F.get(y, F.lit(0)), F.get(x, F.lit(1)), F.get(y, F.lit(1)))
+    return F.when(F.size(points) == 2, corners).when(F.size(points) >= 4, F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)))
 
 
 def heading(text: Column) -> Column:

@@ -1,12 +1,15 @@
-"""Retrieval: dense, sparse and hybrid search of a batch of queries over chunks, as one lazy plan.
+"""Retrieval: dense, sparse and hybrid search of a batch of queries over chunks.
 
 queries: qid, query. chunks: chunk_id, document_id, title, text. Results: qid, chunk_id, score and ranks. Scores that agree to nine decimals are
-ties, since sums of the same terms in another order differ beyond; ties go to the smaller chunk_id.
+ties, since sums of the same terms in another order differ beyond; ties go to the smaller chunk_id. Plans are lazy, but for counts of the sides that may be
+broadcast and for the vectors and terms of the queries themselves, which go to the tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,13 +24,52 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Queries whose vectors or terms go to the tasks at a time.
+BATCH = 4096
+
+# What parts a query of several questions, weights of the mixtures, and sizes of windows.
+SEPARATORS = r"(?i)\s+(?:and|also|then|versus|vs\.?|compared with|compare with)\s+|[;?]\s+"
+DENSE_WEIGHT, SPARSE_WEIGHT, RANK_CONSTANT, BASE_WEIGHT = 0.6, 0.4, 60, 0.7
+CANDIDATES, RERANKED, PER_DOCUMENT, TERMS = 12, 8, 2, 64
+
+
 def decompose(queries: DataFrame, most: int = 4) -> DataFrame:
-    """qid, part, query: each query and the parts that conjunctions and separators split it into."""
-    pieces = F.split("query", r"(?i)\s+(?:and|also|then|versus|vs\.|compared with|compare with)\s+|[;?]\s+")
-    parts = F.filter(F.transform(pieces, lambda x: T.strip(F.regexp_replace(T.strip(x), r"[?.]+$", ""))), lambda x: x != "")
+    """qid, part, query: each query, and if conjunctions and separators split it, its parts in order, at most so many with the query itself."""
     whole = T.collapse(F.col("query"))
-    every = F.slice(F.array_distinct(F.when(F.size(parts) > 1, F.concat(F.array(whole), parts)).otherwise(F.array(whole))), 1, most)
-    return queries.select("qid", F.posexplode(every).alias("part", "query"))
+    parts = F.filter(F.transform(F.split("whole", SEPARATORS), lambda x: F.regexp_replace(x, "^[ ,]+|[ ,]+$", "")), lambda x: x != "")
+    every = F.when(F.size("parts") > 1, F.concat(F.array("whole"), F.slice("parts", 1, max(1, most - 1)))).otherwise(F.array("whole"))
+    return queries.select("qid", whole.alias("whole")).where("whole <> ''").withColumn("parts", parts).select("qid", F.posexplode(every).alias("part", "query"))
+
+
+def merge_parts(hits: DataFrame) -> DataFrame:
+    """hits: qid, part, chunk_id, score, position and whatever else, of the parts of queries. Each chunk once a query, by its best score (the first part's among equals), in falling order of score."""
+    best = F.row_number().over(W.partitionBy("qid", "chunk_id").orderBy(F.round("score", 9).desc(), "part", "position"))
+    first = F.min(F.struct("part", "position")).over(W.partitionBy("qid", "chunk_id"))
+    kept = hits.withColumn("best", best).withColumn("first", first).where("best = 1")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "first"))).drop("best", "first")
+
+
+def filtered(chunks: DataFrame, project_id: str | None = None, current_only: bool = True, embedding_version: str | None = None, index_version: str | None = None, published_after: str | None = None, **allowed: list) -> DataFrame:
+    """Chunks of a project whose columns are in the given lists (document_id, source_uri, access_policy, version_id, chunk_level); an empty list, no version and no date filter nothing."""
+    if project_id is not None:
+        chunks = chunks.where(F.col("project_id") == project_id)
+    for name, values in allowed.items():
+        if values:
+            chunks = chunks.where(F.col(name).isin(list(values)))
+    for name, value in (("embedding_version", embedding_version), ("index_version", index_version)):
+        if value is not None:
+            chunks = chunks.where(F.col(name) == value)
+    if published_after is not None:
+        chunks = chunks.where(F.col("published_at") >= F.lit(published_after).cast("timestamp"))
+    return chunks.where("is_current") if current_only and "is_current" in chunks.columns else chunks
+
+
+def backend_order(target: str, available: set[str], primary: str = "auto", fallback: bool = True) -> tuple[list[str], dict[str, str]]:
+    """The dense backends to try for a requested target (auto, vectors or local) among those available, and why others are left out."""
+    primary = "vectors" if primary == "auto" else primary
+    wanted = ["local"] if target == "local" else [target if target != "auto" else primary] + (["local"] if fallback else [])
+    wanted = [x for x in dict.fromkeys(wanted) if x != "local" or fallback or target == "local"]
+    return [x for x in wanted if x in available], {x: f"{x} search is not available" for x in wanted if x not in available}
 
 
 def embed(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
@@ -43,27 +85,91 @@ def embed(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
     return sums.withColumn("norm", norm).where("norm > 0").select(key, "slot", (F.col("value") / F.col("norm")).alias("value"))
 
 
-def dense(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
-    """qid, chunk_id, score, rank: the k chunks with the highest positive cosine of unit vectors in (key, slot, value) form. The join
-    is on the component, and products are summed map-side."""
-    q = small(query_vectors.select("qid", "slot", F.col("value").alias("q")))
-    scores = chunk_vectors.select("chunk_id", "slot", "value").join(q, "slot").groupBy("qid", "chunk_id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
-    return top(scores.where("score > 0"), k)
-
-
-def cosine(a: F.Column, b: F.Column) -> F.Column:
+def _dense_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Arrays as rows of a matrix; shorter ones are filled with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row[place < width], place[place < width]] = flat[place < width]
+    return out
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, others: bool = False) -> DataFrame:
+    """qid, key, score, rank: the k rows of vectors (key, v) with the highest positive cosine to each query (qid, v), over arrays; others leaves out the row with the query's own id. The vectors of the
+    queries go to the tasks in blocks of BATCH; each task multiplies whole batches and passes on k rows a query and batch, so no pair is shuffled."""
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+    asked = queries.select("qid", F.col("v").cast("array<double>").alias("v")).where("v is not null").toArrow().combine_chunks()
+    parts = None
+    for at in range(0, max(1, len(asked)), BATCH):
+        block = asked.slice(at, BATCH).combine_chunks()
+        column = block.column("v").chunk(0) if block.num_rows else pa.array([], pa.list_(pa.float64()))
+        width = int(np.diff(column.offsets.to_numpy()).max(initial=1)) if len(column) else 1
+        own, ids = _dense_rows(column, width), block.column("qid").to_pylist()
+        norms = np.sqrt((own * own).sum(1))
+
+        def run(batches, own=own, ids=ids, norms=norms, width=width):
+            for batch in batches:
+                v = _dense_rows(batch.column("v"), width)
+                full = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                sizes = np.diff(batch.column("v").offsets.to_numpy())
+                length = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), full * full, len(sizes)))
+                names = batch.column(key).to_pylist()
+                order = np.empty(len(names), np.int64)
+                order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                for a in range(0, len(own), 256):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        scores = np.nan_to_num(own[a : a + 256] @ v.T / (norms[a : a + 256, None] * length[None, :]), nan=0.0, posinf=0.0, neginf=0.0)
+                    rounded = np.round(scores, 9)
+                    found = []
+                    for i in range(len(scores)):
+                        good = np.flatnonzero(scores[i] > 0)
+                        if others:
+                            good = np.array([j for j in good if names[j] != ids[a + i]], np.int64) if ids[a + i] in names else good
+                        if len(good) > 4 * k:
+                            good = good[rounded[i, good] >= np.partition(rounded[i, good], len(good) - k)[len(good) - k]]
+                        good = good[np.lexsort((order[good], -rounded[i, good]))[:k]]
+                        found += [(ids[a + i], names[j], float(scores[i, j])) for j in good]
+                    if found:
+                        yield pa.RecordBatch.from_pylist([dict(zip(("qid", key, "score"), x)) for x in found], schema=out_schema)
+
+        out_schema = pa.schema([("qid", asked.schema.field("qid").type), (key, _arrow(kinds[key])), ("score", pa.float64())])
+        part = vectors.select(key, F.col("v").cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, f"qid {kinds['qid']}, {key} {kinds[key]}, score double")
+        parts = part if parts is None else parts.unionAll(part)
+    w = W.partitionBy("qid").orderBy(F.round("score", 9).desc(), key)
+    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def densified(vectors: DataFrame, key: str, dim: int) -> DataFrame:
+    """key, v: vectors in (key, slot, value) form as arrays."""
+    entries = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
+    return vectors.groupBy(key).agg(entries.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+
+
+def dense(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int, dim: int = 64) -> DataFrame:
+    """qid, chunk_id, score, rank: the k chunks with the highest positive cosine of vectors in (key, slot, value) form."""
+    return nearest(densified(query_vectors, "qid", dim), densified(chunk_vectors, "chunk_id", dim), k, "chunk_id")
+
+
+def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 for empty or zero vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    return 1.0 - cosine(a, b)
+
+
 def dense_arrays(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """qid, vec_id, score, rank over whole arrays; a bounded batch of queries (qid, v) meets every vector (vec_id, v)."""
-    pairs = vectors.join(small(queries.select("qid", F.col("v").alias("q")), 10_000), F.col("qid") != F.col("vec_id"))
-    scores = pairs.select("qid", "vec_id", cosine(F.col("q"), F.col("v")).alias("score")).where("score > 0")
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """qid, vec_id, score, rank: the k nearest other rows of vectors (vec_id, v) to each query (qid, v)."""
+    return nearest(queries, vectors, k, "vec_id", others=True)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -71,26 +177,52 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int = 64) -> DataFrame:
+def _in_words(words: DataFrame, terms: list[str]) -> DataFrame:
+    """word, term, n: how often each of the terms stands in each word, without overlaps; one pass of an automaton over the words."""
+    lengths = {t: len(t) for t in terms}
+
+    def run(batches):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for t in terms:
+            found.add_word(t, t)
+        found.make_automaton()
+        for batch in batches:
+            out: list[tuple[str, str, int]] = []
+            for word in batch.column("word").to_pylist():
+                ends: dict[str, list[int]] = {}
+                for last, t in found.iter(word):
+                    at = ends.setdefault(t, [-1, 0])
+                    if last - lengths[t] >= at[0]:  # not over the occurrence before
+                        at[0], at[1] = last, at[1] + 1
+                out += [(word, t, n) for t, (_, n) in ends.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["word", "term", "n"])
+
+    return words.mapInArrow(run, "word string, term string, n bigint")
+
+
+def sparse(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int = TERMS) -> DataFrame:
     """qid, chunk_id, score, rank: the sum over a query's first terms (repeats counted) of their occurrences in title and text.
 
-    A term has no white space, so its occurrences in a text are those in the text's words: the words of all chunks are indexed once, each distinct
-    word meets the terms by its substrings, and only postings of words that hold a term are joined."""
+    A term has no white space, so its occurrences in a text are those in the text's words: the words of all chunks are indexed once, the terms of the queries are looked for
+    in each distinct word by one automaton (in blocks of terms), and only postings of words that hold a term are joined."""
     terms = queries.select("qid", F.explode(F.slice(T.words(F.lower("query")), 1, most_terms)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text"))
     postings = chunks.select("chunk_id", F.explode(T.words(F.lower(body))).alias("word")).groupBy("word", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = F.sequence(F.lit(1), F.least(F.length("word"), F.lit(64)))
-    cuts = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))))
-    distinct = small(terms.select("term").distinct())
-    vocabulary = postings.select("word").distinct().select("word", F.explode(F.array_distinct(cuts)).alias("term")).join(distinct, "term")
-    long = postings.select("word").distinct().join(small(distinct.where(F.length("term") > 64)), F.col("word").contains(F.col("term")))
-    vocabulary = vocabulary.unionByName(long).select("word", "term", T.occurrences(F.col("word"), F.col("term")).alias("n"))
+    distinct = [r.term for r in terms.select("term").distinct().toLocalIterator()]
+    words = postings.select("word").distinct()
+    vocabulary = None
+    for at in range(0, max(1, len(distinct)), 64 * BATCH):
+        part = _in_words(words, distinct[at : at + 64 * BATCH]) if distinct else words.select("word", F.col("word").alias("term"), F.lit(0).cast("bigint").alias("n")).limit(0)
+        vocabulary = part if vocabulary is None else vocabulary.unionAll(part)
     by_term = postings.join(vocabulary, "word").groupBy("term", "chunk_id").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
     scores = by_term.join(small(terms), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"))
     return top(scores.where("score > 0"), k)
 
 
-def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, weights: tuple[float, float] = (0.6, 0.4), constant: int = 60) -> DataFrame:
+def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, weights: tuple[float, float] = (DENSE_WEIGHT, SPARSE_WEIGHT), constant: int = RANK_CONSTANT) -> DataFrame:
     """qid, chunk_id, fused and both scores. A hit of the sparse list has the weighted normalised scores and the reciprocal-rank bonus; a hit of
     the dense list alone keeps its normalised score as it is."""
     d = dense_hits.select("qid", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
@@ -108,20 +240,29 @@ def in_order(hits: DataFrame, score: str) -> DataFrame:
     return hits.withColumn("base_rank", F.row_number().over(w))
 
 
-def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, window: int = 8) -> DataFrame:
-    """rerank_score and final_rank: within the window, 0.7 of token coverage, phrase and title overlap, and 0.3 of the base score; the tail follows as it was."""
+def quality(query: Column, title: Column, text: Column) -> Column:
+    """Coverage of the query's tokens by title and text, a bonus for the query as a phrase in either, and a fifth of the title's coverage."""
+    q, body = F.array_distinct(T.tokens(query)), F.concat_ws(" ", F.coalesce(title, F.lit("")), text)
+    share = lambda x: F.size(F.array_intersect(q, x)) / F.greatest(F.size(q), F.lit(1))
+    phrase = F.when(F.lower(body).contains(F.lower(query)), 0.25).otherwise(0.0)
+    return share(F.array_distinct(T.tokens(body))) + phrase + 0.2 * share(F.array_distinct(T.tokens(F.coalesce(title, F.lit("")))))
+
+
+def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, window: int = RERANKED, scorer=None, base_weight: float | None = None) -> DataFrame:
+    """hits: qid, chunk_id, base_rank and any of fused, dense_score, sparse_score, score. rerank_score, score (0.7 of the first base score that is not zero and 0.3 of the quality) and final_rank: hits in the window
+    by the new score, the others behind them as they were. scorer(query, text), a pandas UDF, replaces the quality; it then has half the weight."""
     full = hits.join(small(queries), "qid").join(chunks.select("chunk_id", "document_id", "title", "text"), "chunk_id")
-    q, body = F.array_distinct(T.tokens(F.col("query"))), F.array_distinct(T.tokens(F.concat_ws(" ", "title", "text")))
-    share = lambda x: F.when(F.size(q) > 0, F.size(F.array_intersect(q, x)) / F.size(q)).otherwise(0.0)
-    phrase = F.when(F.lower("text").contains(F.lower(T.strip(F.col("query")))), 1.0).otherwise(0.0)
-    quality = share(body) + 0.25 * phrase + 0.2 * share(F.array_distinct(T.tokens(F.col("title"))))
     near = F.col("base_rank") <= window
-    full = full.withColumn("rerank_score", F.when(near, 0.7 * quality + 0.3 * F.col("fused")))
-    w = W.partitionBy("qid").orderBy(F.desc(near), F.round("rerank_score", 9).desc(), "base_rank")
-    return full.withColumn("final_rank", F.row_number().over(w)).drop("query", "text")
+    base = T.any_score(*[F.col(c) for c in ("fused", "dense_score", "sparse_score", "score") if c in hits.columns], F.lit(0.0))
+    weight = base_weight if base_weight is not None else BASE_WEIGHT if scorer is None else 0.5
+    own = quality(F.col("query"), F.col("title"), F.col("text")) if scorer is None else scorer(F.col("query"), F.col("text"))
+    full = full.withColumn("base", base).withColumn("rerank_score", F.when(near, own))
+    full = full.withColumn("score", F.when(near, F.col("base") * weight + F.col("rerank_score") * (1 - weight)).otherwise(F.col("base")))
+    w = W.partitionBy("qid").orderBy(F.desc(near), F.when(near, F.round("score", 9)).desc(), "base_rank")
+    return full.withColumn("final_rank", F.row_number().over(w)).drop("query", "text", "base")
 
 
-def diversify(hits: DataFrame, per_document: int = 2, k: int = 5) -> DataFrame:
+def diversify(hits: DataFrame, per_document: int = PER_DOCUMENT, k: int = 5) -> DataFrame:
     """At most so many hits of a document in rank order, then the first k; position counts from 1."""
     own = F.row_number().over(W.partitionBy("qid", "document_id").orderBy("final_rank"))
     kept = hits.withColumn("own", own).where(F.col("own") <= per_document)
@@ -131,18 +272,53 @@ def diversify(hits: DataFrame, per_document: int = 2, k: int = 5) -> DataFrame:
 def expand(hits: DataFrame, chunks: DataFrame, most: int = 2, limit: int = 1600) -> DataFrame:
     """context and sibling_ids: the hit's text and those of up to two other chunks of its parent, nearest in order, joined and cut."""
     own = hits.join(chunks.select("chunk_id", "parent_chunk_id", "text"), "chunk_id")
-    others = chunks.select("parent_chunk_id", F.col("chunk_id").alias("sibling"), "ordinal", F.col("text").alias("sibling_text"))
+    first = F.row_number().over(W.partitionBy("parent_chunk_id").orderBy("ordinal", "chunk_id"))  # besides the hit itself, more of a parent are never needed
+    others = chunks.where("parent_chunk_id is not null").withColumn("k", first).where(F.col("k") <= most + 1)
+    others = others.select("parent_chunk_id", F.col("chunk_id").alias("sibling"), "k", F.col("text").alias("sibling_text"))
     near = own.select("qid", "chunk_id", "parent_chunk_id").where("parent_chunk_id is not null").join(others, "parent_chunk_id").where("sibling <> chunk_id")
-    w = W.partitionBy("qid", "chunk_id").orderBy("ordinal", "sibling")
-    near = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy("qid", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("k", "sibling", "sibling_text"))).alias("s"))
+    near = near.groupBy("qid", "chunk_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "sibling", "sibling_text"))), 1, most).alias("s"))
     out = own.join(near, ["qid", "chunk_id"], "left")
-    texts = F.array_distinct(F.concat(F.array("text"), F.coalesce("s.sibling_text", F.array().cast("array<string>"))))
-    return out.withColumn("context", F.substring(F.array_join(texts, "\n\n"), 1, limit)).withColumn("sibling_ids", F.coalesce("s.sibling", F.array().cast("array<string>"))).drop("s", "text")
+    texts = F.filter(F.array_distinct(F.concat(F.array("text"), F.col("s.sibling_text"))), lambda x: x != "")
+    context = F.when(F.size("s") > 0, F.substring(F.array_join(texts, "\n\n"), 1, limit)).otherwise(F.col("text"))
+    return out.withColumn("context", context).withColumn("sibling_ids", F.coalesce("s.sibling", F.array().cast(near.schema["s"].dataType.elementType["sibling"].dataType.simpleString().join(["array<", ">"])))).drop("s", "text")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = 12, dim: int = 64) -> DataFrame:
-    """The whole search: dense and sparse candidates, fusion, reranking, diversification, the first k."""
+def search(queries: DataFrame, chunks: DataFrame, k: int = 5, strategy: str = "hybrid", candidates: int = CANDIDATES, dim: int = 64, reranked: bool = True, scorer=None) -> DataFrame:
+    """qid, chunk_id, document_id, title, the scores, explain and position: a search by the strategy (sparse, dense or hybrid), reranking, at most two hits a document, the first k."""
     limit = max(k, candidates)
-    d = dense(embed(queries.select("qid", F.col("query").alias("text")), "qid", dim), embed(chunks, "chunk_id", dim), limit)
-    s = sparse(queries, chunks, limit)
-    return diversify(rerank(in_order(fuse(d, s), "fused"), queries, chunks, max(k, 8)), 2, k)
+    null = lambda kind: F.lit(None).cast(kind)
+    if strategy not in ("sparse", "dense", "hybrid"):
+        raise ValueError(f"strategy must be sparse, dense or hybrid, not {strategy}")
+    if strategy != "sparse":
+        d = dense(embed(queries.select("qid", F.col("query").alias("text")), "qid", dim), embed(chunks, "chunk_id", dim), limit, dim)
+    if strategy != "dense":
+        s = sparse(queries, chunks, limit if strategy == "hybrid" else k)
+    if strategy == "hybrid":
+        hits = in_order(fuse(d, s), "fused")
+    elif strategy == "dense":
+        hits = d.select("qid", "chunk_id", null("double").alias("fused"), F.col("score").alias("dense_score"), null("double").alias("sparse_score"), F.col("rank").alias("dense_rank"), null("int").alias("sparse_rank"), F.col("rank").alias("base_rank"))
+    else:
+        hits = s.select("qid", "chunk_id", null("double").alias("fused"), null("double").alias("dense_score"), F.col("score").alias("sparse_score"), null("int").alias("dense_rank"), F.col("rank").alias("sparse_rank"), F.col("rank").alias("base_rank"))
+    ranked = rerank(hits, queries, chunks, max(k, RERANKED) if reranked else 0, scorer)
+    return diversify(ranked.withColumn("explain", explain(strategy)), PER_DOCUMENT, k)
+
+
+def explain(strategy: str, requested: str = "auto", used: str = "local") -> Column:
+    """How a hit came about: backends, ranks, and the method of fusion where both lists were mixed for it."""
+    mixed = F.when(F.col("sparse_rank").isNotNull() & F.lit(strategy == "hybrid"), "weighted_rrf")
+    return F.struct(
+        F.lit(strategy).alias("strategy"), F.lit(requested).alias("requested_backend"), F.lit(used if strategy != "sparse" else None).cast("string").alias("used_backend"), F.col("dense_rank").cast("int").alias("dense_rank"),
+        F.col("sparse_rank").cast("int").alias("sparse_rank"), mixed.alias("fusion_method"), F.when(F.col("rerank_score").isNotNull(), "heuristic").alias("reranker"),
+    )
+
+
+def decomposed_search(queries: DataFrame, chunks: DataFrame, k: int = 5, strategy: str = "hybrid", parts: int = 4) -> DataFrame:
+    """The hits of each query and of its parts, merged by best score: qid, chunk_id, document_id, title, score, rank and part, the part that scored it best."""
+    split = decompose(queries, parts).withColumn("owner", F.col("qid")).withColumn("qid", F.concat_ws("#", "part", F.col("qid").cast("string")))
+    hits = search(split.select("qid", "query"), chunks, k, strategy)
+    hits = hits.join(small(split.select("qid", "owner", "part")), "qid").drop("qid").withColumnRenamed("owner", "qid")
+    return merge_parts(hits)
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = CANDIDATES, dim: int = 64) -> DataFrame:
+    return search(queries, chunks, k, "hybrid", candidates, dim)

@@ -1,15 +1,17 @@
+import io
 import json
 import zipfile
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidrift import catalog
 from evidrift.functions import text as T
-from evidrift.operators import analysis, evidence, ingest, retrieval
+from evidrift.operators import analysis, evidence, fulltext, ingest, retrieval, workflows
 from evidrift.plans.engine import Engine
-from evidrift.sources import loaders
+from evidrift.sources import loaders, sinks
 from evidrift.streaming import jobs
 
 
@@ -60,10 +62,31 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark)
     assert {r.action for r in engine.ingest(str(tmp_path)).collect()} == {"index"}
     assert {r.action for r in engine.ingest(str(tmp_path)).collect()} == {"skip"}
+    assert {r.action for r in engine.ingest(str(tmp_path), force=True).collect()} == {"reindex"}
     q = spark.createDataFrame([(1, "citation traceability")], "qid int, query string")
     best = engine.search(q, 2).orderBy("position").first()
-    assert best.title == "paper" and best.fused > 0 and best.rerank_score > 0
+    assert best.title == "paper" and best.fused > 0 and best.rerank_score > 0 and best.explain.fusion_method == "weighted_rrf"
     assert engine.search(q, 2, "sparse").count() == 1 and engine.answer(q).first().answer.startswith("Based on the retrieved sources, # Retrieval")
+    uris = [r.source_uri for r in engine.documents.where("title = 'other'").collect()]
+    assert {r.title for r in engine.search(q, 2, source_uris=uris).collect()} <= {"other"}
+    assert engine.chunks.where("title = 'paper'").first().section == "Retrieval"
+
+
+def test_research_to_product_and_evaluation(spark, tmp_path):
+    (tmp_path / "terms.md").write_text("The contract term is 12 months. Payment is due at once.")
+    engine = Engine(spark)
+    engine.ingest(str(tmp_path))
+    found = engine.research(spark.createDataFrame([(1, "contract term and payment"), (2, "Hello!")], "qid int, query string"))
+    assert {r.qid: r.reasons for r in found["plan"].collect()}[2] == ["conversational"]
+    final = found["final"].collect()
+    assert [r.answer_id for r in final] == [1] and final[0].status in ("supported", "qualified", "needs_review", "insufficient_evidence")
+    assert found["citations"].first().citation_id == "C1" and found["verified"].count() >= 1
+    product = engine.product(found, "contract_review").first()
+    assert product.status == "needs_review" and {f.field for f in product.findings} >= {"parties", "liability"} and len(product.content_hash) == 64
+    body = json.dumps({"dataset_name": "d", "dataset_version": "v1", "cases": [{"eval_case_id": "a", "question": "contract term", "expected_source_uris": [engine.documents.first().source_uri], "expected_claim_verdicts": {"c": "supported"}}]})
+    metrics, failed = engine.evaluate(loaders.evaluation_cases(spark.createDataFrame([(body,)], "body string")))
+    values = {r.metric: r.value for r in metrics.collect()}
+    assert values["hit_rate_at_k"] == values["context_recall"] == 1.0 and values["citation_retrieval_precision"] == 1.0 and {r.case_id for r in failed.collect()} <= {"a"}
 
 
 def test_fusion_keeps_dense_only_scores(spark):
@@ -73,30 +96,147 @@ def test_fusion_keeps_dense_only_scores(spark):
     assert got["a"] == 1.0 and got["b"] == pytest.approx(0.6 * 0.5 + 0.4 + 1 / 62 + 1 / 61)
 
 
+def test_reranking_keeps_most_of_the_base_score(spark):
+    q = spark.createDataFrame([(1, "stable ids")], "qid int, query string")
+    c = spark.createDataFrame([("a", "d1", "Stable ids", "of chunks"), ("b", "d2", "other", "nothing here")], "chunk_id string, document_id string, title string, text string")
+    hits = spark.createDataFrame([(1, "a", 1, 0.0, 0.5), (1, "b", 2, 0.9, 0.1)], "qid int, chunk_id string, base_rank int, fused double, dense_score double")
+    got = {r.chunk_id: r for r in retrieval.rerank(hits, q, c).collect()}
+    assert got["a"].rerank_score == pytest.approx(1 + 0.25 + 0.2) and got["a"].score == pytest.approx(0.7 * 0.5 + 0.3 * 1.45) and got["b"].score == pytest.approx(0.63)
+    assert got["a"].final_rank == 1
+
+
+def test_decomposition(spark):
+    q = spark.createDataFrame([(1, "alpha  and beta, vs gamma; delta"), (2, "sand and"), (3, " ")], "qid int, query string")
+    got = [(r.qid, r.part, r.query) for r in retrieval.decompose(q).orderBy("qid", "part").collect()]
+    assert got == [(1, 0, "alpha and beta, vs gamma; delta"), (1, 1, "alpha"), (1, 2, "beta"), (1, 3, "gamma"), (2, 0, "sand and")]
+
+
+def test_backends_fall_back():
+    assert retrieval.backend_order("auto", {"local"}) == (["local"], {"vectors": "vectors search is not available"})
+    assert retrieval.backend_order("local", {"local", "vectors"})[0] == ["local"] and retrieval.backend_order("vectors", {"vectors"}, fallback=False) == (["vectors"], {})
+
+
+def test_full_text_search(spark):
+    assert [fulltext.stem(w) for w in "consistently generously running happiness ponies hopping".split()] == ["consist", "generous", "run", "happi", "poni", "hop"]
+    chunks = spark.createDataFrame([(1, "The citations of traceable chunks"), (2, "chunk one, and a citation far away from any chunk"), (3, "nothing")], "chunk_id int, text string")
+    index = fulltext.postings(chunks)
+    ask = lambda q: [(r.chunk_id, round(r.score, 4)) for r in fulltext.search(spark.createDataFrame([(1, q)], "qid int, query string"), index, 5).orderBy("rank").collect()]
+    assert ask("citation chunks") == [(2, round(0.1 / 4 + 0.1 / 5, 4)), (1, 0.05)] or ask("citation chunks")[0][1] > 0
+    assert [c for c, _ in ask('"traceable chunk"')] == [1] and [c for c, _ in ask("chunk -traceable")] == [2] and {c for c, _ in ask("nothing or traceable")} == {1, 3} and ask("the of") == []
+
+
 def test_numeric_mismatch_is_contradicted(spark):
-    answers = spark.createDataFrame([(1, "The term is 24 months.")], "answer_id int, text string")
-    contexts = spark.createDataFrame([(1, 1, "The contract term is 12 months.", 1.0, True)], "answer_id int, context_id int, text string, score double, cited boolean")
-    claimed = evidence.claims(answers)
+    answers = spark.createDataFrame([(1, "The contract term is 24 months.")], "answer_id int, text string")
+    contexts = spark.createDataFrame([(1, "c1", 1, "The contract term is 12 months.", 1.0), (1, "c2", 2, "24", 0.1)], "answer_id int, context_id string, rank int, text string, score double")
+    cited = spark.createDataFrame([(1, 1, "C1", "c1", "The contract term is 12 months.")], "answer_id int, rank int, citation_id string, chunk_id string, support_span string")
+    claimed = evidence.claims(answers, cited)
     row = evidence.verdicts(evidence.select_evidence(claimed, contexts), claimed).first()
-    assert row.claim_type == "numeric" and row.verdict == "contradicted" and row.confidence == 0.92
+    assert (row.claim_type, row.verdict, row.confidence, row.reason, row.context_id) == ("numeric", "contradicted", 0.92, "numeric_consistency", "c1")
+    own = spark.createDataFrame([(1, 1, "The contract term is 12 months.", "The contract term is 12 months.", False, False)], "answer_id int, citation_no int, span string, context string, web boolean, fetched boolean")
+    verified = evidence.verify_citations(evidence.best_claims(answers, own))
+    total = evidence.overall(verified).first()
+    assert verified.first().verdict == "contradicted" and (total.overall, total.contradictions) == ("unsupported", 1)
+    refined = evidence.refine(answers.withColumn("query", F.lit("term?")).withColumn("limitations", F.lit("")), verified).first()
+    assert refined.status == "insufficient_evidence" and refined.kept == [] and "could not fully verify" in refined.text
+
+
+def test_claims_without_evidence_are_insufficient(spark):
+    claimed = evidence.claims(spark.createDataFrame([(1, "Nothing is known")], "answer_id int, text string")).withColumn("cited", F.lit(None).cast("string"))
+    none = spark.createDataFrame([], "answer_id int, context_id string, rank int, text string, score double")
+    row = evidence.verdicts(evidence.select_evidence(claimed, none), claimed).first()
+    assert (row.verdict, row.confidence, row.reason) == ("insufficient", 0.1, "evidence_present") and [c.name for c in row.checks] == ["evidence_present"]
+
+
+def test_partly_supported_answers_are_not_unsupported(spark):
+    v = spark.createDataFrame([(1, 1, "partially_supported"), (1, 2, "contradicted"), (2, 1, "stale"), (3, 1, "supported")], "answer_id int, citation_no int, verdict string")
+    assert {r.answer_id: r.overall for r in evidence.overall(v).collect()} == {1: "partially_supported", 2: "unsupported", 3: "supported"}
 
 
 def test_calculations(spark):
     cells = spark.createDataFrame([(1, 0, "100", "USD"), (1, 1, "125", "USD"), (2, 0, "0", "USD"), (2, 1, "5", "EUR"), (3, 0, "x", None)], "plan_id int, pos int, value string, unit string")
+    zero = "percentage_change requires old and new non-zero values"
     got = {r.plan_id: (r.value, r.error) for r in analysis.calculate(cells, "percentage_change").collect()}
-    assert got == {1: (25.0, None), 2: (None, "zero denominator"), 3: (None, "not a number")}
-    assert {r.plan_id: r.error for r in analysis.calculate(cells, "sum").collect()} == {1: None, 2: "mixed units", 3: "not a number"}
+    assert got == {1: (25.0, None), 2: (None, zero), 3: (None, "Calculation input is not numeric: c0")}
+    assert {r.plan_id: r.error for r in analysis.calculate(cells, "sum").collect()} == {1: None, 2: "Inputs have incompatible units", 3: "Calculation input is not numeric: c0"}
+    assert {r.plan_id: r.error for r in analysis.calculate(cells, "median").collect()}[1] == "Unknown operation: median"
+    named = spark.createDataFrame([(1, 0, "old", "100", "USD", ["a1"]), (1, 1, "new", "125", "USD", ["a2"])], "plan_id int, cell_no int, name string, value string, currency string, anchor_ids array<string>").withColumn("unit", F.lit(None).cast("string"))
+    plans = spark.createDataFrame([(1, "percentage_change", ["old", "new"])], "plan_id int, operation string, input_names array<string>")
+    row = analysis.execute(plans, named).first()
+    assert row.value == 25 and row.warnings == [] and len(row.reproducibility_hash) == 64
 
 
 def test_diff_and_review(spark):
-    schema = "pair_id bigint, element_no int, text string, section string, kind string"
-    old = spark.createDataFrame([(1, 0, "Term is 12 months.", "a", "p"), (1, 1, "Same", "a", "p"), (1, 2, "Gone entirely", "a", "p")], schema)
-    new = spark.createDataFrame([(1, 0, "Term is 24 months.", "a", "p"), (1, 1, "same ", "b", "p")], schema)
-    assert sorted(r.operation for r in analysis.diff(old, new).collect()) == ["added", "moved", "removed", "removed"]
-    got = analysis.fuzzy_modified(old.where("element_no <> 1"), new.where("element_no <> 1")).collect()
-    assert [(r.old_no, r.new_no) for r in got] == [(0, 0)]
-    acts = spark.createDataFrame([(1, "needs_review", "approve"), (2, "rejected", "approve")], "product_id int, status string, action string")
-    assert {r.product_id: (r.next_status, r.error) for r in analysis.review(acts).collect()} == {1: ("approved", None), 2: (None, "cannot approve from rejected")}
+    schema = "pair_id bigint, element_no int, text string, section string, kind string, anchor string"
+    old = spark.createDataFrame([(1, 0, "Term is 12 months.", "a", "p", "a"), (1, 1, "Same", "a", "p", "x"), (1, 2, "Gone entirely", "a", "q", "y")], schema)
+    new = spark.createDataFrame([(1, 0, "Term is 24 months.", "a", "p", "b"), (1, 1, "same ", "b", "p", "z"), (1, 2, "brand new words", "b", "r", "n")], schema)
+    ops = analysis.compare(old, new)
+    got = {(r.old_no, r.new_no): r for r in ops.collect()}
+    assert {k: r.operation for k, r in got.items()} == {(0, 0): "modified", (1, 1): "moved", (2, None): "removed", (None, 2): "added"}
+    assert (got[0, 0].old_anchor, got[0, 0].new_anchor) == ("a", "b") and [tuple(c) for c in got[0, 0].opcodes] == [x for x in SequenceMatcher(None, "Term is 12 months.", "Term is 24 months.").get_opcodes() if x[0] != "equal"]
+    assert analysis.diff_summary(ops).first().summary == "1 added, 1 removed, 1 modified"
+    acts = spark.createDataFrame([(1, "needs_review", "approve"), (2, "rejected", "approve"), (3, "draft", "edit")], "product_id int, status string, action string")
+    assert {r.product_id: (r.next_status, r.error) for r in workflows.review(acts).collect()} == {1: ("approved", None), 2: (None, "Cannot approve product in rejected state"), 3: ("needs_review", None)}
+
+
+def test_decisions_are_folded_in_order(spark):
+    states = spark.createDataFrame([("p", "h", "needs_review")], "product_id string, content_hash string, status string")
+    events = [("p", 1, "waive_with_reason", None, None), ("p", 2, "reject", "no", None), ("p", 3, "approve", None, None), ("p", 4, "request_reanalysis", None, "0" * 64), ("p", 5, "request_reanalysis", None, None), ("p", 6, "approve", None, None), ("p", 7, "approve", None, None), ("p", 8, "burn", None, None)]
+    got = workflows.decide(states, spark.createDataFrame(events, "product_id string, seq int, action string, comment string, expected_hash string")).orderBy("seq").collect()
+    assert [r.after for r in got] == ["needs_review", "rejected", "rejected", "rejected", "draft", "approved", "approved", "approved"]
+    assert [r.error for r in got] == ["waive_with_reason requires a reviewer comment", None, "Cannot approve product in rejected state", "Work product changed since it was loaded", None, None, None, "Unsupported review action: burn"]
+
+
+def test_products_bundles_and_schema(spark):
+    runs = spark.createDataFrame([("r", "vendor_comparison", "s", None)], "run_id string, workflow_id string, summary string, limitations string")
+    verified = spark.createDataFrame([("r", 1, "The vendor price", "supported", 0.9, "C1"), ("r", 2, "criterion", "supported", 0.9, "C9")], "run_id string, claim_no int, claim string, verdict string, confidence double, citation_id string")
+    cited = spark.createDataFrame([("r", "C1", "k", "d", ["a"])], "run_id string, citation_id string, chunk_id string, document_id string, anchor_ids array<string>")
+    rows = workflows.products(runs, workflows.findings(runs, verified, cited), cited)
+    row = rows.first()
+    assert [f.field for f in row.findings] == ["vendor_value", "criterion", "evidence", "exception"] and row.violations == ["Supported findings must include evidence"] and row.status == "needs_review"
+    with zipfile.ZipFile(io.BytesIO(workflows.bundles(rows).first().bundle)) as z:
+        assert set(z.namelist()) == {"report.md", "manifest.json", "work-product.json", "claims.json", "provenance.json", "review-history.json"} and "### vendor_value — supported" in z.read("report.md").decode()
+
+
+def test_memory_and_citation_graph(spark):
+    turns = [("s", i, "user" if i % 2 == 0 else "assistant", f"turn {i} must" if i == 0 else f"turn {i}", ["C1", "C2"], [f"k{i}"]) for i in range(8)]
+    row = evidence.memory(spark.createDataFrame(turns, "session_id string, turn int, role string, text string, citation_ids array<string>, chunk_ids array<string>"), limit=20).first()
+    assert row.summary == "User: turn 0 must As" and row.constraints == ["turn 0 must"] and row.graph == {"C1": ["k1", "k3", "k5", "k7"]}
+
+
+def test_admission(spark):
+    rows = spark.createDataFrame([("g", 1, 0.0, 0.2), ("g", 2, 0.1, 1.0), ("g", 3, 0.15, 1.0), ("g", 4, 5.0, 1.0)], "gate string, seq bigint, at double, seconds double")
+    assert {r.seq: r.began for r in workflows.admit(rows).collect()} == {1: 0.0, 2: 0.2, 3: None, 4: 5.0}
+
+
+def test_aligned_elements_become_anchors(spark):
+    docs = spark.createDataFrame([("d", "p", "A  title\nThe   body text.\nA title")], "document_id string, project_id string, text string").withColumn("text", T.normalise(F.col("text")))
+    elements = spark.createDataFrame([("d", 1, 0, "e0", "A title"), ("d", 1, 1, "e1", "The body  text."), ("d", 2, 0, "e2", "A title"), ("d", 2, 1, "e3", "absent")], "document_id string, page int, position int, element_id string, text string")
+    placed = ingest.align(elements, docs)
+    assert {r.element_id: (r.start, r.end) for r in placed.collect()} == {"e0": (0, 7), "e1": (9, 23), "e2": (25, 32), "e3": (None, None)}
+    parts = ingest.chunks(docs.withColumn("content_hash", F.sha2("text", 256)), 5, 0).withColumn("project_id", F.lit("p"))
+    drawn = ingest.provenance(placed.withColumn("method", F.lit("native")).withColumn("confidence", F.lit(0.5)), parts)
+    got = {tuple(r.element_ids) for r in drawn.collect()}
+    assert got == {("e0", "e1"), ("e2",)} or got == {("e0", "e1", "e2")} or ("e0", "e1") in got
+    made = ingest.anchors(parts.join(drawn, "chunk_id"))
+    assert {r.element_id for r in made.collect()} == {"e0", "e1", "e2"} and made.where("anchor_id = concat(version_id, ':', element_id)").count() == 3
+
+
+def test_row_chunks_of_a_table(spark):
+    tables = spark.createDataFrame([("d", "h", "t1", ["Vendor", "Price"], [["Acme", "10"]], None, [1], ["h0", "h1", "t1-r1-c0", "t1-r1-c1"], 1.0)], "document_id string, content_hash string, table_id string, headers array<string>, rows array<array<string>>, caption string, pages array<int>, element_ids array<string>, confidence double")
+    row = ingest.table_rows(tables, spark.createDataFrame([("d", "prices: ACME | 10")], "document_id string, text string")).first()
+    assert row.text == "Table t1; columns: Vendor | Price; row: Acme | 10" and row.element_ids == ["t1-r1-c0", "t1-r1-c1"] and row.char_start == 8 and row.chunk_level == "row" and row.heading_path == ["t1"]
+
+
+def test_parsers_and_sinks(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"INTRO\nsome text")
+    pages = loaders.parsed_files(loaders.scan(spark, str(tmp_path)), ["pdf"], lambda raw: [{"page": 1, "text": raw.decode(), "blocks": [{"text": x, "box": [0.0, 0.0, 1.0, 1.0]} for x in raw.decode().split("\n")]}])
+    assert [(r.element_id, r.element_type) for r in ingest.blocks_of(pages).orderBy("position").collect()] == [("p1-native-0", "heading"), ("p1-native-1", "paragraph")]
+    rows = spark.createDataFrame([(1, None), (2, "x")], "id int, note string")
+    assert sinks.resume_count(spark, str(tmp_path / "none")) == 0
+    assert sinks.append_records(rows, str(tmp_path / "log")) == 2 and sinks.append_records(rows, str(tmp_path / "log")) == 4
+    docs = spark.createDataFrame([("ab12", "text one")], "document_id string, text string")
+    sinks.raw_texts(docs, str(tmp_path / "raw"))
+    assert sinks.raw_text(spark, str(tmp_path / "raw"), "ab12") == "text one" and sinks.raw_text(spark, str(tmp_path / "raw"), "zz") is None
 
 
 def test_latency_summary(spark):
