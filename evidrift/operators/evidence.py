@@ -129,6 +129,23 @@ def prompt(requests: DataFrame, contexts: DataFrame) -> DataFrame:
     return requests.join(lines, "qid", "left").select("qid", body.alias("prompt"))
 
 
+def generate(prompts: DataFrame, provider) -> DataFrame:
+    """prompts: qid, prompt. qid, output: what provider(prompt) says, or nothing where it fails, so that the fallback answers. The place of a language model."""
+    import pandas as pd
+
+    def say(prompt: str) -> str | None:
+        try:
+            return provider(prompt)
+        except Exception:  # a generator that is down must not fail the batch
+            return None
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"qid": frame["qid"], "output": [say(p) for p in frame["prompt"]]})
+
+    return prompts.select("qid", "prompt").mapInPandas(run, f"qid {prompts.schema['qid'].dataType.simpleString()}, output string")
+
+
 def parsed_answer(raw: Column, fallback: Column) -> Column:
     """The direct answer of a generator's JSON output; the fallback where there is none or the output is no JSON."""
     return F.coalesce(F.nullif(F.get_json_object(raw, "$.direct_answer"), F.lit("")), fallback)

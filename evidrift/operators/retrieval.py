@@ -85,6 +85,22 @@ def embed(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
     return sums.withColumn("norm", norm).where("norm > 0").select(key, "slot", (F.col("value") / F.col("norm")).alias("value"))
 
 
+def embed_with(texts: DataFrame, key: str, provider, dim: int, batch: int = 4) -> DataFrame:
+    """key, v: the vectors that provider(list of texts) gives, so many texts at a time; a vector of another dimension is an error. The place of an embedding model, loaded once a task by the
+    provider; `embed` is the one that needs none."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            own = frame.reset_index(drop=True)
+            vectors = [v for at in range(0, len(own), batch) for v in provider(own["text"][at : at + batch].tolist())]
+            if any(len(v) != dim for v in vectors) or len(vectors) != len(own):
+                raise ValueError(f"the provider must give a vector of {dim} components for every text")
+            yield pd.DataFrame({key: own[key], "v": [[float(x) for x in v] for v in vectors]})
+
+    return texts.select(key, "text").mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, v array<double>")
+
+
 def _dense_rows(column: pa.Array, width: int) -> np.ndarray:
     """Arrays as rows of a matrix; shorter ones are filled with zeros."""
     sizes = np.diff(column.offsets.to_numpy())

@@ -263,5 +263,24 @@ def test_streaming_rate_limit(spark, tmp_path):
     assert [r.allowed for r in spark.sql("select * from limited order by at").collect()] == [True, True, False, True, True]
 
 
+def test_streaming_memory(spark, tmp_path):
+    landing, state = tmp_path / "in", str(tmp_path / "state")
+    landing.mkdir()
+    for n in range(2):
+        (landing / f"{n}.json").write_text("\n".join(json.dumps({"session_id": "s", "turn": 3 * n + i, "role": "user", "text": f"t{3 * n + i}"}) for i in range(3)))
+        jobs.memory_stream(spark, str(landing), state, str(tmp_path / "check")).awaitTermination()
+    row = spark.read.parquet(f"{state}/memory").orderBy(F.desc("epoch")).first()
+    assert (row.turns, row.recent_turns, row.summary) == (6, 4, "User: t0 User: t1")
+
+
+def test_models_plug_in(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, "c")], "k int, text string")
+    got = {r.k: r.v for r in retrieval.embed_with(texts, "k", lambda xs: [[len(x), 1] for x in xs], 2).collect()}
+    assert got == {1: [3.0, 1.0], 2: [1.0, 1.0]}
+    prompts = spark.createDataFrame([(1, "say"), (2, "fail")], "qid int, prompt string")
+    said = evidence.generate(prompts, lambda p: {"say": '{"direct_answer": "yes"}'}[p]).withColumn("answer", evidence.parsed_answer(F.col("output"), F.lit("no")))
+    assert {r.qid: r.answer for r in said.collect()} == {1: "yes", 2: "no"}
+
+
 def test_every_sql_has_a_query():
-    assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) >= 60
+    assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) >= 150
