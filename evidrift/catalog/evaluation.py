@@ -222,3 +222,18 @@ def d08(spark, d):
     side = lambda text, name: table(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.lit(0).alias("element_no"), F.lit("p").alias("kind"), F.lit(text).alias("text"), F.lit("s").alias("section"), F.concat(F.lit(name), "p_partkey").alias("anchor"))
     head, rows = A.diff_rows(A.compare(side("Term is 12 months.", "o"), side("Term is 34 months.", "n")))
     return rows.join(head.where("element_count = 1").select("diff_id"), "diff_id", "left_semi").select("diff_id", "operation", "old_anchor", "new_anchor", "opcodes")
+
+
+@query("k12_calculation_runs", """SELECT o_orderkey AS plan_id, '{"operation":"sum","input_names":["a"]}' AS plan_json, '{"value":' || o_custkey || '.0}' AS output_json, '["Input has no source anchor: a"]' AS warnings_json FROM orders WHERE o_orderkey % 5 <> 0""")
+def k12(spark, d):
+    o = table(spark, d, "orders")
+    cells = o.select(F.col("o_orderkey").alias("plan_id"), F.lit(0).alias("cell_no"), F.lit("a").alias("name"), F.when(F.col("o_orderkey") % 5 == 0, "?").otherwise(F.col("o_custkey").cast("string")).alias("value"), F.lit(None).cast("string").alias("unit"))
+    plans = cells.select("plan_id", F.lit("sum").alias("operation"), F.array("name").alias("input_names"))
+    return A.calculation_runs(plans, A.execute(plans, cells)).select("plan_id", "plan_json", "output_json", "warnings_json")
+
+
+@query("j25_case_results", "SELECT o_orderkey AS case_id, o_totalprice AS expected, l.n AS lines FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
+def j25(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.count(F.lit(1)).alias("lines"))
+    cases = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("expected")).join(lines.select("case_id"), "case_id", "left_semi")
+    return A.case_results(cases, lines.join(cases.select("case_id"), "case_id", "left_semi"))

@@ -171,3 +171,17 @@ def v01(spark, d):
     hits = R.sparse(q, chunks, 10).join(chunks.select("chunk_id", "document_id"), "chunk_id").select(F.col("qid").alias("case_id"), "rank", "chunk_id", "document_id", F.lit("http://none").alias("source_uri"))
     n = expected.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_expected"))
     return A.retrieval_metrics(A.relevance(hits, expected), n)
+
+
+@query("f15_request_validation", "SELECT event_id AS qid, CASE WHEN event_id % 5 = 0 THEN 'query must have 1 to 2000 characters' WHEN user_id % 60 = 0 OR user_id > 50 THEN 'top_k must be 1 to 50' WHEN event_type = 'click' THEN 'strategy must be sparse, dense or hybrid' WHEN event_type = 'view' THEN 'index_target must be auto, vectors or local' END AS error FROM events")
+def f15(spark, d):
+    e = table(spark, d, "events")
+    return R.validate(e.select(F.col("event_id").alias("qid"), F.when(F.col("event_id") % 5 == 0, "").otherwise("q").alias("query"), F.when(F.col("user_id") % 60 == 0, 0).otherwise(F.col("user_id")).alias("top_k"), F.when(F.col("event_type") == "click", "magic").alias("strategy"), F.when(F.col("event_type") == "view", "moon").alias("index_target")))
+
+
+@query("f18_flat_results", f"SELECT qid, chunk_id, 'uri' || chunk_id AS source_uri, lang AS access_policy, false AS explained FROM ({_RANKED.format(_SPARSE, 5)}) JOIN documents ON doc_id = chunk_id")
+def f18(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("uri"), "doc_id").alias("source_uri"), "text", F.col("lang").alias("access_policy"))
+    hits = R.sparse(_queries(spark, d), _chunks(spark, d), 5).withColumn("explain", F.lit("x"))
+    out = R.results(hits, chunks)
+    return out.select("qid", "chunk_id", "source_uri", F.col("metadata.access_policy").alias("access_policy"), F.lit("explain" in out.columns).alias("explained"))

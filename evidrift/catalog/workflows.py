@@ -210,3 +210,27 @@ def z07(spark, d):
     """A simulation of bounded admission over the events of each user; SQL has no fold over what was admitted."""
     e = table(spark, d, "events").select(F.col("user_id").alias("gate"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.lit(60_000.0).alias("seconds"))
     return X.admit(e.withColumn("at", F.col("at") / 1000))
+
+
+@query("p09_event_log", f"""WITH RECURSIVE e AS MATERIALIZED ({_EVENTS}), f AS (
+SELECT c_custkey AS product_id, 0::BIGINT AS n, 0::BIGINT AS seq, NULL::VARCHAR AS before, 'needs_review' AS status, NULL::VARCHAR AS error, NULL::VARCHAR AS action FROM customer UNION ALL
+SELECT product_id, n, seq, status, CASE WHEN err IS NULL AND NOT idle THEN nx ELSE status END, err, action FROM (SELECT *, CASE WHEN action = 'waive_with_reason' AND bare THEN 'x' WHEN NOT idle AND nx IS NULL THEN 'x' END AS err
+FROM (SELECT f.product_id, e.n, e.seq, f.status, e.action, e.bare, {_NEXT.replace('status IN', 'f.status IN').replace('status =', 'f.status =').replace('action', 'e.action')} AS nx, (e.action = 'approve' AND f.status = 'approved') OR (e.action = 'reject' AND f.status = 'rejected') AS idle FROM f JOIN e ON e.product_id = f.product_id AND e.n = f.n + 1)))
+SELECT product_id, seq, action, sha256('h:' || before) AS before_hash, sha256('h:' || status) AS after_hash FROM f WHERE n > 0 AND error IS NULL AND before <> status""")
+def p09(spark, d):
+    o = table(spark, d, "orders")
+    events = o.select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("seq"), F.expr(_ACTION).alias("action"), F.when(F.col("o_orderkey") % 3 != 0, "because").alias("comment"), F.lit(None).cast("string").alias("expected_hash"), F.lit("me").alias("actor"))
+    states = table(spark, d, "customer").select(F.col("c_custkey").alias("product_id"), F.lit("h").alias("content_hash"), F.lit("needs_review").alias("status"))
+    return X.event_log(events, X.decide(states, events)).select("product_id", "seq", "action", "before_hash", "after_hash")
+
+
+@query("i17_bootstrap", "SELECT c_custkey AS source_path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_orderkey % 3 = 1))")
+def i17(spark, d):
+    jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("source_path"), F.lit("p").alias("project_id"), F.expr("CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'completed' ELSE 'failed' END").alias("status"), (F.col("o_orderkey") % 3).alias("documents_seen"))
+    return X.bootstrap(table(spark, d, "customer").select(F.col("c_custkey").alias("source_path"), F.lit("p").alias("project_id"), F.lit(1).alias("expected")), jobs).select("source_path")
+
+
+@query("z05_response_events", """SELECT event_id AS qid, 0 AS position, '{"event":"start","qid":' || event_id || '}' AS line FROM events UNION ALL SELECT event_id, 1, CASE WHEN event_type = 'error' THEN '{"event":"error","qid":' || event_id || ',"message":"down"}' ELSE '{"event":"complete","qid":' || event_id || ',"answer":"yes"}' END FROM events""")
+def z05(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("qid"), F.lit("yes").alias("answer"), F.when(F.col("event_type") == "error", "down").alias("error"))
+    return X.response_events(e)

@@ -338,3 +338,16 @@ def trailing_count(events: DataFrame, by: list[str], seconds: int = 60, limit: i
     return events.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("in_window") <= limit)
 
 
+
+
+def calculation_runs(plans: DataFrame, done: DataFrame) -> DataFrame:
+    """plans and done: as execute takes and gives them. A row a calculation that succeeded, to be appended to its table: plan, output and warnings as JSON, engine and hash."""
+    rows = plans.join(done.where("error is null").select("plan_id", "value", "warnings", "reproducibility_hash"), "plan_id")
+    return rows.select("plan_id", F.to_json(F.struct("operation", "input_names")).alias("plan_json"), F.to_json(F.struct("value")).alias("output_json"), F.to_json("warnings").alias("warnings_json"), F.lit("typed-arithmetic").alias("engine_name"), F.lit("v1").alias("engine_version"), "reproducibility_hash")
+
+
+def case_results(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """Cases and their results by case_id; a case without a result, or a result without a case, is an error."""
+    both = cases.withColumn("case__", F.lit(True)).join(results.withColumn("result__", F.lit(True)), "case_id", "full_outer")
+    fine = F.when(F.col("case__") & F.col("result__"), F.col("case_id")).otherwise(F.raise_error(F.concat(F.lit("case and result do not match: "), F.col("case_id").cast("string"))))
+    return both.withColumn("case_id", fine.cast(cases.schema["case_id"].dataType)).drop("case__", "result__")

@@ -73,8 +73,8 @@ def backend_order(target: str, available: set[str], primary: str = "auto", fallb
 
 
 def embed(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """key, slot, value: the hashed bag of tokens of each text, of length one, one row a component that is not zero. Each distinct
-    token is hashed once."""
+    """key, slot, value: the hashed bag of tokens of each text, of length one, one row a component that is not zero. Each
+    token of a text is hashed once."""
     counts = texts.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     sha = F.sha2("token", 256)
     byte = lambda i: F.conv(F.substring(sha, 2 * i + 1, 2), 16, 10).cast("int")
@@ -132,6 +132,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, others: bo
                 sizes = np.diff(batch.column("v").offsets.to_numpy())
                 length = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), full * full, len(sizes)))
                 names = batch.column(key).to_pylist()
+                places: dict = {}
+                for j, name in enumerate(names if others else ()):
+                    places.setdefault(name, []).append(j)
                 order = np.empty(len(names), np.int64)
                 order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
                 for a in range(0, len(own), 256):
@@ -141,8 +144,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, others: bo
                     found = []
                     for i in range(len(scores)):
                         good = np.flatnonzero(scores[i] > 0)
-                        if others:
-                            good = np.array([j for j in good if names[j] != ids[a + i]], np.int64) if ids[a + i] in names else good
+                        if ids[a + i] in places:
+                            good = np.setdiff1d(good, places[ids[a + i]], assume_unique=True)
                         if len(good) > 4 * k:
                             good = good[rounded[i, good] >= np.partition(rounded[i, good], len(good) - k)[len(good) - k]]
                         good = good[np.lexsort((order[good], -rounded[i, good]))[:k]]
@@ -338,3 +341,25 @@ def decomposed_search(queries: DataFrame, chunks: DataFrame, k: int = 5, strateg
 
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, candidates: int = CANDIDATES, dim: int = 64) -> DataFrame:
     return search(queries, chunks, k, "hybrid", candidates, dim)
+
+
+# Limits of a request.
+QUERY_CHARS, MOST_RESULTS, STRATEGIES, TARGETS = 2000, 50, ["sparse", "dense", "hybrid"], ["auto", "vectors", "local"]
+
+
+def validate(requests: DataFrame) -> DataFrame:
+    """requests: qid, query, top_k, strategy, index_target. Why a request is refused, null where it is not; what is left out counts as its default."""
+    n, k = F.length(F.coalesce("query", F.lit(""))), F.coalesce("top_k", F.lit(5))
+    why = (
+        F.when((n < 1) | (n > QUERY_CHARS), f"query must have 1 to {QUERY_CHARS} characters").when((k < 1) | (k > MOST_RESULTS), f"top_k must be 1 to {MOST_RESULTS}")
+        .when(~F.coalesce("strategy", F.lit("hybrid")).isin(STRATEGIES), "strategy must be sparse, dense or hybrid").when(~F.coalesce("index_target", F.lit("auto")).isin(TARGETS), "index_target must be auto, vectors or local")
+    )
+    return requests.select("qid", why.alias("error"))
+
+
+def results(hits: DataFrame, chunks: DataFrame, include_explain: bool = False) -> DataFrame:
+    """Hits as flat rows with all that the chunk is known by: its columns beside the scores, and those that say how it was made in one struct; explain only if it is asked for."""
+    about = [c for c in ("access_policy", "embedding_version", "index_version", "section", "page", "element_ids", "bbox_refs", "extraction_method", "min_confidence", "parent_chunk_id", "chunk_level", "heading_path", "version_id", "is_current", "source_anchor_ids") if c in chunks.columns]
+    own = chunks.select("chunk_id", *[c for c in ("source_uri", "location_marker", "text") if c in chunks.columns], F.struct(*about).alias("metadata") if about else F.lit(None).alias("metadata"))
+    kept = hits if include_explain or "explain" not in hits.columns else hits.drop("explain")
+    return kept.join(own, "chunk_id")

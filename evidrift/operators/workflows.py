@@ -341,3 +341,20 @@ def admit(requests: DataFrame, active: int = 1, waiting: int = 2, patience: floa
 
     kind = requests.schema["gate"].dataType.simpleString()
     return requests.groupBy("gate").applyInPandas(run, f"gate {kind}, seq bigint, began double")
+
+
+def event_log(events: DataFrame, decided: DataFrame) -> DataFrame:
+    """events: product_id, seq, actor, action, comment. decided: as decide gives it. The events that took effect, with the hashes before and after, to be appended to the log."""
+    took = decided.where("error is null and before_hash <> after_hash or error is null and before <> after").select("product_id", "seq", "before_hash", "after_hash")
+    return events.join(took, ["product_id", "seq"]).select("product_id", "seq", "actor", "action", "before_hash", "after_hash", "comment")
+
+
+def bootstrap(paths: DataFrame, jobs: DataFrame) -> DataFrame:
+    """paths: source_path, project_id, expected. Those that no job has in hand or has finished: what a start of the system has to ingest, once."""
+    return paths.join(has_work(jobs, paths).where(~F.col("has_work")).select("source_path", "project_id"), ["source_path", "project_id"], "left_semi")
+
+
+def response_events(responses: DataFrame) -> DataFrame:
+    """responses: qid, answer, error. The events of each response in order, as lines of JSON: start, then complete or error."""
+    end = F.when(F.col("error").isNotNull(), F.to_json(F.struct(F.lit("error").alias("event"), F.col("qid"), F.col("error").alias("message")))).otherwise(F.to_json(F.struct(F.lit("complete").alias("event"), F.col("qid"), F.col("answer"))))
+    return responses.select("qid", F.posexplode(F.array(F.to_json(F.struct(F.lit("start").alias("event"), F.col("qid"))), end)).alias("position", "line"))
