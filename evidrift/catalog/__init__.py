@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores where the table is one small file that a scan would leave to a few tasks; larger tables are read as they are split."""
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _load() -> None:
     from . import evaluation, evidence, ingestion, relational, retrieval, sources, telemetry, workflows  # noqa: F401
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ingest
 from ..sources import loaders
-from . import query, sql, table
+from . import query, sql, table, texts
 
 _NORMAL = sql.NORMAL.format("text")
 _SENTENCES = sql.SENTENCES.format("text")
@@ -18,19 +18,19 @@ _UUID = sql.UUID
 @query("x01_tokens", "SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
 def x01(spark, d):
     t = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+    return texts(spark, d).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
 @query("x03_normalise", f"SELECT doc_id, length({_NORMAL}) AS n_chars, sha256({_NORMAL}) AS content_hash FROM documents")
 def x03(spark, d):
-    own = table(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("n"))  # once, below what uses it twice
+    own = texts(spark, d).select("doc_id", T.normalise(F.col("text")).alias("n"))  # once, below what uses it twice
     return own.select("doc_id", F.length("n").cast("bigint").alias("n_chars"), F.sha2("n", 256).alias("content_hash"))
 
 
 @query("x07_sentences", f"SELECT doc_id, CAST(len({_SENTENCES}) AS BIGINT) AS n_sentences, list_aggregate(list_transform({_SENTENCES}, lambda x: length(x)), 'max') AS longest FROM documents WHERE trim(text) <> ''")
 def x07(spark, d):
     s = T.sentences(F.col("text"))
-    return table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", F.size(s).cast("bigint").alias("n_sentences"), F.array_max(F.transform(s, F.length)).cast("bigint").alias("longest"))
+    return texts(spark, d).where("trim(text) <> ''").select("doc_id", F.size(s).cast("bigint").alias("n_sentences"), F.array_max(F.transform(s, F.length)).cast("bigint").alias("longest"))
 
 
 @query("x08_numbers", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'))), ',') AS numbers, regexp_matches(lower(text), '\\b(?:not|no|never|without|cannot|can''t)\\b') AS negated FROM conversations")
@@ -62,7 +62,7 @@ def x22(spark, d):
 
 @query("x26_text_hash", "SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS folded FROM documents")
 def x26(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.text_hash(F.col("text")).alias("h"), T.text_hash(F.col("text"), True).alias("folded"))
+    return texts(spark, d).select("doc_id", T.text_hash(F.col("text")).alias("h"), T.text_hash(F.col("text"), True).alias("folded"))
 
 
 @query("x05_headings", "SELECT doc_id, CAST(count(*) FILTER (WHERE length(l) <= 120 AND ((upper(l) = l AND lower(l) <> l) OR regexp_matches(substr(l, 1, 2), '^[0-9]{1,2}$'))) AS BIGINT) AS headings FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents) GROUP BY doc_id")
@@ -75,7 +75,7 @@ _I01 = f"SELECT source || ':' || lang AS project_id, 'doc/' || doc_id AS source_
 
 
 def _canonical(spark, d):
-    docs = table(spark, d, "documents").select(F.concat_ws(":", "source", "lang").alias("project_id"), F.concat(F.lit("doc/"), "doc_id").alias("source_uri"), F.lit("").alias("title"), "text")
+    docs = texts(spark, d).select(F.concat_ws(":", "source", "lang").alias("project_id"), F.concat(F.lit("doc/"), "doc_id").alias("source_uri"), F.lit("").alias("title"), "text")
     return ingest.canonical(docs)
 
 
@@ -95,7 +95,7 @@ def i01(spark, d):
     {_UUID.format("document_id || ':' || content_hash || ':' || char_start || ':' || char_end || ':v2'")} AS chunk_id FROM e""",
 )
 def i03(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("content_hash"), "text")
+    docs = texts(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("content_hash"), "text")
     out = ingest.chunks(docs, 200, 40)
     return out.select("document_id", "ordinal", F.col("token_count").cast("bigint").alias("token_count"), F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end"), F.sha2("text", 256).alias("text_hash"), "chunk_id")
 
@@ -272,7 +272,7 @@ def x44(spark, d):
 def _headed(spark, d):
     """Documents with every third line as a heading, canonical."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## "), x)).otherwise(x))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), T.normalise(F.array_join(lines, "\n")).alias("text")).withColumn("content_hash", F.sha2("text", 256))
+    return texts(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), T.normalise(F.array_join(lines, "\n")).alias("text")).withColumn("content_hash", F.sha2("text", 256))
 
 
 _HEADED = f"""h AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, {sql.NORMAL.format("array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 1 THEN '## ' || x ELSE x END), chr(10))")} AS text FROM documents),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from . import query, table
+from . import query, table, texts
 
 
 def _queries(spark, d):
@@ -14,7 +14,7 @@ def _queries(spark, d):
 
 
 def _chunks(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("source").alias("title"), "text")
+    return texts(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("source").alias("title"), "text")
 
 
 _EMBED = """SELECT {key}, slot, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM (SELECT {key}, slot, sum(n * w) AS v FROM (
@@ -55,8 +55,8 @@ def x29(spark, d):
 
 @query("r01_dense", f"SELECT qid, chunk_id, round(score, 9) AS score FROM ({_RANKED.format(_DENSE, 12)})")
 def r01(spark, d):
-    q = R.embed(_queries(spark, d).withColumnRenamed("query", "text"), "qid")
-    return R.dense(q, R.embed(_chunks(spark, d), "chunk_id"), 12).select("qid", "chunk_id", F.round("score", 9).alias("score"))
+    q = R.vectors(_queries(spark, d).withColumnRenamed("query", "text"), "qid")
+    return R.dense(q, R.vectors(_chunks(spark, d), "chunk_id"), 12).select("qid", "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query("r02_dense_vectors", "SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id WHERE list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) <= 5")
@@ -73,7 +73,7 @@ def r04(spark, d):
 
 def _fused(spark, d):
     q, c = _queries(spark, d), _chunks(spark, d)
-    dense = R.dense(R.embed(q.withColumnRenamed("query", "text"), "qid"), R.embed(c, "chunk_id"), 12)
+    dense = R.dense(R.vectors(q.withColumnRenamed("query", "text"), "qid"), R.vectors(c, "chunk_id"), 12)
     return R.in_order(R.fuse(dense, R.sparse(q, c, 12)), "fused")
 
 

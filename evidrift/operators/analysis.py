@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from hashlib import sha256
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -257,45 +258,60 @@ def calculate(inputs: DataFrame, operation: str) -> DataFrame:
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     """old and new: pair_id, element_no, kind, text, section, and where given anchor. Every element's operation: in order of the old elements each takes the first free equal one (unchanged, or moved if its section differs), else the free one of its
     kind that is most like it, if it is like enough (modified, with the changes of characters); the rest are removed or added. Earlier choices bind later ones, so a pair of versions is one group; upper bounds of the similarity pass over most candidates."""
-    def likeness(a: str, b: str, least: float) -> float | None:
-        m = SequenceMatcher(None, a, b)
+    def likeness(m: SequenceMatcher, a: str, least: float) -> float | None:
+        """m holds the new text, which it has indexed once for all old ones."""
+        m.set_seq1(a)
         return m.ratio() if m.real_quick_ratio() > least and m.quick_ratio() > least else None
 
-    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        olds, news = ([x._asdict() for x in f.sort_values("element_no").itertuples(index=False)] for f in (a, b))
+    def match(pair, olds: list[dict], news: list[dict]) -> list[tuple]:
         by_hash: dict[str, list[int]] = {}
         for i, x in enumerate(news):
-            x["low"], x["free"] = x["text"].lower(), True
+            x["matcher"], x["free"] = None, True
             by_hash.setdefault(" ".join(x["text"].split()).lower(), []).append(i)
         out = []
         for x in olds:
             same = next((news[i] for i in by_hash.get(" ".join(x["text"].split()).lower(), []) if news[i]["free"]), None)
             if same is not None:
                 same["free"] = False
-                out.append((key[0], x["element_no"], same["element_no"], "unchanged" if x["section"] == same["section"] else "moved", None, None, x["anchor"], same["anchor"]))
+                out.append((pair, x["element_no"], same["element_no"], "unchanged" if x["section"] == same["section"] else "moved", None, None, x["anchor"], same["anchor"]))
                 continue
             best, top, own = None, None, x["text"].lower()
             for y in news:
                 if y["free"] and y["kind"] == x["kind"]:
                     bonus = SAME_SECTION if y["section"] == x["section"] else 0.0
-                    s = likeness(own, y["low"], -1.0 if top is None else top - bonus)
+                    y["matcher"] = y["matcher"] or SequenceMatcher(None, "", y["text"].lower())
+                    s = likeness(y["matcher"], own, -1.0 if top is None else top - bonus)
                     if s is not None and (top is None or s + bonus > top):
                         best, top, plain = y, s + bonus, s
             if best is not None and plain >= MODIFIED:
                 best["free"] = False
                 codes = [{"tag": t, "old_start": i, "old_end": j, "new_start": m, "new_end": n} for t, i, j, m, n in SequenceMatcher(None, x["text"], best["text"]).get_opcodes() if t != "equal"]
-                out.append((key[0], x["element_no"], best["element_no"], "modified", plain, codes, x["anchor"], best["anchor"]))
+                out.append((pair, x["element_no"], best["element_no"], "modified", plain, codes, x["anchor"], best["anchor"]))
             else:
-                out.append((key[0], x["element_no"], None, "removed", None, None, x["anchor"], None))
-        out += [(key[0], None, y["element_no"], "added", None, None, None, y["anchor"]) for y in news if y["free"]]
-        frame = pd.DataFrame(out, columns=["pair_id", "old_no", "new_no", "operation", "similarity", "opcodes", "old_anchor", "new_anchor"])
-        return frame.astype({"old_no": "Int32", "new_no": "Int32"})
+                out.append((pair, x["element_no"], None, "removed", None, None, x["anchor"], None))
+        return out + [(pair, None, y["element_no"], "added", None, None, None, y["anchor"]) for y in news if y["free"]]
+
+    names = ["pair_id", "old_no", "new_no", "operation", "similarity", "opcodes", "old_anchor", "new_anchor"]
+    codes = pa.list_(pa.struct([("tag", pa.string()), *((c, pa.int32()) for c in ("old_start", "old_end", "new_start", "new_end"))]))
+
+    def run(batches):
+        for batch in batches:
+            pairs, olds, news = (batch.column(c).to_pylist() for c in ("pair_id", "old", "new"))
+            rows = [r for pair, a, b in zip(pairs, olds, news) for r in match(pair, a or [], b or [])]
+            if rows:
+                kinds = [batch.schema.field("pair_id").type, pa.int32(), pa.int32(), pa.string(), pa.float64(), codes, pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+    def side(x: DataFrame, name: str) -> DataFrame:
+        x = x if "anchor" in x.columns else x.withColumn("anchor", F.lit(None).cast("string"))
+        element = F.struct(F.col("element_no").cast("int").alias("element_no"), F.col("kind").cast("string").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("section").cast("string").alias("section"), "anchor")
+        return x.groupBy("pair_id").agg(F.array_sort(F.collect_list(element)).alias(name))
 
-    columns = ["pair_id", "element_no", "kind", "text", "section", "anchor"]
-    old, new = ((x if "anchor" in x.columns else x.withColumn("anchor", F.lit(None).cast("string"))).select(*[F.col(c).alias(c) for c in columns]) for x in (old, new))
     kind = old.schema["pair_id"].dataType.simpleString()
     schema = f"pair_id {kind}, old_no int, new_no int, operation string, similarity double, opcodes array<struct<tag:string,old_start:int,old_end:int,new_start:int,new_end:int>>, old_anchor string, new_anchor string"
-    return old.groupBy("pair_id").cogroup(new.groupBy("pair_id")).applyInPandas(match, schema)
+    a, b = side(old, "old"), side(new, "new").withColumnRenamed("pair_id", "new_pair")
+    both = a.join(b, F.col("pair_id").eqNullSafe(F.col("new_pair")), "full_outer")
+    return both.select(F.coalesce("pair_id", "new_pair").alias("pair_id"), "old", "new").mapInArrow(run, schema)
 
 
 def exact_matches(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ broadcast and for the vectors and terms of the queries themselves, which go to t
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+_TOKEN = re.compile("[a-z0-9]+")
 #: A side is broadcast up to so many rows, counted first; beyond, joins shuffle.
 SMALL = 1_000_000
 
@@ -135,8 +141,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, others: bo
                 places: dict = {}
                 for j, name in enumerate(names if others else ()):
                     places.setdefault(name, []).append(j)
-                order = np.empty(len(names), np.int64)
-                order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                order = _order(names)
                 for a in range(0, len(own), 256):
                     with np.errstate(divide="ignore", invalid="ignore"):
                         scores = np.nan_to_num(own[a : a + 256] @ v.T / (norms[a : a + 256, None] * length[None, :]), nan=0.0, posinf=0.0, neginf=0.0)
@@ -146,10 +151,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str, others: bo
                         good = np.flatnonzero(scores[i] > 0)
                         if ids[a + i] in places:
                             good = np.setdiff1d(good, places[ids[a + i]], assume_unique=True)
-                        if len(good) > 4 * k:
-                            good = good[rounded[i, good] >= np.partition(rounded[i, good], len(good) - k)[len(good) - k]]
-                        good = good[np.lexsort((order[good], -rounded[i, good]))[:k]]
-                        found += [(ids[a + i], names[j], float(scores[i, j])) for j in good]
+                        found += [(ids[a + i], names[j], float(scores[i, j])) for j in _best(rounded[i], good, order, k)]
                     if found:
                         yield pa.RecordBatch.from_pylist([dict(zip(("qid", key, "score"), x)) for x in found], schema=out_schema)
 
@@ -164,15 +166,37 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def densified(vectors: DataFrame, key: str, dim: int) -> DataFrame:
-    """key, v: vectors in (key, slot, value) form as arrays."""
-    entries = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
-    return vectors.groupBy(key).agg(entries.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
-
+def vectors(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """key, v: what `embed` gives, as arrays, in one pass over the texts without a shuffle; texts without tokens have none. A task hashes each token it meets once."""
+    kind = texts.schema[key].dataType.simpleString()
 
-def dense(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int, dim: int = 64) -> DataFrame:
-    """qid, chunk_id, score, rank: the k chunks with the highest positive cosine of vectors in (key, slot, value) form."""
-    return nearest(densified(query_vectors, "qid", dim), densified(chunk_vectors, "chunk_id", dim), k, "chunk_id")
+    def run(batches):
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            names, out = [], []
+            for name, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
+                v = [0.0] * dim
+                for token, n in Counter(_TOKEN.findall((text or "").lower())).items():
+                    at = known.get(token)
+                    if at is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        raw = sha256(token.encode()).digest()
+                        at = known[token] = int.from_bytes(raw[:4], "big") % dim, (1.0 if raw[4] % 2 == 0 else -1.0) * (0.5 + raw[5] / 255.0)
+                    v[at[0]] += n * at[1]
+                norm = math.sqrt(sum(x * x for x in v))
+                if norm > 0:
+                    names.append(name)
+                    out.append([x / norm for x in v])
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, _arrow(kind)), pa.array(out, pa.list_(pa.float64()))], names=[key, "v"])
+
+    return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, v array<double>")
+
+
+def dense(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int) -> DataFrame:
+    """qid, chunk_id, score, rank: the k chunks (chunk_id, v) with the highest positive cosine to each query (qid, v)."""
+    return nearest(query_vectors, chunk_vectors, k, "chunk_id")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -196,49 +220,94 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _in_words(words: DataFrame, terms: list[str]) -> DataFrame:
-    """word, term, n: how often each of the terms stands in each word, without overlaps; one pass of an automaton over the words."""
-    lengths = {t: len(t) for t in terms}
+def _best(rounded: np.ndarray, good: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The k of the places in good with the highest rounded scores, equals in order."""
+    if len(good) > 4 * k:
+        good = good[rounded[good] >= np.partition(rounded[good], len(good) - k)[len(good) - k]]
+    return good[np.lexsort((order[good], -rounded[good]))[:k]]
 
-    def run(batches):
-        import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for t in terms:
-            found.add_word(t, t)
-        found.make_automaton()
-        for batch in batches:
-            out: list[tuple[str, str, int]] = []
-            for word in batch.column("word").to_pylist():
-                ends: dict[str, list[int]] = {}
-                for last, t in found.iter(word):
-                    at = ends.setdefault(t, [-1, 0])
-                    if last - lengths[t] >= at[0]:  # not over the occurrence before
-                        at[0], at[1] = last, at[1] + 1
-                out += [(word, t, n) for t, (_, n) in ends.items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["word", "term", "n"])
+def _order(names: list) -> np.ndarray:
+    out = np.empty(len(names), np.int64)
+    out[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    return out
+
 
-    return words.mapInArrow(run, "word string, term string, n bigint")
+def _blocks(asked: list[tuple], most_terms: int, cells: int = 1 << 23):
+    """Blocks of queries (ids, terms, how often each query has each term), as many queries at a time as keep the table below so many cells."""
+    ids, rows, terms = [], [], {}
+    for qid, query in asked:
+        own = [t for t in (query or "").lower().split() if t][:most_terms]
+        new = len(terms.keys() | set(own))
+        if ids and new * (len(ids) + 1) > cells:
+            yield ids, rows, terms
+            ids, rows, terms = [], [], {}
+        ids.append(qid)
+        rows.append([terms.setdefault(t, len(terms)) for t in own])
+    if ids:
+        yield ids, rows, terms
 
 
 def sparse(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int = TERMS) -> DataFrame:
     """qid, chunk_id, score, rank: the sum over a query's first terms (repeats counted) of their occurrences in title and text.
 
-    A term has no white space, so its occurrences in a text are those in the text's words: the words of all chunks are indexed once, the terms of the queries are looked for
-    in each distinct word by one automaton (in blocks of terms), and only postings of words that hold a term are joined."""
-    terms = queries.select("qid", F.explode(F.slice(T.words(F.lower("query")), 1, most_terms)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text"))
-    postings = chunks.select("chunk_id", F.explode(T.words(F.lower(body))).alias("word")).groupBy("word", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    distinct = [r.term for r in terms.select("term").distinct().toLocalIterator()]
-    words = postings.select("word").distinct()
-    vocabulary = None
-    for at in range(0, max(1, len(distinct)), 64 * BATCH):
-        part = _in_words(words, distinct[at : at + 64 * BATCH]) if distinct else words.select("word", F.col("word").alias("term"), F.lit(0).cast("bigint").alias("n")).limit(0)
-        vocabulary = part if vocabulary is None else vocabulary.unionAll(part)
-    by_term = postings.join(vocabulary, "word").groupBy("term", "chunk_id").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
-    scores = by_term.join(small(terms), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"))
-    return top(scores.where("score > 0"), k)
+    A term has no white space, so its occurrences in a text are those in the text's words. The terms of a block of queries go to the tasks, which look for them in each word they meet once, by one automaton, count the terms of
+    their chunks, multiply the counts with the queries' own, and pass on k rows a query and batch. Chunks are read once a block and never shuffled."""
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+    asked = [(r.qid, r.query) for r in queries.select("qid", "query").toLocalIterator()]
+    texts = chunks.select("chunk_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    out_schema = pa.schema([("qid", _arrow(kinds["qid"])), ("chunk_id", _arrow(kinds["chunk_id"])), ("score", pa.float64())])
+    parts = None
+    for ids, rows, terms in _blocks(asked, most_terms) if asked else [([], [], {})]:
+        own = np.zeros((max(1, len(terms)), max(1, len(ids))))
+        for q, found in enumerate(rows):
+            np.add.at(own[:, q], found, 1)
+
+        def run(batches, ids=ids, terms=terms, own=own):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t, i in terms.items():
+                automaton.add_word(t, (i, len(t)))
+            if terms:
+                automaton.make_automaton()
+            known: dict[str, tuple[list[int], list[int]]] = {}
+
+            def within(word: str) -> tuple[list[int], list[int]]:
+                ends: dict[int, list[int]] = {}
+                for last, (i, n) in automaton.iter(word) if terms else ():
+                    at = ends.setdefault(i, [-1, 0])
+                    if last - n >= at[0]:  # not over the occurrence before
+                        at[0], at[1] = last, at[1] + 1
+                if len(known) > 500_000:
+                    known.clear()
+                known[word] = got = (list(ends), [n for _, n in ends.values()])
+                return got
+
+            for batch in batches:
+                names, scores = batch.column("chunk_id").to_pylist(), np.zeros((batch.num_rows, len(ids)))
+                titles, bodies = batch.column("title").to_pylist(), batch.column("text").to_pylist()
+                for a in range(0, len(names), 128):
+                    counts = np.zeros((len(names[a : a + 128]), own.shape[0]))
+                    for r, (title, body) in enumerate(zip(titles[a : a + 128], bodies[a : a + 128])):
+                        at: list[int] = []
+                        n: list[int] = []
+                        for word, times in Counter(f"{title} {body}".lower().split()).items():
+                            i, m = known.get(word) or within(word)
+                            at += i
+                            n += m if times == 1 else [x * times for x in m]
+                        counts[r] = np.bincount(at, n, own.shape[0]) if at else 0
+                    scores[a : a + 128] = (counts @ own)[:, : len(ids)]
+                order, found = _order(names), []
+                for q, qid in enumerate(ids):
+                    column = scores[:, q]
+                    found += [(qid, names[j], float(column[j])) for j in _best(column, np.flatnonzero(column > 0), order, k)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*found), out_schema)], schema=out_schema)
+
+        part = texts.mapInArrow(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
+        parts = part if parts is None else parts.unionAll(part)
+    return top(parts, k)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, weights: tuple[float, float] = (DENSE_WEIGHT, SPARSE_WEIGHT), constant: int = RANK_CONSTANT) -> DataFrame:
@@ -309,7 +378,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, strategy: str = "h
     if strategy not in ("sparse", "dense", "hybrid"):
         raise ValueError(f"strategy must be sparse, dense or hybrid, not {strategy}")
     if strategy != "sparse":
-        d = dense(embed(queries.select("qid", F.col("query").alias("text")), "qid", dim), embed(chunks, "chunk_id", dim), limit, dim)
+        d = dense(vectors(queries.select("qid", F.col("query").alias("text")), "qid", dim), vectors(chunks, "chunk_id", dim), limit)
     if strategy != "dense":
         s = sparse(queries, chunks, limit if strategy == "hybrid" else k)
     if strategy == "hybrid":
