@@ -285,21 +285,12 @@ def _count_contexts(shared):
 
     def run(batches):
         coder = shared.value
-        sums, held = [np.zeros(2 << coder.bits, np.int32) for _ in range(2)], []
-
-        def add():
-            for k, total in enumerate(sums):
-                total += np.bincount(np.concatenate([x[k] for x in held]), minlength=len(total))
-            held.clear()
-
+        sums = [np.zeros(2 << coder.bits, np.int32) for _ in range(2)]
         for batch in batches:
             for part in slices(batch, "text", PART):
-                for bits, _, one, two, _ in coder.ranges(part):
-                    held.append((one * 2 + bits, two * 2 + bits))
-                    if len(held) * RANGE > 1 << coder.bits:
-                        add()
-        if held:
-            add()
+                for bits, _, *slots, _ in coder.ranges(part):
+                    for total, own in zip(sums, slots):
+                        np.add.at(total, own * np.intp(2) + bits, np.int32(1))
         for k, total in enumerate(sums):
             for at in range(0, len(total), 2 * BLOCK):
                 own = total[at : at + 2 * BLOCK]
