@@ -27,3 +27,8 @@ def both(spark, folder, name):
 def test_decisions_follow_the_sql(spark, folder):
     got, want = both(spark, folder, "e16_apply_decisions")
     assert got == want and any(r[2] == "contradicted" for r in got)
+
+
+def test_refined_answers_follow_the_sql(spark, folder):
+    got, want = both(spark, folder, "e17_refine")
+    assert got == want and any(r[2] == "insufficient_evidence" for r in got)
