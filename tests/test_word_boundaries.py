@@ -32,3 +32,8 @@ def test_decisions_follow_the_sql(spark, folder):
 def test_refined_answers_follow_the_sql(spark, folder):
     got, want = both(spark, folder, "e17_refine")
     assert got == want and any(r[2] == "insufficient_evidence" for r in got)
+
+
+def test_numbers_follow_the_sql(spark, folder):
+    got, want = both(spark, folder, "x08_numbers")
+    assert got == want and (1, 0, "", True) in got and (2, 0, "12", False) in got
