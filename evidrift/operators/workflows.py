@@ -271,10 +271,11 @@ def create_projects(existing: DataFrame, new: DataFrame) -> DataFrame:
     stem = F.regexp_extract("slug", r"^(.*?)(?:-(\d+))?$", 1)
     taken = existing.select("slug", stem.alias("base"), F.expr(r"try_cast(regexp_extract(slug, '^(.*?)(?:-(\\d+))?$', 2) as int)").alias("n"))
     whole = existing.select("slug", F.col("slug").alias("base"), F.lit(1).alias("n"))
-    used = whole.unionByName(taken.where("n >= 2")).groupBy("base").agg(F.collect_set("n").alias("used"))
-    own = base.withColumn("turn", F.row_number().over(W.partitionBy("base").orderBy("seq"))).join(used, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = F.filter(F.sequence(F.lit(1), F.col("turn") + F.size("used")), lambda n: ~F.array_contains("used", n))
-    n = F.element_at(free, F.col("turn"))
+    used = whole.unionByName(taken.where("n >= 2")).groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("used"))
+    used = used.select("base", F.transform("used", lambda n, i: F.struct((n - i - 1).alias("before"), (i + 1).alias("upto"))).alias("used"))  # free numbers before each one taken, and how many are taken up to it
+    used = used.select("base", F.filter("used", lambda x, i: (i + 1 == F.size("used")) | (F.get("used", i + 1)["before"] > x["before"])).alias("used"))  # one of each run of numbers
+    own = base.withColumn("turn", F.row_number().over(W.partitionBy("base").orderBy("seq"))).join(used, "base", "left")
+    n = F.col("turn") + F.coalesce(F.array_max(F.filter("used", lambda x: x["before"] < F.col("turn")))["upto"], F.lit(0))
     return own.select("seq", "name", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", F.col("base"), n.cast("string"))).alias("slug"))
 
 
