@@ -32,6 +32,7 @@ STEP2 = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness",
 STEP3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")]
 STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic"]
 _V = "aeiouy"
+POSTINGS = 20_000  # rows of an index that a task holds before it passes them on
 
 
 def _regions(w: str) -> tuple[int, int]:
@@ -172,14 +173,19 @@ def rank(query: str, where: dict[str, list[int]]) -> float:
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, lexeme, positions of chunks (chunk_id, text): an index to be stored by lexeme."""
     def index(batches):
+        frame = lambda rows: pd.DataFrame(rows, columns=["chunk_id", "lexeme", "positions"])
+        rows = []
         for b in batches:
-            rows = []
             for c, text in zip(b["chunk_id"], b["text"]):
                 where: dict[str, list[int]] = {}
                 for t, p in lexemes(text or ""):
                     where.setdefault(t, []).append(p)
                 rows += [(c, t, p) for t, p in where.items()]
-            yield pd.DataFrame(rows, columns=["chunk_id", "lexeme", "positions"])
+                if len(rows) >= POSTINGS:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     return chunks.select("chunk_id", "text").mapInPandas(index, f"chunk_id {kind}, lexeme string, positions array<int>")
@@ -187,17 +193,25 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """qid, chunk_id, score, rank: the k best matches of each query (qid, query) by cover density, equals by chunk_id. Only postings of the queries' lexemes are
-    joined; the positions of one text and query meet in one small group."""
+    joined, by a broadcast of few queries' lexemes or else with these as the side that is held for each lexeme; the positions of one text and query meet in one small group, and
+    texts that lack a lexeme of every alternative are passed over before they are ranked."""
+    from .retrieval import small
+
     @F.pandas_udf("array<string>")
     def asked(q: pd.Series) -> pd.Series:
         return q.map(lambda x: sorted({t for a in parse(x or "") for part in a for p in part for t, _ in p}))
 
+    @F.pandas_udf("array<array<string>>")
+    def needed(q: pd.Series) -> pd.Series:
+        return q.map(lambda x: [sorted({t for p in a[0] for t, _ in p}) for a in parse(x or "")])
+
     @F.pandas_udf("double")
     def ranked(q: pd.Series, names: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([rank(x, dict(zip(n, (list(p) for p in where)))) for x, n, where in zip(q, names, places)], dtype="float64")
 
-    wanted = queries.select("qid", "query", F.explode(asked("query")).alias("lexeme"))
-    met = wanted.join(index, "lexeme").groupBy("qid", "chunk_id").agg(F.first("query").alias("query"), F.collect_list("lexeme").alias("names"), F.collect_list("positions").alias("places"))
-    scored = met.select("qid", "chunk_id", ranked("query", "names", "places").alias("score")).where("score > 0")
+    wanted = queries.select("qid", F.explode(asked("query")).alias("lexeme")).distinct()
+    met = index.join(small(wanted), "lexeme").groupBy("qid", "chunk_id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("found"))
+    met = met.join(small(queries.select("qid", "query", needed("query").alias("needed"))), "qid").where(F.exists("needed", lambda a: F.size(F.array_except(a, F.col("found.lexeme"))) == 0))
+    scored = met.select("qid", "chunk_id", ranked("query", "found.lexeme", "found.positions").alias("score")).where("score > 0")
     w = W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -284,3 +284,22 @@ def test_models_plug_in(spark):
 
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) >= 150
+
+
+def test_a_batch_of_texts_is_indexed_a_part_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "POSTINGS", 50)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(20)) + " shared") for i in range(30)]
+    chunks = spark.createDataFrame(texts, "chunk_id int, text string").coalesce(1)
+    index = fulltext.postings(chunks)
+    assert index.count() == 30 * 21
+    frames = []
+
+    class Caught:  # the function that tasks run, on one batch
+        schema = chunks.schema
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, _: frames.extend(run([chunks.toPandas()]))
+
+    fulltext.postings(Caught())
+    assert sum(map(len, frames)) == 30 * 21 and max(map(len, frames)) <= 50 + 21
+    got = fulltext.search(spark.createDataFrame([(1, "shared w3x1 or w5x2 -w5x3"), (2, "w4x1 w4x2")], "qid int, query string"), index, 5)
+    assert sorted((r.qid, r.chunk_id) for r in got.collect()) == [(1, 3), (2, 4)]
