@@ -64,12 +64,53 @@ def _count_rows(batches):
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, n)], names=["pair", "word", "n1", "n0"])
 
 
+def _packed(batches):
+    """Keys and counts of parts of the pairs, and the words of these with how many pairs of each class they end, as bytes."""
+    for batch in batches:
+        n = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint16) for c in ("n1", "n0")], 1)
+        words, place = np.unique(batch.column("word").to_numpy().view(np.uint64), return_inverse=True)
+        follows = np.stack([np.bincount(place, n[:, i] > 0, len(words)).astype(np.int32) for i in (0, 1)], 1)
+        columns = [batch.column("pair").to_numpy(), n, words, follows]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["keys", "counts", "words", "follows"])
+
+
+def _model(parts) -> Model:
+    """The model of all parts, which come one after the other, so that no table of all of them is held beside it."""
+    got, words, follows, waiting = [], np.zeros(0, np.uint64), np.zeros((0, 2), np.int32), []
+
+    def added():
+        both = np.concatenate([words, *(np.frombuffer(w, np.uint64) for w, _ in waiting)])
+        n = np.concatenate([follows, *(np.frombuffer(f, np.int32).reshape(-1, 2) for _, f in waiting)])
+        waiting.clear()
+        out, place = np.unique(both, return_inverse=True)
+        return out, np.stack([np.bincount(place, n[:, i], len(out)).astype(np.int32) for i in (0, 1)], 1)
+
+    for part in parts:
+        got.append((part.keys, part.counts))
+        waiting.append((part.words, part.follows))
+        if sum(len(w) for w, _ in waiting) > 1 << 22:
+            words, follows = added()
+    words, follows = added()
+    size = sum(len(keys) for keys, _ in got) // 8
+    keys, n, at = np.empty(size, np.uint64), np.empty((size, 2), np.uint16), 0
+    while got:
+        own, counts = got.pop()
+        to = at + len(own) // 8
+        keys[at:to], n[at:to] = np.frombuffer(own, np.uint64), np.frombuffer(counts, np.uint16).reshape(-1, 2)
+        at = to
+    return Model(Counts(keys, n), Counts(words, follows))
+
+
 class Counts:
     """Numbers by key; zeros for a key that is not there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys, kind="stable")
-        self.keys, self.values = Keys(keys[order], presorted=True), np.concatenate([values[order], np.zeros((1, values.shape[1]), values.dtype)])
+        self.values = np.zeros((len(keys) + 1, values.shape[1]), values.dtype)
+        np.take(values, order, 0, out=self.values[:-1])
+        keys = keys[order]
+        del order
+        self.keys = Keys(keys, presorted=True)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         return self.values[self.keys.find(keys)].astype(np.float32)
@@ -79,7 +120,7 @@ def discounts(values: np.ndarray) -> np.ndarray:
     """The modified Kneser-Ney discounts of counts of one, two, and three or more, by class, from how many keys have counts of one to four."""
     out = []
     for own in values.T:
-        t = np.maximum(np.bincount(np.minimum(own, 5).astype(np.int64), minlength=6)[1:5], 1).astype(float)
+        t = np.maximum([np.count_nonzero(own == i) for i in range(1, 5)], 1).astype(float)
         y = t[0] / (t[0] + 2 * t[1])
         out.append([min(i + 0.95, max(0.1 * (i + 1), (i + 1) - (i + 2) * y * t[i + 1] / t[i])) for i in range(3)])
     return np.array(out)
@@ -157,12 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
     rows = stored(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")).select("text", "toxic"))
     pairs = rows.mapInArrow(tidy(_count_rows), "pair bigint, word bigint, n1 bigint, n0 bigint").groupBy("pair")
     small = lambda c: F.least(F.sum(c), F.lit(65_535 >> 1)).cast("smallint").alias(c)  # noqa: E731  no more documents are learnt from
-    got = pairs.agg(F.min("word").alias("word"), small("n1"), small("n0")).toArrow()
-    n = np.stack([got.column(c).to_numpy().astype(np.uint16) for c in ("n1", "n0")], 1)
-    words, place = np.unique(got.column("word").to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
-    follows = np.stack([np.bincount(place, n[:, i] > 0, len(words)).astype(np.int32) for i in (0, 1)], 1)
-    model = Model(Counts(got.column("pair").to_numpy().astype(np.int64).view(np.uint64), n), Counts(words, follows))
-    del got, n, words, place, follows
+    parts = pairs.agg(F.min("word").alias("word"), small("n1"), small("n0")).mapInArrow(tidy(_packed), "keys binary, counts binary, words binary, follows binary")
+    model = _model(parts.toLocalIterator())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def left_out(batches):
@@ -179,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
     if len(sample):
         x = np.stack([np.ones(len(sample)), *(sample.column(c).to_numpy() for c in ("mean", "long", "peak"))], 1)
         model.curve = _fit_curve(x, sample.column("toxic").to_numpy().astype(float))
-    shared.unpersist()
+    shared.destroy()
     forget(rows)
     return model
 
