@@ -26,8 +26,8 @@ HELD = ["supported", "partially_supported"]
 
 
 def share(part: Column, whole: Column) -> Column:
-    """Share of whole's distinct members that part has; 0 for an empty whole."""
-    return F.when(F.size(whole) > 0, F.size(F.array_intersect(whole, part)) / F.size(whole)).otherwise(0.0)
+    """Share of whole's distinct members that part has; 0 for an empty whole or no part."""
+    return F.when((F.size(whole) > 0) & part.isNotNull(), F.size(F.array_intersect(whole, part)) / F.size(whole)).otherwise(0.0)
 
 
 def token_set(text: Column) -> Column:
@@ -75,13 +75,13 @@ def insufficient(queries: DataFrame, contexts: DataFrame, least: float = 0.2) ->
 # Answers
 
 
-def packed(text: Column) -> Column:
+def packed(text: Column, space: str = T.SPACE) -> Column:
     """What of a result goes into a context."""
-    return T.truncate(T.strip(text), CONTEXT_CHARS)
+    return T.truncate(T.stripped(text, space), CONTEXT_CHARS, space)
 
 
-def support_span(text: Column) -> Column:
-    return T.truncate(F.replace(T.strip(text), F.lit("\n"), F.lit(" ")), SPAN_CHARS)
+def support_span(text: Column, space: str = T.SPACE) -> Column:
+    return T.truncate(F.replace(T.stripped(text, space), F.lit("\n"), F.lit(" ")), SPAN_CHARS, space)
 
 
 def contexts(hits: DataFrame) -> DataFrame:
@@ -96,9 +96,9 @@ def analysis_contexts(runs: DataFrame) -> DataFrame:
     return runs.withColumn("text", out).where("text is not null").select("qid", name.alias("chunk_id"), name.alias("document_id"), F.lit("Python analysis output").alias("title"), "text", F.lit(1.0).alias("score"), F.lit("analysis").alias("source_type"))
 
 
-def citations(contexts: DataFrame, most: int = CITATIONS) -> DataFrame:
+def citations(contexts: DataFrame, most: int = CITATIONS, space: str = T.SPACE) -> DataFrame:
     """contexts: qid, rank, chunk_id, text and whatever else. citation_id (C1 and so on) and support_span of the first contexts."""
-    return contexts.where(F.col("rank") <= most).withColumn("citation_id", F.concat(F.lit("C"), F.col("rank").cast("string"))).withColumn("support_span", support_span(F.col("text")))
+    return contexts.where(F.col("rank") <= most).withColumn("citation_id", F.concat(F.lit("C"), F.col("rank").cast("string"))).withColumn("support_span", support_span(F.col("text"), space))
 
 
 def extractive_answer(contexts: DataFrame, queries: DataFrame | None = None, most: int = CITATIONS) -> DataFrame:
@@ -158,10 +158,10 @@ def final_status(overall: Column, status: Column) -> Column:
 # Claims and evidence
 
 
-def claims(answers: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def claims(answers: DataFrame, cited: DataFrame | None = None, space: str = T.SPACE) -> DataFrame:
     """answers: answer_id, text. cited: answer_id, rank, citation_id, chunk_id, support_span. A claim a sentence: claim_no from 1, claim_id, type, importance, and the
-    citation whose span has the most tokens in common with it (the first of equals)."""
-    rows = answers.select("answer_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "claim"))
+    citation whose span has the most tokens in common with it (the first of equals; a missing span has none)."""
+    rows = answers.select("answer_id", F.posexplode(T.sentences(F.col("text"), space)).alias("n", "claim"))
     out = rows.select(
         "answer_id", (F.col("n") + 1).alias("claim_no"), F.concat(F.lit("claim-"), (F.col("n") + 1).cast("string")).alias("claim_id"), "claim", T.claim_type(F.col("claim")).alias("claim_type"),
         F.when(T.material(F.col("claim")), "material").otherwise("supporting").alias("importance"),
@@ -170,7 +170,7 @@ def claims(answers: DataFrame, cited: DataFrame | None = None) -> DataFrame:
         return out
     spans = cited.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "citation_id", "chunk_id", token_set(F.col("support_span")).alias("t")))).alias("spans"))
     own = token_set(F.col("claim"))
-    scored = F.transform("spans", lambda s: F.struct((-F.size(F.array_intersect(own, s["t"]))).alias("less"), s["rank"].alias("rank"), s["citation_id"].alias("citation_id"), s["chunk_id"].alias("chunk_id")))
+    scored = F.transform("spans", lambda s: F.struct((-F.coalesce(F.size(F.array_intersect(own, s["t"])), F.lit(0))).alias("less"), s["rank"].alias("rank"), s["citation_id"].alias("citation_id"), s["chunk_id"].alias("chunk_id")))
     return out.join(spans, "answer_id", "left").withColumn("near", F.array_min(scored)).select(*out.columns, F.col("near.citation_id").alias("citation_id"), F.col("near.chunk_id").alias("cited"))
 
 
@@ -215,10 +215,10 @@ def verdicts(selected: DataFrame, claimed: DataFrame) -> DataFrame:
 # Citations
 
 
-def best_claims(answers: DataFrame, cited: DataFrame) -> DataFrame:
+def best_claims(answers: DataFrame, cited: DataFrame, space: str = T.SPACE) -> DataFrame:
     """answers: answer_id, text. cited: answer_id, citation_no, span, context and whatever else. claim: the sentence whose tokens the context covers best, the
     first of equals; the span itself where the citation has no context or the answer no sentence."""
-    sentences = answers.select("answer_id", T.sentences(F.col("text")).alias("sentences"))
+    sentences = answers.select("answer_id", T.sentences(F.col("text"), space).alias("sentences"))
     sentences = sentences.withColumn("sentences", F.transform("sentences", lambda s, i: F.struct(i.alias("i"), s.alias("s"), token_set(s).alias("t"))))
     context = token_set(F.col("context"))
     scored = F.transform("sentences", lambda s: F.struct((-share(context, s["t"])).alias("less"), s["i"].alias("i"), s["s"].alias("s")))
@@ -230,7 +230,7 @@ def verify_citations(cited: DataFrame) -> DataFrame:
     """cited: answer_id, citation_no, claim, span, context (null where it was not retrieved), web, fetched. Verdict, confidence and failure reason of each citation by its words."""
     overlap = share(token_set(F.col("context")), token_set(F.col("claim")))
     missing = F.size(F.array_except(T.numbers(F.col("claim")), T.numbers(F.col("context")))) > 0
-    held = (F.col("span") != "") & F.lower("context").contains(F.lower("span"))
+    held = (F.col("span") != "") & T.lower(F.col("context")).contains(T.lower(F.col("span")))
     own = cited.withColumn("overlap", overlap).withColumn("missing", missing).withColumn("held", F.coalesce(held, F.lit(False)))
     partial, stale = F.col("overlap") >= 0.4, F.col("web") & ~F.col("fetched")
     absent = F.col("context").isNull()
@@ -259,10 +259,10 @@ def apply_nli(verified: DataFrame, pairs: DataFrame, score: Callable[[Column, Co
     )
 
 
-def unattributed(answers: DataFrame, cited: DataFrame) -> DataFrame:
+def unattributed(answers: DataFrame, cited: DataFrame, space: str = T.SPACE) -> DataFrame:
     """The row that stands for an answer without citations: insufficient."""
-    bare = answers.where(T.strip(F.col("text")) != "").join(cited.select("answer_id").distinct(), "answer_id", "left_anti")
-    return bare.select("answer_id", F.lit(1).alias("citation_no"), T.strip(F.col("text")).alias("claim"), F.lit("insufficient").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("Answer contains no citations.").alias("reason"))
+    bare = answers.where(T.stripped(F.col("text"), space) != "").join(cited.select("answer_id").distinct(), "answer_id", "left_anti")
+    return bare.select("answer_id", F.lit(1).alias("citation_no"), T.stripped(F.col("text"), space).alias("claim"), F.lit("insufficient").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit("Answer contains no citations.").alias("reason"))
 
 
 def apply_decisions(verified: DataFrame, decisions: DataFrame) -> DataFrame:

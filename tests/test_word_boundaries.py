@@ -44,3 +44,17 @@ def test_negations_in_capitals_follow_the_sql(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
     got, want = both(spark, tmp_path, "x08_numbers")
     assert got == want and (1, 0, "7", True) in got and (1, 1, "7", False) in got
+
+
+@pytest.mark.parametrize(
+    "turns, status",
+    [
+        ([(0, "user", "alpha beta"), (1, "assistant", "alpha beta.\u2028not gamma")], "insufficient_evidence"),  # one sentence: no space of RE2 ends the first
+        ([(0, "user", "alpha beta"), (1, "user", None), (2, "assistant", "zeta. alpha beta")], "needs_review"),  # a turn without a text counts as a context
+        ([(0, "user", "ix"), (1, "user", "i x not"), (2, "assistant", "\u0130X omega")], "qualified"),
+    ],
+)
+def test_refined_answers_to_odd_turns_follow_the_sql(spark, tmp_path, turns, status):
+    spark.createDataFrame([(1, *t) for t in turns], "conv_id bigint, turn int, role string, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    got, want = both(spark, tmp_path, "e17_refine")
+    assert got == want and [r[2] for r in got] == [status]
